@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,12 +104,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document row of every maximal run of bytes other than ASCII white space."""
+def words(raw: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document row of every maximal run of bytes that ``breaks`` doesn't mark (ASCII white space)."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~_SPACE[raw]
+    solid = ~breaks[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     first = at[:-1][(at[:-1] < at[1:])]
@@ -168,7 +169,7 @@ def batches(df: DataFrame, function, schema: str) -> DataFrame:
 
 def sub_batches(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Slices of a batch with at most ``limit`` bytes of text each (one document at least)."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     total, begin = np.cumsum(lengths), 0
     while begin < batch.num_rows:
         base = total[begin - 1] if begin else 0

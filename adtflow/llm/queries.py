@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtflow.llm import chat, fingerprints, quality, url_rules
+from adtflow.llm import chat, decontaminate, fingerprints, packing, quality, suffix_dedup, token_counts, url_rules
 from adtflow.llm.common import table
 
 
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fingerprints.with_next(table(spark, sf_dir, "documents"), {"sketch": fingerprints.sketch(F.col("text"))})
     n = F.length("text")
@@ -88,5 +106,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op5_fingerprints, op6_chat_perspectives, op8_url_filters, op9_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pack_sequences, op2_suffix_dedup, op3_token_counts, op4_benchmark_leaks, op5_fingerprints, op6_chat_perspectives,
+        op8_url_filters, op9_quality_rules,
+    )
+}
 ORACLE_SQL = {"op6_chat_perspectives": OP6_SQL, "op8_url_filters": OP8_SQL}

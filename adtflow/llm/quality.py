@@ -197,6 +197,7 @@ def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3, text: str =
     stats = statistics(F.col("_t"))
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     named = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    with_stats = named.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[stats[f].alias(f) for f in FEATURES]).alias("_s"))
-    scored = with_stats.select(*[F.col(f"`{c}`") for c in kept], model.score({f: F.col("_s")[f] for f in FEATURES}).alias("score"))
+    # The statistics are bound once a row, also where the optimizer moves the score into a filter.
+    bound = F.transform(F.array(F.struct(*[stats[f].alias(f) for f in FEATURES])), lambda s: model.score({f: s[f] for f in FEATURES}))
+    scored = named.select(*[F.col(f"`{c}`") for c in kept], F.element_at(bound, 1).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

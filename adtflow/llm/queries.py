@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtflow.llm import chat, decontaminate, fingerprints, packing, quality, suffix_dedup, token_counts, url_rules
+from adtflow.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    jaccard_join,
+    packing,
+    quality,
+    suffix_dedup,
+    token_counts,
+    url_rules,
+)
 from adtflow.llm.common import table
 
 
@@ -106,11 +116,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pack_sequences, op2_suffix_dedup, op3_token_counts, op4_benchmark_leaks, op5_fingerprints, op6_chat_perspectives,
-        op8_url_filters, op9_quality_rules,
+        op8_url_filters, op9_quality_rules, op10_jaccard_classes,
     )
 }
 ORACLE_SQL = {"op6_chat_perspectives": OP6_SQL, "op8_url_filters": OP8_SQL}

@@ -12,6 +12,7 @@ from adtflow.llm import (
     fingerprints,
     jaccard_join,
     packing,
+    pseudo_likelihood,
     quality,
     suffix_dedup,
     token_counts,
@@ -83,6 +84,11 @@ SELECT conv_id, perspective, turn, role, name, rendered, CAST(start AS BIGINT) A
 FROM placed
 """
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.learn(docs))
+
+
 #: (rule, verdict) of op8.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -124,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pack_sequences, op2_suffix_dedup, op3_token_counts, op4_benchmark_leaks, op5_fingerprints, op6_chat_perspectives,
-        op8_url_filters, op9_quality_rules, op10_jaccard_classes,
+        op7_pseudo_likelihood, op8_url_filters, op9_quality_rules, op10_jaccard_classes,
     )
 }
 ORACLE_SQL = {"op6_chat_perspectives": OP6_SQL, "op8_url_filters": OP8_SQL}

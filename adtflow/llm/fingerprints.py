@@ -87,7 +87,7 @@ def with_next(docs: DataFrame, extra: dict[str, Column] | None = None, parts: in
     Rows of equal id are ordered by a hash of their text; a null id comes last. A lone document is its own next.
     """
     spark, extra = docs.sparkSession, extra or {}
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
     ids = t.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], 50 * parts).alias("q"), F.max("_id").alias("top")).first()
     heads = sorted({*(ids["q"] or []), *([ids["top"]] if ids["top"] is not None else [])}, reverse=True)

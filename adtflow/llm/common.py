@@ -167,7 +167,7 @@ def batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def sub_batches(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def sub_batches(batch: pa.RecordBatch, column: str, limit: int = (1 << 21) - 64):
     """Slices of a batch with at most ``limit`` bytes of text each (one document at least)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     total, begin = np.cumsum(lengths), 0

@@ -41,7 +41,7 @@ GRAM = 32
 #: Regions of one anchor that one shard takes; more are dealt over several shards (step 4).
 HOT = 2048
 #: Bytes of text in one suffix array.
-SHARD = 1 << 20
+SHARD = 1 << 19
 
 # --------------------------------------------------------------------------------------------------------
 # Suffix arrays by induced sorting
@@ -234,16 +234,18 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     # The place before is its own neighbour's follower only if the two continue alike; that holds by definition.
     irreducible = np.flatnonzero(~reducible)
     length = np.zeros(n, np.int64)
-    live = irreducible[before[irreducible] >= 0]
+    irreducible = irreducible[before[irreducible] >= 0]
     padded = np.concatenate([np.asarray(t, np.int32), np.full(16, -1, np.int32)])
     other = np.concatenate([np.asarray(t, np.int32), np.full(16, -2, np.int32)])
     k = np.arange(16)
-    while len(live):
-        at, of = live + length[live], before[live] + length[live]
-        same = padded[np.minimum(at[:, None] + k, n + 15)] == other[np.minimum(of[:, None] + k, n + 15)]
-        run = np.where(same.all(axis=1), 16, same.argmin(axis=1))
-        length[live] += run
-        live = live[run == 16]
+    for begin in range(0, len(irreducible), 1 << 15):
+        live = irreducible[begin : begin + (1 << 15)]
+        while len(live):
+            at, of = live + length[live], before[live] + length[live]
+            same = padded[np.minimum(at[:, None] + k, n + 15)] == other[np.minimum(of[:, None] + k, n + 15)]
+            run = np.where(same.all(axis=1), 16, same.argmin(axis=1))
+            length[live] += run
+            live = live[run == 16]
     last = np.maximum.accumulate(np.where(reducible, 0, place))
     value = length[last] - (place - last)
     return value, before
@@ -306,9 +308,17 @@ def contested_starts(held: list[tuple[int, int, bytes]], length: int = LENGTH) -
     for k in np.flatnonzero(times[of] > 1).tolist():  # the same text in two regions
         flags[who[k]][lows[k] : highs[k] - length + 1] = True
     _, group, kinds = np.unique(keys[one], return_inverse=True, return_counts=True)
-    chosen = one[kinds[group] > 1]
-    got = repeated_starts([held[who[k]][2][lows[k] : highs[k]] for k in chosen.tolist()], length)
-    starts = dict(zip(parts[chosen].tolist(), got, strict=True))
+    order = np.argsort(group, kind="stable")
+    order = order[kinds[group[order]] > 1]
+    chosen, starts, texts, taken, size = one[order], {}, [], [], 0
+    for i, k in enumerate(chosen.tolist()):
+        texts.append(held[who[k]][2][lows[k] : highs[k]])
+        taken.append(int(parts[k]))
+        size += len(texts[-1])
+        last = i + 1 == len(chosen)
+        if last or size >= SHARD and group[order[i]] != group[order[i + 1]]:
+            starts.update(zip(taken, repeated_starts(texts, length), strict=True))
+            texts, taken, size = [], [], 0
     for k in np.flatnonzero(np.isin(parts, parts[chosen])).tolist():
         flags[who[k]][lows[k] : highs[k] - length + 1] |= starts[int(parts[k])]
     return flags

@@ -10,11 +10,12 @@ asked for are the classes of documents that links connect.
 3. An index list is sorted by set size. For each entry the block of sizes too large to link is skipped, entries are
    skipped by the position of the shingle in both sets (what follows it is too little), and by a lower bound of
    the difference from a histogram of 16 counters. Long lists are first dealt around leaders, by the same bound
-   and the triangle inequality. What is left connects sets into families, loosely: no link leaves a family.
+   and the triangle inequality. Pairs that are left are held against finer profiles, of a size that grows with the
+   set. What is left connects sets into families, loosely: no link leaves a family.
 4. A family is solved by differences. Every set is kept as its symmetric difference to a centre (what most of the
    family holds), so a set's answers follow from those of the centre: sets near it link for certain by two
-   numbers, and others only if they share differing shingles, which a second small index finds. Pairs already
-   connected are skipped. Lists of that index that are long are families again, with a centre of their own.
+   numbers, and others only if they share enough differing shingles, which a second index of rare ones finds.
+   Pairs already connected are skipped. Lists of that index that are long are families again, with a centre of their own.
 
 A family's sets move as shingle hashes, and are held as differences only. No pair list of a group is ever made.
 
@@ -101,6 +102,26 @@ def _sets(column, n: int, order) -> list[np.ndarray]:
     return out
 
 
+def profile(s: np.ndarray) -> bytes:
+    """Counts modulo 256 of a set's shingles by hash, in a power of two of at least n/8 (and 16) counters: random sets
+    differ in it by more than any link allows, at every size."""
+    size = 16
+    while size * 8 < len(s):
+        size *= 2
+    m = mix(s + np.uint64(1)) & np.uint64(size - 1)
+    return (np.bincount(m.astype(np.int64), minlength=size) & 255).astype(np.uint8).tobytes()
+
+
+def profiles_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference; the finer profile is folded to the coarser one's counters."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = y.reshape(-1, len(x)).sum(axis=0, dtype=np.uint8)
+    return int(_apart(x, y))
+
+
 def _digest(sets: list[np.ndarray], percent: int, ids, texts) -> pa.RecordBatch:
     size = np.array([len(s) for s in sets], np.int64)
     first, second, hist, prefix = (np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), np.zeros((len(sets), 16), np.uint8), [])
@@ -114,11 +135,12 @@ def _digest(sets: list[np.ndarray], percent: int, ids, texts) -> pa.RecordBatch:
         keep = len(s) - (-(-percent * len(s) // 100)) + 1
         prefix.append(s[:keep].view(np.int64))
     h = hist.view(np.int64).reshape(len(sets), 2) if len(sets) else np.zeros((0, 2), np.int64)
+    signature = pa.array([profile(s) for s in sets], pa.binary())
     lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
     flat = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
     return pa.RecordBatch.from_arrays(
-        [ids, texts, pa.array(size), pa.array(signed(first)), pa.array(signed(second)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), flat],
-        names=["doc_id", "_hash", "n", "k1", "k2", "h1", "h2", "prefix"],
+        [ids, texts, pa.array(size), pa.array(signed(first)), pa.array(signed(second)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), signature, flat],
+        names=["doc_id", "_hash", "n", "k1", "k2", "h1", "h2", "profile", "prefix"],
     )
 
 
@@ -212,10 +234,11 @@ def _around_leaders(sid, n, hist, percent: int):
 
 
 def _connect(percent: int):
-    """Rows arrive sorted by (token, n, sid). Each task gives a forest over the sets it has connected."""
+    """Rows arrive sorted by (token, n, sid). Gives pairs of sets, each once a task: ``sure`` ones connect a long list
+    and stay, others are still to be held against the finer profiles."""
 
     def run(batches):
-        forest, held = Unions(), []
+        forest, pairs, held = Unions(), [], []
 
         def settle(token, sid, n, pos, hist):
             edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
@@ -225,8 +248,7 @@ def _connect(percent: int):
                 for x, y in _around_leaders(sid[a:b], n[a:b], hist[a:b], percent):
                     forest.join(int(x), int(y))
             few = np.repeat(size <= LONG, size) & np.repeat(size > 1, size)
-            for x, y in _near_pairs(token[few], sid[few], n[few], pos[few], hist[few], percent).tolist():
-                forest.join(x, y)
+            pairs.append(_near_pairs(token[few], sid[few], n[few], pos[few], hist[few], percent))
 
         for batch in batches:
             held.append([batch.column(c).to_numpy() for c in ("token", "sid", "n", "pos", "h1", "h2")])
@@ -240,10 +262,27 @@ def _connect(percent: int):
             token, sid, n, pos, h1, h2 = (np.concatenate(c) for c in zip(*held, strict=True))
             if len(token):
                 settle(token, sid, n, pos, np.column_stack([h1, h2]).view(np.uint8).reshape(-1, 16))
-        pairs = [(x, forest.find(x)) for x in forest.up]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        columns = list(zip(*pairs, strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+        near = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        sure = np.array([(x, forest.find(x)) for x in forest.up], np.int64).reshape(-1, 2)
+        both = np.concatenate([near, sure[sure[:, 0] != sure[:, 1]]])
+        flags = np.arange(len(both)) >= len(near)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(flags)], names=["a", "b", "sure"])
+
+    return run
+
+
+def _profiled(percent: int):
+    """Leaves pairs whose profiles allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            names = ("na", "nb", "pa", "pb")
+            keep = [
+                (100 + percent) * profiles_apart(x, y) <= (100 - percent) * (n + m)
+                for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            ]
+            taken = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([taken.column("a"), taken.column("b")], names=["a", "b"])
 
     return run
 
@@ -291,12 +330,10 @@ def _solve(differing: list[np.ndarray], size: np.ndarray, percent: int, depth: i
     """Classes of sets given as differences to one centre: x and y link when c_x + c_y <= 2 B * (common differences)."""
     count = len(differing)
     a, b = 100 - percent, 100 + percent
-    token = np.concatenate(differing)
-    value, times = np.unique(token, return_counts=True)
+    value, times = np.unique(np.concatenate(differing), return_counts=True)
     move = value[2 * times > count]
     if len(move):  # the centre moves to what most sets hold
         differing = [np.setxor1d(d, move, assume_unique=True) for d in differing]
-        token = np.concatenate(differing)
     lengths = np.array([len(d) for d in differing], np.int64)
     cost = b * lengths - a * size
     up = np.arange(count)
@@ -315,33 +352,50 @@ def _solve(differing: list[np.ndarray], size: np.ndarray, percent: int, depth: i
     for x in np.flatnonzero(cost + cost[best] <= 0).tolist():
         if x != best:
             join(best, x)
+    root = np.array([find(x) for x in range(count)])
+    outside = root != root[best]
+    if not outside.any():
+        return root
+    # An outsider can link to any set, any other set only to outsiders: so much they must have in common at least.
+    other = np.where(outside, cost[best], cost[outside].min())
+    needed = np.maximum(1, -(-(cost + other) // (2 * b)))
+    _, of, times = np.unique(np.concatenate(differing), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(count), lengths)
-    order = np.lexsort((owner, token))
-    token, owner = token[order], owner[order]
-    edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True]))) if len(token) else np.zeros(1, np.int64)
-    tried: set[tuple[int, int]] = set()
-
-    def try_pair(x: int, y: int) -> None:
-        if find(x) == find(y) or (x, y) in tried:
-            return
-        tried.add((x, y))
-        common = len(np.intersect1d(differing[x], differing[y], assume_unique=True))
-        if cost[x] + cost[y] <= 2 * b * common:
-            join(x, y)
-
-    for k in range(len(edge) - 1):
+    order = np.lexsort((of, times[of], owner))  # rare ones first, in each set
+    of, owner = of[order], owner[order]
+    place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    listed = (place <= (lengths - needed)[owner]) & (times[of] > 1)
+    of, owner = of[listed], owner[listed]
+    order = np.lexsort((owner, of))
+    of, owner = of[order], owner[order]
+    edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else np.zeros(1, np.int64)
+    long_or_short = np.diff(edge)
+    for k in np.flatnonzero(long_or_short > LONG).tolist():
         members = owner[edge[k] : edge[k + 1]]
-        if len(members) < 2 or len({find(x) for x in members.tolist()}) < 2:
+        if len({find(x) for x in members.tolist()}) < 2:
             continue
-        if len(members) > LONG and len(members) < count and depth < 4:
+        if len(members) < count and depth < 6:
             sub = _solve([differing[x] for x in members], size[members], percent, depth + 1)
             for x, y in zip(members.tolist(), members[sub].tolist(), strict=True):
                 join(x, y)
-            continue
-        listed = members.tolist()
-        for i, x in enumerate(listed):
-            for y in listed[i + 1 :]:
-                try_pair(x, y)
+        else:
+            for i in range(len(members)):
+                x = int(members[i])
+                for y in members[i + 1 :].tolist():
+                    if find(x) != find(y) and cost[x] + cost[y] <= 2 * b * len(np.intersect1d(differing[x], differing[y], assume_unique=True)):
+                        join(x, y)
+    few = np.repeat((long_or_short <= LONG) & (long_or_short > 1), long_or_short)
+    of, owner = of[few], owner[few]
+    tried = []
+    for d in range(1, LONG):
+        i = np.flatnonzero(of[d:] == of[:-d]) if d < len(of) else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        tried.append(np.unique(owner[i].astype(np.int64) * count + owner[i + d]))
+    for code in np.unique(np.concatenate(tried)).tolist() if tried else []:
+        x, y = divmod(code, count)
+        if find(x) != find(y) and cost[x] + cost[y] <= 2 * b * len(np.intersect1d(differing[x], differing[y], assume_unique=True)):
+            join(x, y)
     return np.array([find(x) for x in range(count)])
 
 
@@ -386,16 +440,19 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
             for batch in sub_batches(big, "_text"):
                 yield _digest(_sets(batch.column("_text"), n, order.value), percent, batch.column("doc_id"), batch.column("_hash"))
 
-    made = materialize(own.mapInArrow(digest, "doc_id long, _hash long, n long, k1 long, k2 long, h1 long, h2 long, prefix array<long>"), "sets")
+    made = materialize(own.mapInArrow(digest, "doc_id long, _hash long, n long, k1 long, k2 long, h1 long, h2 long, profile binary, prefix array<long>"), "sets")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("_hash").alias("hash"))).alias("at")
-    one = made.where("n > 0").groupBy("k1", "k2").agg(least, F.first("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("prefix").alias("prefix"))
+    one = made.where("n > 0").groupBy("k1", "k2").agg(least, F.first("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("profile").alias("profile"), F.first("prefix").alias("prefix"))
     one = materialize(one.withColumn("sid", F.monotonically_increasing_id()), "distinct")
 
     shuffle = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     posted = one.select("sid", "n", "h1", "h2", F.posexplode("prefix").alias("pos", "token"))
     dealt = posted.select("token", "sid", "n", "pos", "h1", "h2").repartition(shuffle, "token").sortWithinPartitions("token", "n", "sid")
-    edges = dealt.mapInArrow(_connect(percent), "a long, b long")
-    family = components(edges)
+    pairs = materialize(dealt.mapInArrow(_connect(percent), "a long, b long, sure boolean"), "pairs")
+    side = lambda c: one.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("profile").alias(f"p{c}"))
+    near = pairs.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_profiled(percent), "a long, b long")
+    family = components(near.unionByName(pairs.where("sure").select("a", "b")))
 
     wanted = one.join(family, one["sid"] == family["v"]).select("sid", F.col("root").alias("family"), F.col("at.id").alias("_id"), F.col("at.hash").alias("_hash"))
     fetched = own.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, ["_id", "_hash"]).select("family", "sid", "_text")

@@ -20,7 +20,7 @@ def encoder(source: str, root: str, major: int = 2, mode: str = "bare"):
     layouts = Layouts(build(source), major)
     ref = layouts.ref(root)
     layouts.plan(root)
-    kind = "struct<bytes:binary,error:string>"
+    kind = T.StructType([T.StructField("bytes", T.BinaryType()), T.StructField("error", T.StringType())])
 
     @F.arrow_udf(kind)
     def adt_encode(rows: pa.Array) -> pa.Array:
@@ -37,9 +37,9 @@ def decoder(source: str, root: str, major: int = 2, check_hash: bool = True):
     """A function of a binary column giving struct<value: .., error: string>: bad bytes are rows, not failures."""
     layouts = Layouts(build(source), major)
     ref = layouts.ref(root)
-    value_type = spark_type(layouts, ref)
+    value_type = _open(spark_type(layouts, ref))
     out_type = T.StructType([T.StructField("value", value_type), T.StructField("error", T.StringType())])
-    arrow = to_arrow_type(out_type, timezone="UTC")
+    arrow = to_arrow_type(out_type)
 
     @F.arrow_udf(out_type)
     def adt_decode(rows: pa.Array) -> pa.Array:
@@ -52,7 +52,16 @@ def decoder(source: str, root: str, major: int = 2, check_hash: bool = True):
     return adt_decode
 
 
-def _bytes_to(kind: str, arrow: pa.DataType, call):
+def _open(t: T.DataType) -> T.DataType:
+    """``t`` with all nullable and without metadata, as Arrow batches carry it."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _open(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_open(t.elementType))
+    return t
+
+
+def _bytes_to(kind: T.DataType, arrow: pa.DataType, call):
     @F.arrow_udf(kind)
     def run(rows: pa.Array) -> pa.Array:
         return pa.array([None if r is None else call(r) for r in rows.to_pylist()], arrow)
@@ -64,11 +73,11 @@ def _first(call):
     return lambda *a: wire.code_of(call, *a)[0]
 
 
-word_pack = _bytes_to("binary", pa.binary(), _first(wire.pack))
-word_unpack = _bytes_to("binary", pa.binary(), _first(wire.unpack))
-adt_verify = _bytes_to("string", pa.string(), lambda b: wire.code_of(wire.verify, b)[1])
-frame_wrap = _bytes_to("binary", pa.binary(), _first(wire.frame_encode))
-frame_unwrap = _bytes_to("binary", pa.binary(), _first(wire.body_of))
+word_pack = _bytes_to(T.BinaryType(), pa.binary(), _first(wire.pack))
+word_unpack = _bytes_to(T.BinaryType(), pa.binary(), _first(wire.unpack))
+adt_verify = _bytes_to(T.StringType(), pa.string(), lambda b: wire.code_of(wire.verify, b)[1])
+frame_wrap = _bytes_to(T.BinaryType(), pa.binary(), _first(wire.frame_encode))
+frame_unwrap = _bytes_to(T.BinaryType(), pa.binary(), _first(wire.body_of))
 
 
 def int_block(values: Column) -> Column:
@@ -76,12 +85,12 @@ def int_block(values: Column) -> Column:
     return _int_block(values)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _int_block(rows: pa.Array) -> pa.Array:
     return pa.array([None if r is None else wire.block_encode(r) for r in rows.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def int_block_values(rows: pa.Array) -> pa.Array:
     return pa.array([None if r is None else _block(r) for r in rows.to_pylist()], pa.list_(pa.int64()))
 
@@ -91,7 +100,11 @@ def _block(data: bytes):
     return None if value is None else value.tolist()
 
 
-@F.udtf(returnType="kind string, value string, line int, col int, offset int, length int")
+def _row(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+@F.udtf(returnType=_row(kind=T.StringType(), value=T.StringType(), line=T.IntegerType(), col=T.IntegerType(), offset=T.IntegerType(), length=T.IntegerType()))
 class TdTokens:
     """The tokens of a schema text."""
 
@@ -100,7 +113,7 @@ class TdTokens:
             yield t.kind, t.value, t.line, t.col, t.offset, t.length
 
 
-@F.udtf(returnType="decl_ix int, kind string, name string, generics array<string>, row_ix int, part_ix int, member string, type_text string")
+@F.udtf(returnType=_row(decl_ix=T.IntegerType(), kind=T.StringType(), name=T.StringType(), generics=T.ArrayType(T.StringType()), row_ix=T.IntegerType(), part_ix=T.IntegerType(), member=T.StringType(), type_text=T.StringType()))
 class TdParse:
     """The declarations of a schema text, a row for each member (one for a declaration without)."""
 
@@ -112,7 +125,7 @@ class TdParse:
                 yield i, d.kind, d.name, list(d.generics), m["row_ix"], m["part_ix"], m["name"], m["type_text"]
 
 
-@F.udtf(returnType="severity string, message string, line int, col int, length int")
+@F.udtf(returnType=_row(severity=T.StringType(), message=T.StringType(), line=T.IntegerType(), col=T.IntegerType(), length=T.IntegerType()))
 class TdProblems:
     """What the parser and the resolver report of a schema text."""
 

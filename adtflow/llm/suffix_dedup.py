@@ -13,8 +13,9 @@ A suffix array of a whole corpus would need many times the corpus; what repeats
    two linear sweeps induce all the rest. The first level sweeps a bucket at a time on arrays. Permuted common
    prefixes with the neighbour in suffix order follow from the irreducible ones. A window is repeated where its
    common prefix with either neighbour reaches LENGTH.
-4. An anchor with very many regions (a passage in a large part of all documents) is dealt over several shards; the
-   windows that are single within their shard are then counted by hash over the anchor's shards, so none is missed.
+4. An anchor with very many regions (a passage in a large part of all documents) is dealt by those cores, a part of
+   each region to the shard of each of its cores. A shard that is still very large is solved in pieces; the windows
+   that are single within a piece are then counted by hash over all pieces, so none is missed.
 5. Marks go back to every occurrence, and documents are cut.
 
 Strings are judged on the input. Matches never cross documents. Documents are known by id and a hash of their
@@ -38,8 +39,10 @@ from adtflow.llm.common import _BYTE_VALUE, materialize, mix, powers, signed, su
 
 LENGTH = 400
 GRAM = 32
-#: Regions of one anchor that one shard takes; more are dealt over several shards (step 4).
+#: Regions of one anchor that are dealt whole; more are dealt by their cores (step 4).
 HOT = 2048
+#: Texts of one core that one suffix array takes; more are solved in pieces (step 4).
+PIECE = 8192
 #: Bytes of text in one suffix array.
 SHARD = 1 << 19
 
@@ -269,6 +272,16 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     return [both[a : a + max(0, s - length + 1)] for a, s in zip(first, sizes, strict=True)]
 
 
+def _cells(off, size, length: int):
+    """For each depth class q of an anchor at ``off`` in a region of ``size`` bytes: which regions have windows there,
+    and their least and greatest distance from start to anchor. Works on numbers and on arrays."""
+    step = max(1, (length - GRAM) // 4)
+    least = np.maximum(0, off - (size - length))
+    for q in range((length - 1) // step + 1):
+        near, far = np.maximum(least, q * step), np.minimum(off, q * step + step - 1)
+        yield q, step, near, far, near <= far
+
+
 def contested_starts(held: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[np.ndarray]:
     """Repeated starts of regions (anchor, the anchor's place, text), of different texts for one anchor.
 
@@ -284,12 +297,9 @@ def contested_starts(held: list[tuple[int, int, bytes]], length: int = LENGTH) -
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE_VALUE[raw] * up[: len(raw)], out=sums[1:])
     anchor = np.array([a for a, _, _ in held], np.int64).view(np.uint64)
-    least = np.maximum(0, off - (sizes - length))  # windows start from off - least down to 0
-    step = max(1, (length - GRAM) // 4)
     who, lows, highs, keys, parts = [], [], [], [], []
-    for q in range((length - 1) // step + 1):
-        near, far = np.maximum(least, q * step), np.minimum(off, q * step + step - 1)
-        i = np.flatnonzero(near <= far)
+    for q, step, near, far, there in _cells(off, sizes, length):
+        i = np.flatnonzero(there)
         if not len(i):
             continue
         at = first[i] + off[i]
@@ -372,39 +382,59 @@ def regions(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = G
 def _regions_of(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for big in batches:
-            for batch in sub_batches(big, "_text"):
-                raw, at = text_bytes(batch.column("_text"))
+            for batch in sub_batches(big, "__text"):
+                raw, at = text_bytes(batch.column("__text"))
                 row, lo, size, off, anchor, content = regions(raw, at, length)
-                take = pa.array(row)
+                order = np.lexsort((lo, content, anchor, row))  # a document's equal regions (of a repeated line) are one row
+                row, lo, size, off, anchor, content = (x[order] for x in (row, lo, size, off, anchor, content))
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+                first = np.flatnonzero(new)
+                take = pa.array(row[first])
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(lo.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("_id").take(take), batch.column("_hash").take(take), pa.array(lo.astype(np.int32)),
-                        pa.array(size.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(content)),
+                        batch.column("__id").take(take), batch.column("__hash").take(take), places, pa.array(size[first].astype(np.int32)),
+                        pa.array(off[first].astype(np.int32)), pa.array(signed(anchor[first])), pa.array(signed(content[first])),
                     ],
-                    names=["_id", "_hash", "lo", "size", "off", "anchor", "content"],
+                    names=["__id", "__hash", "los", "size", "off", "anchor", "content"],
                 )
 
-    return docs.select("_id", "_hash", "_text").mapInArrow(run, "_id long, _hash long, lo int, size int, off int, anchor long, content long")
+    return docs.select("__id", "__hash", "__text").mapInArrow(run, "__id long, __hash long, los array<int>, size int, off int, anchor long, content long")
+
 
+_FETCHED = "anchor long, content long, shard int, base int, off int, piece binary"
 
-_FETCHED = "anchor long, content long, shard int, hot boolean, off int, piece binary"
 
+def _fetch(length: int):
+    """The bytes asked for, out of each document; of hot anchors a row for each core."""
 
-def _fetch(batches):
-    """The bytes asked for, out of each document."""
-    for big in batches:
-        for batch in sub_batches(big, "_text"):
-            out: list[tuple] = []
-            for text, asked in zip(batch.column("_text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                data = text.encode()
-                out += [(a["anchor"], a["content"], a["shard"], a["hot"], a["off"], data[a["lo"] : a["lo"] + a["size"]]) for a in asked]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-            names = [c.split()[0] for c in _FETCHED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    def run(batches):
+        for big in batches:
+            for batch in sub_batches(big, "__text"):
+                out: list[tuple] = []
+                for text, asked in zip(batch.column("__text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                    data = text.encode()
+                    for a in asked:
+                        piece, off = data[a["lo"] : a["lo"] + a["size"]], a["off"]
+                        if not a["hot"]:
+                            out.append((a["anchor"], a["content"], 0, 0, off, piece))
+                            continue
+                        for q, step, near, far, there in _cells(off, a["size"], length):
+                            if there:
+                                core = piece[off - q * step : off - q * step - step + 1 + length]
+                                shard = int.from_bytes(hashlib.blake2b(core, digest_size=3, salt=bytes((q,))).digest(), "little") + 1
+                                low = int(off - far)
+                                out.append((a["anchor"], a["content"], shard, low, int(far), piece[low : off - int(near) + length]))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                names = [c.split()[0] for c in _FETCHED.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return run
 
 
-_MARKS = "anchor long, content long, a int, b int, window long, hot boolean"
+_MARKS = "anchor long, content long, a int, b int, window long"
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -413,71 +443,87 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sort_shards(length: int):
-    """Rows arrive sorted by (anchor, shard, content); a suffix array takes whole (anchor, shard) groups."""
+    """Rows arrive sorted by (anchor, shard, content); a suffix array takes whole (anchor, shard) groups, or pieces of a
+    very large one."""
 
-    def solve(held):
-        """Marks [a, b) of repeated bytes within a region; for hot anchors also each single window's hash."""
+    def solve(held, in_pieces: bool):
+        """Marks [a, b) of repeated bytes within a region; of a group in pieces also each single window's hash."""
         flags = contested_starts([(r[0], r[4], r[5]) for r in held], length)
         out = []
-        for (anchor, content, _, hot, _, piece), f in zip(held, flags, strict=True):
-            out += [(anchor, content, a, b + length - 1, None, hot) for a, b in _runs(f)]
-            if hot:
+        for (anchor, content, _, base, _, piece), f in zip(held, flags, strict=True):
+            out += [(anchor, content, base + a, base + b + length - 1, None) for a, b in _runs(f)]
+            if in_pieces:
                 for s in np.flatnonzero(~f).tolist():
                     digest = hashlib.blake2b(piece[s : s + length], digest_size=8).digest()
-                    out.append((anchor, content, s, s + length, int.from_bytes(digest, "little", signed=True), hot))
+                    out.append((anchor, content, base + s, base + s + length, int.from_bytes(digest, "little", signed=True)))
+                # what is repeated within a piece may be single in another
+                out += [
+                    (anchor, content, base + s, base + s + length, int.from_bytes(hashlib.blake2b(piece[s : s + length], digest_size=8).digest(), "little", signed=True))
+                    for s in np.flatnonzero(f).tolist()
+                ]
         return out
 
     def emit(out):
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         names = [c.split()[0] for c in _MARKS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, size, last, group, in_pieces = [], 0, None, 0, False
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last is not None and r[:3] == last[:3]:
+                if last is not None and r[:4] == last[:4]:
                     continue  # asked of two equal documents
-                if size >= SHARD and r[0:3:2] != last[0:3:2]:
-                    yield emit(solve(held))
-                    held, size = [], 0
+                if last is None or r[0] != last[0] or r[2] != last[2]:
+                    if held and (size >= SHARD or in_pieces):
+                        yield emit(solve(held, in_pieces))
+                        held, size = [], 0
+                    group, in_pieces = 0, False
+                elif group >= PIECE:
+                    alone = [x for x in held if x[0] == r[0] and x[2] == r[2]]
+                    others = held[: len(held) - len(alone)]
+                    if others:
+                        yield emit(solve(others, False))
+                    yield emit(solve(alone, True))
+                    held, size, group, in_pieces = [], 0, 0, True
                 held.append(r)
                 size += len(r[5])
+                group += 1
                 last = r
         if held:
-            yield emit(solve(held))
+            yield emit(solve(held, in_pieces))
 
     return run
 
 
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_id, _hash, spans): for each document with any, the [start, end) of repeated bytes, overlapping.
+    """(__id, __hash, __spans): for each document with any, the [start, end) of repeated bytes, overlapping.
 
-    ``docs`` has _id, _hash and _text. Only regions (about 1 in 190 bytes, 40 bytes each), the texts of contested
+    ``docs`` has __id, __hash and __text. Only regions (about 1 in 190 bytes, 40 bytes each), the texts of contested
     ones and the spans move; the regions are written once to the shared folder.
     """
     made = materialize(_regions_of(docs, length), "regions")
     kinds = made.groupBy("anchor", "content").agg(
-        F.count("*").alias("n"), F.min(F.struct("_id", "_hash", "lo", "size", "off")).alias("at")
+        F.sum(F.size("los")).alias("n"), F.min(F.struct("__id", "__hash", F.element_at("los", 1).alias("lo"), "size", "off")).alias("at")
     )
     per = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     kinds = materialize(kinds.join(per, "anchor"), "kinds")
-    shard = F.when(F.col("kinds") > HOT, F.pmod(F.xxhash64("content"), F.ceil(F.col("kinds") / HOT))).otherwise(F.lit(0)).cast("int")
-    asked = kinds.where("kinds > 1").select("at._id", "at._hash", F.struct("anchor", "content", shard.alias("shard"), (F.col("kinds") > HOT).alias("hot"), "at.lo", "at.size", "at.off").alias("q"))
-    asked = asked.groupBy("_id", "_hash").agg(F.collect_list("q").alias("asked"))
-    pieces = docs.join(asked, ["_id", "_hash"]).select("_text", "asked").mapInArrow(_fetch, _FETCHED)
+    asked = kinds.where("kinds > 1").select("at.__id", "at.__hash", F.struct("anchor", "content", (F.col("kinds") > HOT).alias("hot"), "at.lo", "at.size", "at.off").alias("q"))
+    asked = asked.groupBy("__id", "__hash").agg(F.collect_list("q").alias("asked"))
+    pieces = docs.join(asked, ["__id", "__hash"]).select("__text", "asked").mapInArrow(_fetch(length), _FETCHED)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = pieces.repartition(n, "anchor", "shard").sortWithinPartitions("anchor", "shard", "content")
     found = materialize(dealt.mapInArrow(_sort_shards(length), _MARKS), "marks")
     sure = found.where("window is null").select("anchor", "content", "a", "b")
-    single = found.where("window is not null")  # of hot anchors: equal windows in different shards
+    single = found.where("window is not null")  # of groups solved in pieces: equal windows in different pieces
     again = single.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
     across = single.join(again, ["anchor", "window"]).select("anchor", "content", "a", "b")
     whole = kinds.where("n > 1").select("anchor", "content", F.lit(0).alias("a"), F.col("at.size").alias("b"))
     spans = sure.unionByName(across).unionByName(whole).groupBy("anchor", "content").agg(F.collect_set(F.struct("a", "b")).alias("ab"))
-    back = made.join(spans, ["anchor", "content"]).select("_id", "_hash", F.explode(F.transform("ab", lambda s: F.struct((F.col("lo") + s["a"]).alias("a"), (F.col("lo") + s["b"]).alias("b")))).alias("s"))
-    return back.groupBy("_id", "_hash").agg(F.collect_set("s").alias("spans"))
+    placed = F.flatten(F.transform("los", lambda lo: F.transform("ab", lambda s: F.struct((lo + s["a"]).alias("a"), (lo + s["b"]).alias("b")))))
+    back = made.join(spans, ["anchor", "content"]).select("__id", "__hash", placed.alias("s"))
+    return back.groupBy("__id", "__hash").agg(F.flatten(F.collect_list("s")).alias("__spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -492,16 +538,16 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def with_identity(docs: DataFrame) -> DataFrame:
-    """``docs`` with _id (null: the least long), _hash and _text (null: empty)."""
+    """``docs`` with __id (null: the least long), __hash and __text (null: empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_hash": F.xxhash64(text), "_text": text})
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__hash": F.xxhash64(text), "__text": text})
 
 
 def judged(docs: DataFrame, columns: list[str], length: int = LENGTH) -> DataFrame:
-    """``columns`` of ``docs`` with _text and spans (null where nothing repeats)."""
+    """``columns`` of ``docs`` with __text and spans (null where nothing repeats)."""
     own = with_identity(docs)
-    found = marks(own.select("_id", "_hash", "_text"), length)
-    return own.select(*[F.col(f"`{c}`") for c in columns], "_id", "_hash", "_text").join(found, ["_id", "_hash"], "left").drop("_id", "_hash")
+    found = marks(own.select("__id", "__hash", "__text"), length)
+    return own.select(*[F.col(f"`{c}`") for c in columns], "__id", "__hash", "__text").join(found, ["__id", "__hash"], "left").drop("__id", "__hash")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -509,9 +555,9 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for big in batches:
-            for batch in sub_batches(big, "_text"):
+            for batch in sub_batches(big, "__text"):
                 out = []
-                for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                     data, runs = text.encode(), merged(spans)
                     kept, at = hashlib.sha256(), 0
                     for a, b in runs:
@@ -541,9 +587,9 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for big in batches:
-            for batch in sub_batches(big, "_text"):
+            for batch in sub_batches(big, "__text"):
                 texts, keep = [], []
-                for i, (text, spans) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+                for i, (text, spans) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
                     runs = merged(spans)
                     if runs:
                         data, parts, at = text.encode(), [], 0

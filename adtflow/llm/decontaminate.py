@@ -2,9 +2,10 @@
 
 Words are runs of letters, digits and bytes beyond ASCII, with ASCII capitals folded, so punctuation and case
 don't hide a copy. Every run of ``SEED`` words of a test item is looked up in all documents, and the number of
-documents that hold it is counted. An item's seeds are its rare n-grams: all that at most one document in 1000
-holds, and of the others those no more frequent than the item's upper quartile; an item copied everywhere
-therefore keeps its seeds. A document that holds a seed is aligned with the item around the seed's diagonal by
+documents that hold it is counted, and likewise every run of ``SEED`` + 2. An item's seeds are its rare n-grams: those
+that at most FEW documents or one in 1000 hold; and those that are frequent because the item is, which shows in at
+least half of their documents also holding a longer run of the item around them. A passage copied everywhere therefore
+keeps its seeds, and a common turn of phrase is none. A document that holds a seed is aligned with the item around the seed's diagonal by
 Smith-Waterman on words (match 2, mismatch -1, gap -1), which bridges words that were changed, dropped or put in.
 A pair counts as contaminated where the score is at least ``THRESHOLD`` of what a full copy of the item, or of 50
 of its words, would score.
@@ -30,6 +31,7 @@ SEED = 3
 THRESHOLD = 0.5
 FULL = 50
 MATCH, MISMATCH, GAP = 2, 1, 1
+FEW = 20
 BLOCK_BYTES = 32 << 20
 
 _BREAK = np.ones(256, dtype=bool)
@@ -79,14 +81,26 @@ class Items:
         self.gram, self.place, self.item = self.gram[order], self.place[order], self.item[order]
         self.members: Members | None = None
 
+    def longer(self) -> np.ndarray:
+        """Hashes of all runs of ``seed`` + 2 words of the items."""
+        parts = [shingles(w, np.zeros(len(w), np.int64), self.seed + 2)[0] for w in self.words if len(w) >= self.seed + 2]
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
     def keep_rare(self, documents: dict[int, int], total: int) -> None:
-        """Leave the seeds alone; ``documents`` has each n-gram's number of documents."""
+        """Leave the seeds alone; ``documents`` has the number of documents of each n-gram and longer run."""
         held = np.array([documents.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        keep = np.zeros(len(held), bool)
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == i)
-            if len(mine):
-                keep[mine] = held[mine] <= max(total / 1000, np.quantile(held[mine], 0.75))
+        keep = held <= max(FEW, total / 1000)
+        for i in np.unique(self.item[~keep]).tolist():
+            w = self.words[i]
+            around = np.zeros(max(1, len(w) - self.seed + 1), np.int64)  # the most documents of a longer run over each place
+            if len(w) < self.seed + 2:
+                around[:] = np.iinfo(np.int64).max
+            else:
+                runs = shingles(w, np.zeros(len(w), np.int64), self.seed + 2)[0].view(np.int64).tolist()
+                for k, n in enumerate(documents.get(r, 0) for r in runs):
+                    around[k : k + 3] = np.maximum(around[k : k + 3], n)
+            mine = np.flatnonzero((self.item == i) & ~keep)
+            keep[mine] = around[self.place[mine]] >= held[mine] / 2
         self.gram, self.place, self.item = self.gram[keep], self.place[keep], self.item[keep]
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     out = None
     for ids, items_text in _blocks(benchmark):
         items = Items(ids, items_text, seed)
-        index = spark.sparkContext.broadcast(Members(np.unique(items.gram)))
+        index = spark.sparkContext.broadcast(Members(np.union1d(items.gram, items.longer())))
 
         def count(batches, index=index, seed=seed):
             total: dict[int, int] = {}
@@ -223,7 +237,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     h, row, _, _ = tokens(batch.column("text"))
                     grams, gram_row, _ = grams_of(h, row, seed)
                     mine, at = index.value.where(grams)
-                    pairs = np.unique(np.column_stack([gram_row[mine], at]), axis=0)
+                    runs, run_row = shingles(h, row, seed + 2)
+                    more, at_more = index.value.where(runs)
+                    pairs = np.unique(np.column_stack([np.concatenate([gram_row[mine], run_row[more]]), np.concatenate([at, at_more])]), axis=0)
                     for k, n in zip(*np.unique(pairs[:, 1], return_counts=True), strict=True):
                         total[int(k)] = total.get(int(k), 0) + int(n)
             grams = index.value.values[list(total)].view(np.int64) if total else np.zeros(0, np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtflow.functions import codec, render, udfs, wire
+from adtflow.functions import render, udfs, wire
 from adtflow.operators import columnar as C
 from adtflow.plans import catalog as K
 from adtflow.plans.layout import Layouts
@@ -559,17 +559,96 @@ def layout_hashes(spark, sf_dir):
     return spark.createDataFrame(rows, "major int, name string, hash string, manifest string")
 
 
+BATCH_TD = """typeDiagram
+type Batch { rows: List<Row> }
+type Row { order: Int, part: Int, line: Int, quantity: Float, price: Float, flag: String, ship: DateTime, late: Option<Int> }
+"""
+
+
+def lines_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship = F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', l_shipdate))")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
+        F.col("l_returnflag").alias("flag"), ship.alias("ship"), F.when(F.col("l_linenumber") > 3, F.col("l_suppkey")).alias("late"),
+    )
+
+
+def encode_batches(rows: DataFrame, mode: str = "framed") -> DataFrame:
+    """(rows, bytes): each Arrow batch as one message of BATCH_TD, whole columns at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from adtflow.functions import arrow_groups
+
+        layouts = Layouts(build(BATCH_TD), 2)
+        schema_hash = layouts.hash("Batch")
+        for batch in batches:
+            body = arrow_groups.encode_rows(layouts, "Batch", "rows", pa.StructArray.from_arrays(batch.columns, names=batch.schema.names))
+            data = body if mode == "bare" else wire.frame_encode(body, mode == "packed", schema_hash)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([data], pa.binary())], names=["rows", "bytes"])
+
+    return rows.mapInArrow(run, "rows long, bytes binary")
+
+
+def decode_batches(messages: DataFrame) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        from adtflow.functions import arrow_groups
+
+        layouts = Layouts(build(BATCH_TD), 2)
+        for batch in batches:
+            for data in batch.column("bytes").to_pylist():
+                rows = arrow_groups.decode_rows(layouts, "Batch", "rows", data)
+                if rows is not None:
+                    yield pa.RecordBatch.from_arrays(rows.flatten(), names=[f.name for f in rows.type])
+
+    return messages.select("bytes").mapInArrow(run, "order long, part long, line long, quantity double, price double, flag string, ship timestamp, late long")
+
+
+@query(
+    """SELECT CAST(l_linenumber AS BIGINT) AS line, l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders, CAST(sum(l_partkey) AS BIGINT) AS parts, max(l_extendedprice) AS price,
+min(epoch_us(l_shipdate)) AS first_ship, CAST(coalesce(sum(CASE WHEN l_linenumber > 3 THEN l_suppkey END), 0) AS BIGINT) AS late FROM lineitem GROUP BY 1, 2"""
+)
+def columnar_messages_roundtrip(spark, sf_dir):
+    """All lines encoded as column groups, framed, decoded again and summed."""
+    back = decode_batches(encode_batches(lines_as_rows(spark, sf_dir)))
+    return back.groupBy("line", "flag").agg(
+        F.count("*").alias("n"), F.sum("order").alias("orders"), F.sum("part").alias("parts"), F.max("price").alias("price"), F.min(F.unix_micros("ship")).alias("first_ship"), F.coalesce(F.sum("late"), F.lit(0)).alias("late")
+    )
+
+
 @query()
 def columnar_batches(spark, sf_dir):
-    """Tables as column-group messages, one a batch of rows: bytes against rows, framed and packed."""
+    """Bytes of all lines as column groups: bare, and packed."""
+    bare, packed = (encode_batches(lines_as_rows(spark, sf_dir), m).agg(F.sum("rows").alias("rows"), F.sum(F.octet_length("bytes")).alias("bytes")) for m in ("bare", "packed"))
+    return bare.withColumn("mode", F.lit("bare")).unionByName(packed.withColumn("mode", F.lit("packed")))
+
+
+@query()
+def schemas_in_all_languages(spark, sf_dir):
+    """The input tables' schemas emitted in every language and read back: whether each round trip is whole."""
     import pyarrow as pa
 
+    from adtflow.functions import convert
+    from adtflow.plans.model import Model, resolve
+    from adtflow.plans.text import print_source
+    from adtflow.plans.types import declare
+
+    sources = [(t, print_source(resolve(declare(t.capitalize(), read(spark, sf_dir, t).schema)))) for t in TABLES]
+
     def run(batches):
-        layouts = Layouts(build("type Row { key: Int, customer: Int, price: Float, status: String }\ntype Batch { rows: List<Row> }"), 2)
         for batch in batches:
-            rows = [dict(zip(("key", "customer", "price", "status"), r, strict=True)) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            body = codec.encode(layouts, "Batch", {"rows": rows})
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([len(body)], pa.int64()), pa.array([len(wire.pack(body))], pa.int64())], names=["rows", "bytes", "packed"])
-
-    source = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    return source.mapInArrow(run, "rows long, bytes long, packed long").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum("packed").alias("packed"))
+            rows = []
+            for key, source in zip(batch.column("schema_id").to_pylist(), batch.column("source").to_pylist(), strict=True):
+                model: Model = build(source)
+                for language in convert.LANGUAGES:
+                    text = convert.emit(model, language)
+                    back = convert.read(text, language)
+                    rows.append((key, language, len(text.splitlines()), [f.name for f in back.decls[0].fields] == [f.name for f in model.decls[0].fields]))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            types = (pa.string(), pa.string(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["schema_id", "language", "lines", "same_fields"])
+
+    return spark.createDataFrame(sources, "schema_id string, source string").mapInArrow(run, "schema_id string, language string, lines int, same_fields boolean")

@@ -17,17 +17,20 @@ from adtflow.plans.model import build, validate_for_codegen
 from adtflow.plans.text import print_source, to_json
 
 
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, source) of files by name pattern at any depth. Spark leaves out files of no bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.decode("content", "UTF-8").alias("source"))
+
+
+def read_sources(spark: SparkSession, path: str, pattern: str = "*.td") -> DataFrame:
     """(schema_id, source): each file under ``path`` a schema."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("schema_id"), F.col("value").alias("source"))
+    return _files(spark, path, pattern).withColumnRenamed("path", "schema_id")
 
 
 def stub_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, source) of the stub files under ``stdlib`` and ``stubs`` of a tree."""
-    files = spark.read.option("pathGlobFilter", "*.pyi").option("recursiveFileLookup", True).text(root, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
-    return files.where(F.col("path").rlike(r"/(stdlib|stubs)/"))
+    return _files(spark, root, "*.pyi").where(F.col("path").rlike(r"/(stdlib|stubs)/"))
 
 
 def convert_files(files: DataFrame, language: str = "typeshed") -> DataFrame:

@@ -125,7 +125,7 @@ def test_files_generation_and_watching(spark, tmp_path):
 
     (tmp_path / "stdlib").mkdir()
     (tmp_path / "stdlib" / "a.pyi").write_text("class A:\n    x: int\n")
-    (tmp_path / "stdlib" / "e.pyi").write_text("")
+    (tmp_path / "stdlib" / "e.pyi").write_text("# nothing\n")
     (tmp_path / "stdlib" / "bad.pyi").write_text("class (:\n")
     got = schemas.summary(schemas.convert_files(schemas.stub_files(spark, str(tmp_path)))).first()
     assert (got.files, got.ok, got.empty, got.decls) == (3, 1, 2, 1)
@@ -151,3 +151,35 @@ def test_command_line(tmp_path, capsys):
     assert main(["hash", str(path), "A"]) == 0 and capsys.readouterr().out.startswith("0x")
     path.write_text("type A {")
     assert main(["convert", str(path)]) == 1
+
+
+def test_column_groups_from_arrow_are_the_codecs_bytes():
+    import pyarrow as pa
+
+    from adtflow.functions import arrow_groups
+    from adtflow.plans.types import to_value
+
+    layouts = Layouts(build("""type B { rows: List<R> }
+type R { k: Int, f: Float, ok: Bool, s: String, o: Option<String>, t: DateTime, w: Option<Int>, tags: List<String>, h: Option<H>, p: P, n: List<Int>, e: E, u: Uuid }
+type H { s: String, z: Int }
+union P { Cash, Card(H), Text(String) }
+union E { A, B }"""), 2)
+    kind = pa.struct([
+        ("k", pa.int64()), ("f", pa.float64()), ("ok", pa.bool_()), ("s", pa.string()), ("o", pa.string()), ("t", pa.timestamp("us", "UTC")), ("w", pa.int64()), ("tags", pa.list_(pa.string())),
+        ("h", pa.struct([("s", pa.string()), ("z", pa.int64())])), ("p", pa.struct([("tag", pa.string()), ("Card", pa.struct([("s", pa.string()), ("z", pa.int64())])), ("Text", pa.string())])),
+        ("n", pa.list_(pa.int64())), ("e", pa.string()), ("u", pa.binary()),
+    ])
+    rows = [
+        {
+            "k": i - 50, "f": i / 7, "ok": i % 2 == 0, "s": "ä" * (i % 5), "o": None if i % 3 else "x" * (i * 4), "t": 10**15 + i, "w": None if i % 4 else i, "tags": ["a", ""][: i % 3], "h": None if i % 5 else {"s": "h", "z": i},
+            "p": {"tag": ["Cash", "Card", "Text"][i % 3], "Card": {"s": "c", "z": i} if i % 3 == 1 else None, "Text": "t" if i % 3 == 2 else None}, "n": [i, -i][: i % 3], "e": "AB"[i % 2], "u": bytes([i]) * 16,
+        }
+        for i in range(100)
+    ]
+    table = pa.array(rows, kind)
+    for part in (table, table.slice(17, 30), table.slice(0, 1), table.slice(0, 0)):
+        data = arrow_groups.encode_rows(layouts, "B", "rows", part)
+        assert data == codec.encode(layouts, "B", {"rows": [to_value(layouts, layouts.ref("R"), r) for r in part.to_pylist()]})
+        back = arrow_groups.decode_rows(layouts, "B", "rows", data)
+        assert (len(part) == 0 and not back) or back.to_pylist() == part.to_pylist()
+    assert wire.code_of(arrow_groups.decode_rows, layouts, "B", "rows", data[:-8])[1] if len(data) > 16 else True

@@ -531,3 +531,10 @@ def encode(layouts: Layouts, root: str, value, mode: str = "bare") -> bytes:
 
 def decode(layouts: Layouts, root: str, data: bytes, check_hash: bool = True):
     return Decoder(layouts).message(root, wire.body_of(data, layouts.hash(root) if check_hash else None))
+
+
+def field(fields: list[tuple[str, object]], name: str):
+    """The one value of that name among a dynamic record's fields; none or several is an error."""
+    found = [v for n, v in fields if n == name]
+    need(len(found) == 1, "UnexpectedNull" if not found else "MalformedColumn")
+    return found[0]

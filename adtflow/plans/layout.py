@@ -290,7 +290,24 @@ class Layouts:
         return "\n".join(lines)
 
     def hash(self, root: str) -> int:
-        return fnv1a64(self.manifest(root))
+        """The manifest's FNV-1a; 0 is kept for 'no hash'."""
+        value = fnv1a64(self.manifest(root))
+        if value == 0:
+            raise LayoutError(f"the layout of '{root}' hashes to the reserved 0")
+        return value
+
+    def compatible(self, root: str, advertised: int | None, expected: int | None = None, frozen: tuple[int, ...] = ()) -> bool:
+        """Whether bytes that advertise a hash may be read as ``root``: an expected hash must be met exactly, else the
+        advertised one must be this layout's, or that of an older one frozen as readable; none advertised is no claim."""
+        if expected is not None:
+            return advertised == expected
+        return advertised is None or advertised == self.hash(root) or advertised in frozen
+
+
+def hash_literal(value: int) -> str:
+    """0x1234_5678_9abc_def0."""
+    digits = f"{value:016x}"
+    return "0x" + "_".join(digits[i : i + 4] for i in range(0, 16, 4))
 
 
 def _slot_text(s: Slot, number: dict[str, int]) -> str:

@@ -189,3 +189,12 @@ def test_verification_rejects_aliasing_and_bad_pointers():
     assert wire.code_of(wire.verify, both)[1] == "AmplificationExceeded"
     assert wire.code_of(wire.verify, words(wire.struct_pointer(-1, 0, 0)))[1] is None
     assert wire.fnv1a64("") == 0xCBF29CE484222325 and wire.fnv1a64("a") == 0xAF63DC4C8601EC8C
+
+
+def test_hash_literals_guards_and_dynamic_fields(rows):
+    from adtflow.plans.layout import hash_literal
+
+    assert hash_literal(HASHES[1, "Person"]) == "0x2ee7_a5db_f1c1_61be"
+    own = rows.hash("Person")
+    assert rows.compatible("Person", None) and rows.compatible("Person", own) and not rows.compatible("Person", 7) and rows.compatible("Person", 7, frozen=(7,)) and not rows.compatible("Person", own, expected=7)
+    assert codec.field([("a", 1), ("b", 2)], "b") == 2 and wire.code_of(codec.field, [("a", 1), ("a", 2)], "a")[1] and wire.code_of(codec.field, [], "a")[1]

@@ -194,10 +194,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 if score >= threshold). Reads nothing but the text."""
+    return _scored(docs, model, threshold, text).drop("_row")
+
+
+def accepted(docs: DataFrame, model: RuleModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The documents whose score reaches the threshold, with their own columns."""
+    # A filter is pushed only below deterministic columns; _row keeps it above the statistics, so they are computed once.
+    return _scored(docs, model, threshold, text).where((F.col("predicted") == 1) & (F.col("_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _scored(docs: DataFrame, model: RuleModel, threshold: float, text: str) -> DataFrame:
     stats = statistics(F.col("_t"))
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    named = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    # The statistics are bound once a row, also where the optimizer moves the score into a filter.
-    bound = F.transform(F.array(F.struct(*[stats[f].alias(f) for f in FEATURES])), lambda s: model.score({f: s[f] for f in FEATURES}))
-    scored = named.select(*[F.col(f"`{c}`") for c in kept], F.element_at(bound, 1).alias("score"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    named = docs.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    with_stats = named.select(*kept, F.struct(*[stats[f].alias(f) for f in FEATURES]).alias("_s"), F.monotonically_increasing_id().alias("_row"))
+    scored = with_stats.select(*kept, "_row", model.score({f: F.col("_s")[f] for f in FEATURES}).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

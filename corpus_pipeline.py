@@ -16,7 +16,7 @@ from adtflow.llm.common import materialize, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the rule ensemble rejects (score under 0.3). It learns from the raw documents."""
     model = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

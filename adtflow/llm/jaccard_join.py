@@ -17,6 +17,10 @@ asked for are the classes of documents that links connect.
    numbers, and others only if they share enough differing shingles, which a second index of rare ones finds.
    Pairs already connected are skipped. Lists of that index that are long are families again, with a centre of their own.
 
+5. A family of more than BIG sets is spread. Its centre comes from a bounded sample of its sets (it steers cost alone).
+   Sets near the centre link to the nearest one for certain and are done; the others are held against all sets of the
+   family in cells of at most two times CELL sets, so no task holds a family.
+
 A family's sets move as shingle hashes, and are held as differences only. No pair list of a group is ever made.
 
 Defined results: null, empty and blank texts have no set, 0 shingles, and link with nothing; a text of fewer words
@@ -29,6 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adtflow.llm.common import materialize, mix, shingles, signed, sub_batches, text_bytes, word_hashes, words
@@ -41,7 +46,8 @@ LONG = 64
 #: the REMEMBERED commonest of them. Neither changes a result.
 FREQUENT, REMEMBERED, CHUNK = 4, 1 << 20, 1 << 21
 
-_LAST = np.uint64((1 << 58) - 1)
+#: Sets of a family that one task solves; of a larger one, cells of CELL sets and CELL others, and a sample for its centre.
+BIG, CELL, SAMPLE = 1024, 512, 256
 
 
 def _hashes(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -428,6 +434,98 @@ def _families(percent: int):
     return run
 
 
+def _centres(batches):
+    """Rows arrive sorted by family: what more than half of its sampled sets hold."""
+    family, held = None, []
+
+    def close():
+        value, times = np.unique(np.concatenate(held), return_counts=True)
+        centre = value[2 * times > len(held)]
+        flat = pa.ListArray.from_arrays(pa.array([0, len(centre)], pa.int32()), pa.array(centre))
+        return pa.RecordBatch.from_arrays([pa.array([family], pa.int64()), flat], names=["family", "centre"])
+
+    for batch in batches:
+        for f, s in zip(batch.column("family").to_pylist(), batch.column("tokens"), strict=True):
+            if f != family and held:
+                yield close()
+                held = []
+            family = f
+            held.append(s.values.to_numpy(zero_copy_only=False))
+    if held:
+        yield close()
+
+
+def _differences(percent: int):
+    """Each set as its difference to its family's centre, with its size and the cost of linking."""
+
+    def run(batches):
+        for batch in batches:
+            out, size = [], []
+            for s, c in zip(batch.column("tokens"), batch.column("centre"), strict=True):
+                out.append(np.setxor1d(s.values.to_numpy(zero_copy_only=False), c.values.to_numpy(zero_copy_only=False), assume_unique=True))
+                size.append(len(s.values))
+            lengths = np.array([len(d) for d in out], np.int64)
+            n = np.array(size, np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()))
+            cost = (100 + percent) * lengths - (100 - percent) * n
+            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("sid"), pa.array(n), pa.array(cost), flat], names=["family", "sid", "n", "cost", "delta"])
+
+    return run
+
+
+def _cells(percent: int):
+    """Rows arrive sorted by (family, cell, block, sid). Gives the links' forest of each."""
+
+    def run(batches):
+        key, held, sizes, ids = None, [], [], []
+
+        def close():
+            root = _solve(held, np.array(sizes, np.int64), percent, 0)
+            some = np.flatnonzero(root != np.arange(len(root)))
+            sid = np.array(ids, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(sid[root[some]])], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("family", "cell", "block", "sid", "n")]
+            for f, c, k, sid, n, s in zip(*columns, batch.column("delta"), strict=True):
+                if (f, c, k) != key:
+                    if len(ids) > 1:
+                        yield close()
+                    key, held, sizes, ids = (f, c, k), [], [], []
+                if ids and sid == ids[-1]:
+                    continue
+                held.append(s.values.to_numpy(zero_copy_only=False))
+                sizes.append(n)
+                ids.append(sid)
+        if len(ids) > 1:
+            yield close()
+
+    return run
+
+
+def _spread(sets: DataFrame, counts: DataFrame, percent: int, shuffle: int) -> DataFrame:
+    """Edges (a, b) that connect each big family's sets exactly as its links do. ``counts`` has (family, members)."""
+    rank = W.partitionBy("family").orderBy(F.xxhash64("sid"))
+    # The sample is found by an aggregate of bounded state, not by sorting a family in one task.
+    threshold = F.lit(-(2**63)).cast("double") + F.lit(2.0**64) * (2 * SAMPLE) / F.col("members")
+    sample = sets.join(counts, "family").where(F.xxhash64("sid").cast("double") <= threshold).withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= SAMPLE)
+    centres = sample.select("family", "tokens").repartition(shuffle, "family").sortWithinPartitions("family").mapInArrow(_centres, "family long, centre array<long>")
+    placed = sets.join(centres, "family", "left").select("family", "sid", "tokens", F.coalesce("centre", F.array().cast("array<bigint>")).alias("centre"))
+    delta = materialize(placed.mapInArrow(_differences(percent), "family long, sid long, n long, cost long, delta array<long>"), "differences")
+    nearest = delta.groupBy("family").agg(F.min(F.struct("cost", "sid")).alias("g"))
+    judged = delta.join(nearest, "family")
+    sure = F.col("cost") + F.col("g.cost") <= 0
+    main = judged.where(sure & (F.col("sid") != F.col("g.sid"))).select(F.col("sid").alias("a"), F.col("g.sid").alias("b"))
+    others = judged.where(~sure).drop("g")
+    n_others = others.groupBy("family").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    parts = counts.join(n_others, "family").select("family", F.ceil(F.col("members") / CELL).cast("int").alias("cells"), "blocks")
+    deal = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    every = delta.join(parts, "family").select("family", deal(F.col("cells")).alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "n", "delta")
+    asked = others.join(parts, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), deal(F.col("blocks")).alias("block"), "sid", "n", "delta")
+    both = every.unionByName(asked).repartition(shuffle, "family", "cell", "block").sortWithinPartitions("family", "cell", "block", "sid")
+    return main.unionByName(both.mapInArrow(_cells(percent), "a long, b long"))
+
+
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -467,8 +565,13 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
                     [batch.column("family"), batch.column("sid"), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["family", "sid", "tokens"]
                 )
 
-    whole = fetched.mapInArrow(tokens, "family long, sid long, tokens array<long>")
-    solved = whole.repartition(shuffle, "family").sortWithinPartitions("family", "sid").mapInArrow(_families(percent), "sid long, root long")
+    whole = materialize(fetched.mapInArrow(tokens, "family long, sid long, tokens array<long>"), "families")
+    counts = materialize(family.groupBy(F.col("root").alias("family")).agg(F.count("*").alias("members")).where(F.col("members") > BIG), "big")
+    small = whole.join(counts, "family", "left_anti")
+    solved = small.repartition(shuffle, "family").sortWithinPartitions("family", "sid").mapInArrow(_families(percent), "sid long, root long")
+    if not counts.isEmpty():
+        links = _spread(whole.join(counts, "family", "left_semi"), counts, percent, shuffle)
+        solved = solved.unionByName(components(links).withColumnRenamed("v", "sid"))
     solved = materialize(solved, "classes")
     joined = one.select("sid", "k1", "k2", F.col("at.id").alias("id")).join(solved, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     top = joined.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -491,8 +491,8 @@ def test_classes_are_the_links(docs, texts, n, percent):
     assert [got[i] for i in range(len(texts))] == linked(texts, n, percent)
 
 
-@pytest.mark.parametrize("long", [64, 4])
-def test_families_of_near_copies(spark, monkeypatch, long):
+@pytest.mark.parametrize(("long", "big", "cell"), [(64, 1024, 512), (4, 1024, 512), (64, 20, 16), (4, 8, 5)])
+def test_families_of_near_copies(spark, monkeypatch, long, big, cell):
     rng = random.Random(12)
     bases = [prose(rng, 120).split() for _ in range(2)]
     made = []
@@ -502,6 +502,9 @@ def test_families_of_near_copies(spark, monkeypatch, long):
             w[rng.randrange(len(w))] = word(rng)
         made.append(" ".join(w))
     monkeypatch.setattr(jaccard_join, "LONG", long)
+    monkeypatch.setattr(jaccard_join, "BIG", big)
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 6)
     cloudpickle.register_pickle_by_value(jaccard_join)
     try:
         out = jaccard_join.classes(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()

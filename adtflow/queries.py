@@ -652,3 +652,167 @@ def schemas_in_all_languages(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["schema_id", "language", "lines", "same_fields"])
 
     return spark.createDataFrame(sources, "schema_id string, source string").mapInArrow(run, "schema_id string, language string, lines int, same_fields boolean")
+
+
+# -- the language, text forms, edits and converters --------------------------------------------------------
+
+_MARKS = {"{": "LBrace", "}": "RBrace", "(": "LParen", ")": "RParen", "<": "LAngle", "@": "At", ",": "Comma", ":": "Colon", "=": "Equals"}
+_LITERAL = "'" + FIXTURE.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_KEYWORDS_SQL = "('type', 'union', 'untagged', 'alias', 'function', 'async', 'typeDiagram')"
+
+
+@query(
+    f"""WITH s AS (SELECT {_LITERAL} AS s), w AS (SELECT unnest(regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_]*')) AS w FROM s)
+SELECT 'Ident' AS kind, CAST(count(*) AS BIGINT) AS n FROM w WHERE w NOT IN {_KEYWORDS_SQL}
+UNION ALL SELECT 'Newline', CAST(length(s) - length(replace(s, chr(10), '')) AS BIGINT) FROM s
+UNION ALL SELECT 'TypeKw', CAST(count(*) AS BIGINT) FROM w WHERE w = 'type'
+"""
+    + "\n".join(f"UNION ALL SELECT '{k}', CAST(length(s) - length(replace(s, '{m}', '')) AS BIGINT) FROM s" for m, k in _MARKS.items())
+)
+def token_kinds(spark, sf_dir):
+    """Tokens of a schema text by kind, from the table function."""
+    udfs.register(spark)
+    spark.createDataFrame([(FIXTURE,)], "source string").createOrReplaceTempView("adtflow_sources")
+    counts = spark.sql("SELECT t.kind, count(*) AS n FROM adtflow_sources, LATERAL td_tokens(source) t GROUP BY t.kind")
+    return counts.where(F.col("kind").isin("Ident", "Newline", "TypeKw", *_MARKS.values()))
+
+
+@query(f"WITH {_DECLS_SQL}, f AS (SELECT name, arg_min(kind, decl_ix) AS kind, arg_min(arity, decl_ix) AS arity FROM decls GROUP BY name) SELECT name, kind, CAST(arity AS INT) AS generics FROM f")
+def model_json(spark, sf_dir):
+    """A model as versioned JSON, read by Spark's own JSON reader."""
+    from adtflow.plans.text import to_json
+
+    text = to_json(build(FIXTURE))
+    shape = "struct<version:int,decls:array<struct<kind:string,name:string,generics:array<string>>>>"
+    rows = spark.createDataFrame([(text,)], "j string").select(F.explode(F.from_json("j", shape)["decls"]).alias("d"))
+    return rows.select("d.name", "d.kind", F.size("d.generics").alias("generics"))
+
+
+SAMPLE = """typeDiagram
+
+type User {
+  id: Int
+  name: String
+  tags: List<String>
+  home: Option<Address>
+}
+
+type Address {
+  street: String
+  zip: Int
+}
+
+type Box<T> {
+  item: T
+  more: List<T>
+}
+
+union Shape {
+  Circle { radius: Int }
+  Square { side: Int, label: Option<String> }
+  Nothing
+}
+
+union Color {
+  Red
+  Green
+}
+
+alias Email = String
+"""
+_SAMPLE_SQL = "'" + SAMPLE.replace("\n", "' || chr(10) || '") + "'"
+_LANGUAGES = ("typescript", "python", "typeshed", "rust", "go", "csharp", "fsharp", "dart", "protobuf", "php")
+
+
+@query(f"SELECT language, {_SAMPLE_SQL} AS source FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _LANGUAGES)}) v(language)")
+def convert_round_trips(spark, sf_dir):
+    """A schema emitted in every language, and what reading that gives, as canonical text."""
+    import pyarrow as pa
+
+    def run(batches):
+        from adtflow.functions import convert
+        from adtflow.plans.text import print_source
+
+        for batch in batches:
+            languages = batch.column("language").to_pylist()
+            texts = [print_source(convert.read(convert.emit(build(s), x), x)) for x, s in zip(languages, batch.column("source").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("language"), pa.array(texts)], names=["language", "source"])
+
+    return spark.createDataFrame([(x, SAMPLE) for x in _LANGUAGES], "language string, source string").mapInArrow(run, "language string, source string")
+
+
+#: The same two declarations as people write them in each language.
+SOURCES = {
+    "typescript": "export interface P { x: number; tags?: string[] }\nexport type S = { kind: 'On'; at: number } | { kind: 'Off' };",
+    "python": "from dataclasses import dataclass\n@dataclass\nclass P:\n    x: int\n    tags: Optional[list[str]] = None\n@dataclass\nclass SOn:\n    at: int\nS = SOn | 'Off'\n",
+    "rust": "#[derive(Debug)]\npub struct P { pub x: i32, pub tags: Option<Vec<String>> }\nenum S { On { at: u64 }, Off }",
+    "go": "package p\ntype P struct {\n\tx int\n\ttags *[]string\n}\ntype S interface { isS() }\ntype SOn struct {\n\tat int64\n}\ntype SOff struct{}\nfunc (SOn) isS() {}\nfunc (SOff) isS() {}\n",
+    "csharp": "public record P(int x, List<string>? tags);\npublic abstract record S { public sealed record On(long at) : S; public sealed record Off : S; }",
+    "fsharp": "type P = { x: int; tags: string list option }\ntype S =\n    | On of at: int\n    | Off\n",
+    "dart": "class P { final int x; final List<String>? tags; }\nsealed class S {}\nfinal class On extends S { final int at; }\nfinal class Off extends S {}\n",
+    "protobuf": 'syntax = "proto3";\nmessage P {\n  int64 x = 1;\n  // @td-type: Option<List<String>>\n  repeated bytes tags = 2;\n}\nmessage S {\n  message On { int64 at = 1; }\n  oneof v {\n    On on = 1;\n    google.protobuf.Empty off = 2;\n  }\n}\n',
+    "php": "<?php\nclass P { /** @param Option<List<String>> $tags */ public function __construct(public int $x, public ?array $tags) {} }\ninterface S {}\nclass SOn implements S { public function __construct(public int $at) {} }\nclass SOff implements S { public function __construct() {} }\n",
+}
+_P = "'typeDiagram' || chr(10) || chr(10) || 'type P {' || chr(10) || '  x: Int' || chr(10) || '  tags: Option<List<String>>' || chr(10) || '}' || chr(10) || chr(10) || 'union S {' || chr(10) || '  On { at: Int }' || chr(10) || '  Off' || chr(10) || '}' || chr(10)"
+
+
+@query(f"SELECT language, {_P} AS source FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in SOURCES)}) v(language)")
+def import_sources(spark, sf_dir):
+    """Declarations as found in nine languages, as canonical text."""
+    import pyarrow as pa
+
+    def run(batches):
+        from adtflow.functions import convert
+        from adtflow.plans.text import print_source
+
+        for batch in batches:
+            languages = batch.column("language").to_pylist()
+            texts = [print_source(convert.read(s, x)) for x, s in zip(languages, batch.column("source").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("language"), pa.array(texts)], names=["language", "source"])
+
+    return spark.createDataFrame(list(SOURCES.items()), "language string, source string").mapInArrow(run, "language string, source string")
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_EDITED = {
+    "add": "typeDiagram\n\ntype A {\n  x: B\n}\n\nunion B {\n  N\n}\n\ntype NewType {\n\n}\n", "remove": "typeDiagram\n\nunion B {\n  N\n}\n", "rename": "typeDiagram\n\ntype A {\n  x: C\n}\n\nunion C {\n  N\n}\n",
+    "row": "typeDiagram\n\ntype A {\n  y: List<Int>\n}\n\nunion B {\n  N\n}\n", "connect": "typeDiagram\n\ntype A {\n  x: B\n  b: B\n}\n\nunion B {\n  N\n}\n",
+    "add_row": "typeDiagram\n\ntype A {\n  x: B\n}\n\nunion B {\n  N\n  Variant\n}\n", "remove_row": "typeDiagram\n\ntype A {\n\n}\n\nunion B {\n  N\n}\n",
+}
+
+
+@query("SELECT edit, source FROM (VALUES " + ", ".join(f"('{k}', {_sql_text(v)})" for k, v in _EDITED.items()) + ") v(edit, source)")
+def schema_edits(spark, sf_dir):
+    from adtflow.plans import edits
+
+    source = "type A { x: B }\nunion B { N }"
+    made = {
+        "add": edits.add_declaration(source, "record"), "remove": edits.remove_declaration(source, "A"), "rename": edits.rename_declaration(source, "B", "C"), "row": edits.edit_row(source, "A", 0, "y", "List<Int>"),
+        "connect": edits.connect(source, "A", None, "B"), "add_row": edits.add_row(source, "B"), "remove_row": edits.remove_row(source, "A", 0),
+    }
+    return spark.createDataFrame([(k, text) for k, (text, _) in made.items()], "edit string, source string")
+
+
+@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS frames, CAST(sum(strlen(text)) AS BIGINT) AS body_bytes, CAST(sum(strlen(text) + 12) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id")
+def frame_stream_split(spark, sf_dir):
+    """A conversation's turns as concatenated frames, split again."""
+    import pyarrow as pa
+
+    framed = udfs.frame_wrap(F.encode("text", "UTF-8"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", framed.alias("f"))
+    streams = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "f"))), lambda x: F.hex(x["f"])).alias("f"))
+    whole = streams.select("conv_id", F.unhex(F.array_join("f", "")).alias("stream"))
+
+    def run(batches):
+        for batch in batches:
+            parts = [wire.frames(s) for s in batch.column("stream").to_pylist()]
+            bodies = [sum(len(wire.body_of(f)) for f in p) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), pa.array([len(p) for p in parts], pa.int64()), pa.array(bodies, pa.int64()), pa.array([sum(map(len, p)) for p in parts], pa.int64())],
+                names=["conv_id", "frames", "body_bytes", "bytes"],
+            )
+
+    return whole.mapInArrow(run, "conv_id long, frames long, body_bytes long, bytes long")

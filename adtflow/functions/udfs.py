@@ -12,23 +12,26 @@ from adtflow.functions import codec, wire
 from adtflow.plans import lang
 from adtflow.plans.layout import Layouts
 from adtflow.plans.model import build
-from adtflow.plans.types import from_value, spark_type, to_value
+from adtflow.plans.types import spark_type, to_codec, to_spark
 
 
 def encoder(source: str, root: str, major: int = 2, mode: str = "bare"):
     """A function of a struct column giving struct<bytes: binary, error: string>: each row one message."""
     layouts = Layouts(build(source), major)
-    ref = layouts.ref(root)
     layouts.plan(root)
+    schema_hash = layouts.hash(root)
     kind = T.StructType([T.StructField("bytes", T.BinaryType()), T.StructField("error", T.StringType())])
 
     @F.arrow_udf(kind)
     def adt_encode(rows: pa.Array) -> pa.Array:
-        out = []
-        for row in rows.to_pylist():
-            value, error = (None, None) if row is None else wire.code_of(lambda r: codec.encode(layouts, root, to_value(layouts, ref, r), mode), row)
-            out.append({"bytes": value, "error": error})
-        return pa.array(out, pa.struct([("bytes", pa.binary()), ("error", pa.string())]))
+        turn, encode = to_codec(layouts, layouts.ref(root)), codec.Encoder(layouts)
+
+        def one(row) -> bytes:
+            body = encode.message(root, turn(row))
+            return body if mode == "bare" else wire.frame_encode(body, mode == "packed", None if mode == "elided" else schema_hash)
+
+        out = [(None, None) if row is None else wire.code_of(one, row) for row in rows.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([b for b, _ in out], pa.binary()), pa.array([e for _, e in out], pa.string())], names=["bytes", "error"])
 
     return adt_encode
 
@@ -36,18 +39,20 @@ def encoder(source: str, root: str, major: int = 2, mode: str = "bare"):
 def decoder(source: str, root: str, major: int = 2, check_hash: bool = True):
     """A function of a binary column giving struct<value: .., error: string>: bad bytes are rows, not failures."""
     layouts = Layouts(build(source), major)
-    ref = layouts.ref(root)
+    ref, schema_hash = layouts.ref(root), layouts.hash(root) if check_hash else None
     value_type = _open(spark_type(layouts, ref))
     out_type = T.StructType([T.StructField("value", value_type), T.StructField("error", T.StringType())])
     arrow = to_arrow_type(out_type)
 
     @F.arrow_udf(out_type)
     def adt_decode(rows: pa.Array) -> pa.Array:
-        out = []
-        for data in rows.to_pylist():
-            value, error = (None, None) if data is None else wire.code_of(codec.decode, layouts, root, data, check_hash)
-            out.append({"value": from_value(layouts, ref, value), "error": error})
-        return pa.array(out, arrow)
+        turn, decoder = to_spark(layouts, ref), codec.Decoder(layouts)
+
+        def one(data: bytes):
+            return turn(decoder.message(root, wire.body_of(data, schema_hash)))
+
+        out = [(None, None) if data is None else wire.code_of(one, data) for data in rows.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([v for v, _ in out], arrow.field("value").type), pa.array([e for _, e in out], pa.string())], names=["value", "error"])
 
     return adt_decode
 

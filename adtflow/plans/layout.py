@@ -134,6 +134,8 @@ class Layouts:
         return key if isinstance(key, Ref) else parse(f"alias X = {key}").decls[0].target
 
     def plan(self, key: str | Ref) -> Plan:
+        if (known := self._plans.get(key)) is not None:  # only canonical names are kept
+            return known
         ref = self.plain(self.ref(key))
         name = str(ref)
         if name not in self._plans:

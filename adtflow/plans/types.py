@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import types as T
 
-from adtflow.plans.lang import Decl, Field, Ref, Variant
+from adtflow.plans.lang import Decl, Field, Ref
 from adtflow.plans.layout import Layouts
 
 # The Spark type of each scalar. A Decimal's scale is a value's own, hence the struct.
@@ -49,65 +53,75 @@ def spark_type(layouts: Layouts, ref: Ref, depth: int = 8) -> T.DataType:
     return T.StructType(fields)
 
 
-def to_value(layouts: Layouts, ref: Ref, row):
-    """A Spark value (dicts for structs) as the codec's value."""
-    if row is None:
-        return None
+_EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)
+_MICRO = datetime.timedelta(microseconds=1)
+
+
+def _micros(moment) -> int:
+    if isinstance(moment, int):
+        return moment
+    return ((moment if moment.tzinfo else moment.replace(tzinfo=datetime.UTC)) - _EPOCH) // _MICRO
+
+
+def _compiled(layouts: Layouts, ref: Ref, known: dict, into_codec: bool) -> Callable:
+    """A function that turns values of one type; compiled once a type, a recursive type calling itself."""
     ref = layouts.plain(ref)
+    key = str(ref)
+    if key in known:
+        return lambda v: known[key](v)
     if ref.name not in layouts.decls:
-        if ref.name == "List":
-            return [to_value(layouts, ref.args[0], x) for x in row]
-        if ref.name == "Option":
-            return to_value(layouts, ref.args[0], row)
-        if ref.name == "DateTime" and not isinstance(row, int):
-            import datetime
-
-            moment = row if row.tzinfo else row.replace(tzinfo=datetime.UTC)
-            return (moment - datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)) // datetime.timedelta(microseconds=1)
-        return row
+        if ref.name in ("List", "Option") and ref.args:
+            inner = _compiled(layouts, ref.args[0], known, into_codec)
+            return (lambda v: None if v is None else [inner(x) for x in v]) if ref.name == "List" else inner
+        if ref.name == "DateTime":
+            return (lambda v: None if v is None else _micros(v)) if into_codec else (lambda v: None if v is None else _EPOCH + datetime.timedelta(microseconds=v))
+        if ref.name == "Uuid" and not into_codec:
+            return lambda v: None if v is None else str(uuid.UUID(bytes=v))
+        return lambda v: v
     d = layouts.decls[ref.name]
     bound = dict(zip(d.generics, ref.args, strict=False))
+    known[key] = lambda v: v  # replaced below, before any value comes
     if d.kind == "record":
-        return {f.name: to_value(layouts, layouts.plain(f.type, bound), row.get(f.name)) for f in d.fields if f.type.name != "Unit"}
-    if d.is_enum:
-        return row, None
-    v = next((v for v in d.variants if v.name == row["tag"]), None)
-    if v is None:
-        return row["tag"], None
-    return v.name, to_value(layouts, layouts.plain(v.fields[0].type, bound), row.get(v.name)) if v.fields else None
+        parts = [(f.name, _compiled(layouts, layouts.plain(f.type, bound), known, into_codec)) for f in d.fields if f.type.name != "Unit"]
+        known[key] = lambda v: None if v is None else {n: f(v.get(n)) for n, f in parts}
+    elif d.is_enum:
+        known[key] = (lambda v: None if v is None else (v, None)) if into_codec else (lambda v: None if v is None else v[0])
+    else:
+        some = {v.name: _compiled(layouts, layouts.plain(v.fields[0].type, bound), known, into_codec) for v in d.variants if v.fields}
+        empty = dict.fromkeys(some)
 
+        def into(v):
+            if v is None:
+                return None
+            tag = v["tag"]
+            return tag, some[tag](v.get(tag)) if tag in some else None
 
-def from_value(layouts: Layouts, ref: Ref, value):
-    """The codec's value as a Spark value."""
-    if value is None:
-        return None
-    ref = layouts.plain(ref)
-    if ref.name not in layouts.decls:
-        if ref.name == "List":
-            return [from_value(layouts, ref.args[0], x) for x in value]
-        if ref.name == "Option":
-            return from_value(layouts, ref.args[0], value)
-        if ref.name == "DateTime":
-            import datetime
+        def out(v):
+            if v is None:
+                return None
+            name, payload = v
+            return {"tag": name, **empty} if payload is None else {"tag": name, **empty, name: some[name](payload)}
 
-            return datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(microseconds=value)
-        if ref.name == "Uuid":
-            import uuid
+        known[key] = into if into_codec else out
+    return known[key]
 
-            return str(uuid.UUID(bytes=value))
-        return value
-    d = layouts.decls[ref.name]
-    bound = dict(zip(d.generics, ref.args, strict=False))
-    if d.kind == "record":
-        return {f.name: from_value(layouts, layouts.plain(f.type, bound), value.get(f.name)) for f in d.fields if f.type.name != "Unit"}
-    name, payload = value
-    if d.is_enum:
-        return name
-    out = {"tag": name} | {v.name: None for v in d.variants if v.fields}
-    if payload is not None:
-        v = next(v for v in d.variants if v.name == name)
-        out[name] = from_value(layouts, layouts.plain(v.fields[0].type, bound), payload)
-    return out
+
+def to_codec(layouts: Layouts, ref: Ref) -> Callable:
+    """A function from Spark values (dicts for structs) to the codec's."""
+    return _compiled(layouts, ref, {}, True)
+
+
+def to_spark(layouts: Layouts, ref: Ref) -> Callable:
+    """A function from the codec's values to Spark's."""
+    return _compiled(layouts, ref, {}, False)
+
+
+def to_value(layouts: Layouts, ref: Ref, row):
+    return to_codec(layouts, ref)(row)
+
+
+def from_value(layouts: Layouts, ref: Ref, value):
+    return to_spark(layouts, ref)(value)
 
 
 def declare(name: str, schema: T.StructType) -> list[Decl]:
@@ -139,5 +153,3 @@ def declare(name: str, schema: T.StructType) -> list[Decl]:
     record(name, schema)
     return out
 
-
-__all__ = ["SCALAR_TYPES", "Variant", "declare", "from_value", "spark_type", "to_value"]

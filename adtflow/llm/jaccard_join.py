@@ -9,9 +9,9 @@ asked for are the classes of documents that links connect.
    only those are indexed.
 3. An index list is sorted by set size. For each entry the block of sizes too large to link is skipped, entries are
    skipped by the position of the shingle in both sets (what follows it is too little), and by a lower bound of
-   the difference from a histogram of 16 counters. Long lists are first dealt around leaders, by the same bound
-   and the triangle inequality. Pairs that are left are held against finer profiles, of a size that grows with the
-   set. What is left connects sets into families, loosely: no link leaves a family.
+   the difference from a histogram of 16 counters. Pairs that are left are held against finer profiles, of a size that
+   grows with the set. Long lists make no pairs: their entries gather around leaders, by those profiles and the triangle
+   inequality. What is left connects sets into families, loosely: no link leaves a family.
 4. A family is solved by differences. Every set is kept as its symmetric difference to a centre (what most of the
    family holds), so a set's answers follow from those of the centre: sets near it link for certain by two
    numbers, and others only if they share enough differing shingles, which a second index of rare ones finds.
@@ -205,54 +205,112 @@ def _near_pairs(token, sid, n, pos, hist, percent: int):
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def _around_leaders(sid, n, hist, percent: int):
-    """Pairs that connect a long list's entries so that none that could link are left apart.
+#: An entry joins a leader nearer than this share of the reach of its links, else it leads.
+NEAR = 0.4
 
-    An entry whose bound to its nearest leader is within the reach of any link it can have joins that leader; any
-    other leads. If x (of leader p) and y (of leader q) link, p and q are at most as far apart as x's way to p, y's
-    way to q and the link; leaders no farther apart than that can be are connected.
+
+def _fold(v: np.ndarray, size: int) -> np.ndarray:
+    return v if len(v) == size else v.reshape(-1, size).sum(axis=0, dtype=np.uint8)
+
+
+class _Leaders:
+    """Leaders of one list, whose entries come by ascending size; only leaders are held.
+
+    An entry whose profile is near a leader's joins that leader, any other leads. If x (of leader p) and y (of leader q)
+    link, p and q are at most as far apart as x's way to p, y's way to q and the link's own reach; leaders that may be
+    so near are connected. All distances are lower bounds, from profiles and from sizes.
     """
-    a, b = 100 - percent, 100 + percent
-    reach = a * n * (1 + 100 / percent) / b  # the difference to the largest set that could link
-    leaders: list[int] = []
-    far_member: list[float] = []
-    pairs = []
-    table = np.zeros((64, 16), np.uint8)
-    for i in range(len(sid)):
-        if leaders:
-            far = _apart(table[: len(leaders)], hist[i])
-            k = int(far.argmin())
-            if far[k] <= reach[i]:
-                pairs.append((sid[leaders[k]], sid[i]))
-                far_member[k] = max(far_member[k], float(reach[i]))
+
+    def __init__(self, percent: int):
+        self.factor = (100 - percent) * (1 + 100 / percent) / (100 + percent)  # reach of a link, as a share of the size
+        self.sid: list[int] = []
+        self.n: list[int] = []
+        self.reach: list[float] = []  # of the largest member
+        self.profile: list[np.ndarray] = []
+        self.tables: dict[int, list] = {}  # by length of profile: rows in use, places of leaders, matrix
+
+    def _far(self, v: np.ndarray, n: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, distances) of the leaders that sizes don't put out of ``limit``; their profiles are no longer than ``v``."""
+        places, far = [], []
+        for size, (used, where, matrix) in self.tables.items():
+            if size > len(v):  # larger sets, which come later
                 continue
-        if len(leaders) == len(table):
-            table = np.concatenate([table, np.zeros_like(table)])
-        table[len(leaders)] = hist[i]
-        leaders.append(i)
-        far_member.append(float(reach[i]))
-    member = np.array(far_member)
-    for k in range(1, len(leaders)):
-        limit = member[k] + member[:k] + np.minimum(member[k], member[:k])
-        near = _apart(table[:k], table[k]) <= limit
-        pairs += [(sid[leaders[j]], sid[leaders[k]]) for j in np.flatnonzero(near).tolist()]
-    return pairs
+            here = np.array(where[:used])
+            keep = n - np.array(self.n)[here] <= limit
+            if keep.any():
+                places.append(here[keep])
+                far.append(_apart(matrix[:used][keep], _fold(v, size)))
+        return (np.concatenate(places), np.concatenate(far)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def add(self, sid: int, n: int, profile: bytes):
+        """The leader's sid that this entry joins, or None."""
+        v, reach = np.frombuffer(profile, np.uint8), self.factor * n
+        places, far = self._far(v, n, NEAR * reach)
+        if len(far) and far.min() <= NEAR * reach:
+            k = int(places[far.argmin()])
+            self.reach[k] = max(self.reach[k], reach)
+            return self.sid[k]
+        table = self.tables.setdefault(len(v), [0, [], np.zeros((8, len(v)), np.uint8)])
+        if table[0] == len(table[2]):
+            table[2] = np.concatenate([table[2], np.zeros_like(table[2])])
+        table[2][table[0]] = v
+        table[1].append(len(self.sid))
+        table[0] += 1
+        self.sid.append(sid)
+        self.n.append(n)
+        self.reach.append(reach)
+        self.profile.append(v)
+        return None
+
+    def edges(self):
+        """Pairs of leaders' sids that members could link across."""
+        reach, n = np.array(self.reach), np.array(self.n)
+        most = reach.max(initial=0)
+        for k in range(1, len(self.sid)):
+            places, far = self._far(self.profile[k], self.n[k], (1 + 2 * NEAR) * most)
+            before = places < k
+            places, far = places[before], far[before]
+            limit = NEAR * (reach[k] + reach[places]) + np.minimum(reach[k], reach[places])
+            for j in places[(far <= limit) & (n[k] - n[places] <= limit)].tolist():
+                yield self.sid[j], self.sid[k]
+
+
+def _lead(percent: int):
+    """Rows arrive sorted by (token, n, sid), of long lists only. Each task gives a forest over what must stay connected."""
+
+    def run(batches):
+        forest, token, leaders = Unions(), None, None
+        for batch in batches:
+            for t, sid, n, profile in zip(*(batch.column(c).to_pylist() for c in ("token", "sid", "n", "profile")), strict=True):
+                if t != token:
+                    for a, b in leaders.edges() if leaders else ():
+                        forest.join(a, b)
+                    token, leaders = t, _Leaders(percent)
+                joined = leaders.add(sid, n, profile)
+                if joined is not None:
+                    forest.join(joined, sid)
+        for a, b in leaders.edges() if leaders else ():
+            forest.join(a, b)
+        pairs = np.array([(x, forest.find(x)) for x in forest.up], np.int64).reshape(-1, 2)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _connect(percent: int):
-    """Rows arrive sorted by (token, n, sid). Gives pairs of sets, each once a task: ``sure`` ones connect a long list
-    and stay, others are still to be held against the finer profiles."""
+    """Rows arrive sorted by (token, n, sid). Gives pairs of sets, each once a task, still to be held against the finer
+    profiles; and the entries of lists too long for pairs, as (token, sid) with ``long`` set."""
 
     def run(batches):
-        forest, pairs, held = Unions(), [], []
+        pairs, entries, held = [], [], []
 
         def settle(token, sid, n, pos, hist):
             edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
             size = np.diff(edge)
-            for k in np.flatnonzero(size > LONG).tolist():
-                a, b = edge[k], edge[k + 1]
-                for x, y in _around_leaders(sid[a:b], n[a:b], hist[a:b], percent):
-                    forest.join(int(x), int(y))
+            many = np.repeat(size > LONG, size)
+            if many.any():
+                entries.append(np.column_stack([token[many], sid[many]]))
             few = np.repeat(size <= LONG, size) & np.repeat(size > 1, size)
             pairs.append(_near_pairs(token[few], sid[few], n[few], pos[few], hist[few], percent))
 
@@ -269,10 +327,9 @@ def _connect(percent: int):
             if len(token):
                 settle(token, sid, n, pos, np.column_stack([h1, h2]).view(np.uint8).reshape(-1, 16))
         near = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        sure = np.array([(x, forest.find(x)) for x in forest.up], np.int64).reshape(-1, 2)
-        both = np.concatenate([near, sure[sure[:, 0] != sure[:, 1]]])
+        both = np.concatenate([near, *entries])
         flags = np.arange(len(both)) >= len(near)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(flags)], names=["a", "b", "sure"])
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(flags)], names=["a", "b", "long"])
 
     return run
 
@@ -546,11 +603,13 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     shuffle = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     posted = one.select("sid", "n", "h1", "h2", F.posexplode("prefix").alias("pos", "token"))
     dealt = posted.select("token", "sid", "n", "pos", "h1", "h2").repartition(shuffle, "token").sortWithinPartitions("token", "n", "sid")
-    pairs = materialize(dealt.mapInArrow(_connect(percent), "a long, b long, sure boolean"), "pairs")
+    pairs = materialize(dealt.mapInArrow(_connect(percent), "a long, b long, long boolean"), "pairs")
     side = lambda c: one.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("profile").alias(f"p{c}"))
-    near = pairs.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = pairs.where(~F.col("long")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_profiled(percent), "a long, b long")
-    family = components(near.unionByName(pairs.where("sure").select("a", "b")))
+    lists = pairs.where(F.col("long")).select(F.col("a").alias("token"), F.col("b").alias("sid")).join(one.select("sid", "n", "profile"), "sid")
+    lists = lists.repartition(shuffle, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(_lead(percent), "a long, b long")
+    family = components(near.unionByName(lists))
 
     wanted = one.join(family, one["sid"] == family["v"]).select("sid", F.col("root").alias("family"), F.col("at.id").alias("_id"), F.col("at.hash").alias("_hash"))
     fetched = own.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, ["_id", "_hash"]).select("family", "sid", "_text")

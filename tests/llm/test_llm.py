@@ -542,6 +542,34 @@ def test_solving_a_family_against_all_pairs():
         assert same(got) == same([find(x) for x in range(len(sets))])
 
 
+@pytest.mark.parametrize("percent", [90, 80, 60])
+def test_leaders_leave_no_link_apart(percent):
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        n = int(rng.integers(5, 700))
+        bases, sets = [rng.integers(0, 2**57, n).astype(np.uint64) for _ in range(3)], []
+        for _ in range(70):
+            b = bases[rng.integers(3)].copy()
+            k = rng.choice(n, rng.integers(0, 1 + n // 3), replace=False)
+            b[k] = rng.integers(0, 2**57, len(k))
+            sets.append(np.unique(b[: int(n * rng.uniform(0.7, 1))]))
+        sets.sort(key=len)
+        leaders, forest = jaccard_join._Leaders(percent), jaccard_join.Unions()
+        for i, x in enumerate(sets):
+            joined = leaders.add(i, len(x), jaccard_join.profile(x))
+            if joined is not None:
+                forest.join(joined, i)
+        for a, b in leaders.edges():
+            forest.join(a, b)
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j], assume_unique=True))
+                apart = len(x) + len(sets[j]) - 2 * both
+                assert jaccard_join.profiles_apart(jaccard_join.profile(x), jaccard_join.profile(sets[j])) <= apart
+                if 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                    assert forest.find(i) == forest.find(j)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = {r.v: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -40,28 +40,27 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
     """(conv_id, perspective, turn, role, name, rendered, start, length, mask_start, mask_length), one row for each
     turn and participant. Lengths are in code points; mask_length is 0 where nothing is trained on."""
     who = F.coalesce(F.nullif(F.col(f"`{speaker}`"), F.lit("")), F.lit("unknown"))
+    # Keys without nulls, so that one exchange serves the offsets and the join of block totals.
     t = turns.select(
         F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), who.alias("speaker"), guarded(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("content"),
+        F.coalesce(F.col(f"`{conv}`").cast("string"), F.lit("")).alias("_key"), F.col(f"`{conv}`").isNull().alias("_none"), F.coalesce(F.floor(F.col(f"`{turn}`") / BLOCK), F.lit(-(2**62))).alias("_block"),
     )
-    people = t.where(~F.col("speaker").isin(*system)).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
-    pairs = t.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    people = t.where(~F.col("speaker").isin(*system)).select("_key", "_none", F.col("speaker").alias("perspective")).distinct()
+    pairs = t.join(people, ["_key", "_none"])
     role = F.when(F.col("speaker").isin(*system), "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     pairs = pairs.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", guarded(F.col("speaker"))).otherwise(F.lit("")))
     head = F.concat(F.lit("<|"), "role", F.lit("|>"), "name", F.lit("\n"))
-    pairs = pairs.withColumn("rendered", F.concat(head, "content", F.lit("<|end|>\n"))).withColumn("length", F.length("rendered").cast("long"))
-    pairs = pairs.withColumn("_head", F.length(head).cast("long")).withColumn("_block", F.floor(F.col("turn") / BLOCK))
-    inner = W.partitionBy("conv_id", "perspective", "_block").orderBy("turn", "speaker", "content").rowsBetween(W.unboundedPreceding, -1)
+    pairs = pairs.withColumn("_head", F.length(head).cast("long")).withColumn("length", F.col("_head") + F.length("content") + len("<|end|>\n"))
+    keys = ["_key", "_none", "perspective"]
+    inner = W.partitionBy(*keys, "_block").orderBy("turn", "speaker", "content").rowsBetween(W.unboundedPreceding, -1)
     placed = pairs.withColumn("_in", F.coalesce(F.sum("length").over(inner), F.lit(0)))
-    totals = pairs.groupBy("conv_id", "perspective", "_block").agg(F.sum("length").alias("_n"))
-    outer = W.partitionBy("conv_id", "perspective").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
-        F.col("conv_id").alias("_c"), F.col("perspective").alias("_p"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_base")
-    )
-    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("perspective") == F.col("_p")) & F.col("_block").eqNullSafe(F.col("_b"))
-    out = placed.join(totals, same).withColumn("start", F.col("_base") + F.col("_in"))
+    totals = pairs.groupBy(*keys, "_block").agg(F.sum("length").alias("_n"))
+    outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_block", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_base"))
+    out = placed.join(totals, [*keys, "_block"]).withColumn("start", F.col("_base") + F.col("_in"))
     trained = F.col("role") == "assistant"
     return out.select(
-        "conv_id", "perspective", "turn", "role", "name", "rendered", "start", "length",
+        "conv_id", "perspective", "turn", "role", "name", F.concat(head, "content", F.lit("<|end|>\n")).alias("rendered"), "start", "length",
         (F.col("start") + F.when(trained, F.col("_head")).otherwise(F.lit(0))).alias("mask_start"),
         F.when(trained, F.col("length") - F.col("_head") - 1).otherwise(F.lit(0)).alias("mask_length"),
     )

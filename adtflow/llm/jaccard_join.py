@@ -78,8 +78,16 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         yield pa.RecordBatch.from_arrays(flush(), names=["h", "c"])
 
-    counted = docs.select("_text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.desc("c"), "h").limit(REMEMBERED).toPandas()
+    counted = materialize(docs.select("_text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    kind = F.floor(F.log2("c")).cast("int")
+    # As many classes, from the most frequent down, as REMEMBERED hashes have room for: 64 rows decide, no sort.
+    room, least = REMEMBERED, 64
+    for r in sorted(counted.groupBy(kind.alias("k")).count().collect(), key=lambda r: -r["k"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["k"]
+    top = counted.where(kind >= least).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.minimum(63, 1 + np.log2(np.maximum(1, top["c"].to_numpy(float)))).astype(np.uint64)[order]

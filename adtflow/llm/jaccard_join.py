@@ -593,6 +593,11 @@ def _spread(sets: DataFrame, counts: DataFrame, percent: int, shuffle: int) -> D
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    return _rows(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``classes`` with the hash of each row's text and its class (null without words): ids may be null or repeat."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
@@ -642,17 +647,24 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     solved = materialize(solved, "classes")
     joined = one.select("sid", "k1", "k2", F.col("at.id").alias("id")).join(solved, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     top = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_set = joined.join(top, "root").select("k1", "k2", "component_id")
-    some = made.where("n > 0").select("doc_id", "n", "k1", "k2").join(of_set, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(made.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_set = joined.join(top, "root").select("k1", "k2", "component_id", "root")
+    some = made.where("n > 0").select("doc_id", "_hash", "n", "k1", "k2").join(of_set, ["k1", "k2"]).select("doc_id", "_hash", F.col("n").alias("n_shingles"), "component_id", "root")
+    none = made.where("n = 0").select("doc_id", "_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return some.unionByName(none)
 
 
 def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that some document of smaller id stands for: one of each class stays.
+    """One row of each class: that of the least (id, hash of text), a null id being the least, and any one of rows
+    that are equal in both. Documents without words stay.
 
-    Documents without words stay. Rows of equal id and class are reduced to one.
+    Rows are told apart by id and text, so a row that shares its id with one of another class is judged on its own.
     """
-    found = classes(docs, n, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept
+    row = F.struct("doc_id", "_hash")
+    rows = _rows(docs, n, percent).where("root is not null").groupBy("root", "doc_id", "_hash").agg(F.count("*").alias("times"))
+    rows = materialize(rows, "class-rows")
+    judged = rows.join(rows.groupBy("root").agg(F.min(row).alias("top")), "root").withColumn("first", row.eqNullSafe(F.col("top")))
+    judged = materialize(judged.where(~F.col("first") | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "first"), "judged")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_of"))
+    alone = docs.join(judged, same, "left_anti")
+    repeated = docs.join(judged.where("first"), same).dropDuplicates(["_id", "_of"]).select(docs.columns)
+    return alone.unionByName(repeated)

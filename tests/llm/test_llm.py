@@ -582,6 +582,14 @@ def test_one_of_each(docs, texts, empty):
     assert jaccard_join.classes(empty).count() == 0 and jaccard_join.one_each(empty).count() == 0
 
 
+def test_one_row_of_each_class(spark):
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, b), (4, c), (4, d), (5, c), (6, ""), (None, None), (7, d)]
+    kept = jaccard_join.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, a), (None, b), (4, c), (4, d), (6, ""), (None, None)]))
+
+
 # -- shared parts -----------------------------------------------------------------------------------------
 
 

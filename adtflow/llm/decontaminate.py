@@ -5,7 +5,9 @@ don't hide a copy. Every run of ``SEED`` words of a test item is looked up in al
 documents that hold it is counted, and likewise every run of ``SEED`` + 2. An item's seeds are its rare n-grams: those
 that at most FEW documents or one in 1000 hold; and those that are frequent because the item is, which shows in at
 least half of their documents also holding a longer run of the item around them. A passage copied everywhere therefore
-keeps its seeds, and a common turn of phrase is none. A document that holds a seed is aligned with the item around the seed's diagonal by
+keeps its seeds, and a common turn of phrase is none. Where that leaves words of an item in no seed, its longer runs
+of as few documents stand in, and where all are frequent, the least frequent of every STRETCH in a row, so that no
+item is without seeds over its length. A document that holds a seed is aligned with the item around the seed's diagonal by
 Smith-Waterman on words (match 2, mismatch -1, gap -1), which bridges words that were changed, dropped or put in.
 A pair counts as contaminated where the score is at least ``THRESHOLD`` of what a full copy of the item, or of 50
 of its words, would score.
@@ -32,6 +34,7 @@ THRESHOLD = 0.5
 FULL = 50
 MATCH, MISMATCH, GAP = 2, 1, 1
 FEW = 20
+STRETCH = 5
 BLOCK_BYTES = 32 << 20
 
 _BREAK = np.ones(256, dtype=bool)
@@ -80,6 +83,7 @@ class Items:
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.place, self.item = self.gram[order], self.place[order], self.item[order]
         self.members: Members | None = None
+        self.runs = False  # whether longer runs are among the seeds
 
     def longer(self) -> np.ndarray:
         """Hashes of all runs of ``seed`` + 2 words of the items."""
@@ -101,7 +105,35 @@ class Items:
                     around[k : k + 3] = np.maximum(around[k : k + 3], n)
             mine = np.flatnonzero((self.item == i) & ~keep)
             keep[mine] = around[self.place[mine]] >= held[mine] / 2
-        self.gram, self.place, self.item = self.gram[keep], self.place[keep], self.item[keep]
+        bare = np.unique(self.item[~keep]).tolist()
+        parts = [(self.gram[keep], self.place[keep], self.item[keep])]
+        for i in bare:
+            runs, place = self._stand_ins(i, self.place[keep & (self.item == i)], documents, max(FEW, total / 1000))
+            parts.append((runs, place, np.full(len(runs), i)))
+        self.gram, self.place, self.item = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(self.gram, kind="stable")
+        self.gram, self.place, self.item = self.gram[order], self.place[order], self.item[order]
+        self.runs = len(parts) > 1
+
+    def _stand_ins(self, i: int, places: np.ndarray, documents: dict[int, int], limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Longer runs (hashes, places) to seed item ``i`` with where no seed at ``places`` lies within them."""
+        w = self.words[i]
+        if len(w) < self.seed + 2:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        runs = shingles(w, np.zeros(len(w), np.int64), self.seed + 2)[0]
+        held = np.array([documents.get(int(r), 0) for r in runs.view(np.int64)], np.int64)
+        seeded = np.zeros(len(w) + 1, np.int64)
+        np.add.at(seeded, places + 1, 1)
+        seeded = np.cumsum(seeded)
+        bare = seeded[np.minimum(np.arange(len(runs)) + 3, len(w))] == seeded[: len(runs)]
+        chosen = bare & (held <= limit)
+        left = np.flatnonzero(bare & ~chosen)
+        for stretch in np.split(left, np.flatnonzero(np.diff(left) > 1) + 1):
+            alone = not (len(places) or chosen.any())
+            for k in range(0, len(stretch) if alone else len(stretch) - STRETCH + 1, STRETCH):
+                part = stretch[k : k + STRETCH]
+                chosen[part[held[part].argmin()]] = True
+        return runs[chosen], np.flatnonzero(chosen)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes into ``grams`` and into this index, one pair for each equal n-gram."""
@@ -161,6 +193,9 @@ def find(items: Items, column, threshold: float) -> list[tuple[int, int, float,
     if not len(h):
         return []
     grams, gram_row, first = grams_of(h, row, items.seed)
+    if items.runs:
+        both = zip((grams, gram_row, first), grams_of(h, row, items.seed + 2), strict=True)
+        grams, gram_row, first = (np.concatenate(x) for x in both)
     found = _candidates(items, h, row, grams, gram_row, first)
     count = np.bincount(row, minlength=len(column))
     base = np.cumsum(count) - count

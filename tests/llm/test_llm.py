@@ -274,6 +274,27 @@ def test_an_item_copied_everywhere_is_found(spark):
     assert decontaminate.contaminated(table, spark.createDataFrame([(0, item)], "item_id long, text string")).count() == 60
 
 
+def test_items_of_frequent_phrases_keep_seeds(spark):
+    rng = random.Random(22)
+    item = prose(rng, 40).split()
+    grams = [" ".join(item[k : k + 3]) for k in range(38)]
+    common = [(i, prose(rng, 3) + " " + f" {prose(rng, 1)} ".join(grams)) for i in range(60)]
+    copies = [(100, prose(rng, 30) + " " + " ".join(item) + " " + prose(rng, 30)), (101, " ".join(item[:25]))]
+    benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(common + copies, "doc_id long, text string"), benchmark)
+    assert {100, 101} <= {r.doc_id for r in found.collect()}
+
+
+def test_every_item_keeps_seeds_over_its_length():
+    rng = random.Random(23)
+    for n in (3, 5, 6, 9, 40):
+        items = decontaminate.Items([0], [prose(rng, n)], 3)
+        counts = {int(g): 1000 for g in items.gram.view(np.int64)} | {int(g): 100 for g in items.longer().view(np.int64)}
+        items.keep_rare(counts, 5000)
+        assert len(items.gram) and np.diff(np.sort(items.place)).max(initial=0) < 2 * decontaminate.STRETCH
+        assert len(items.place) == 1 or items.place.min() < decontaminate.STRETCH
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rng = random.Random(8)
     items = [prose(rng, 15) for _ in range(9)]

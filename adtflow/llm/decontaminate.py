@@ -255,9 +255,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     The span is of UTF-8 bytes and reaches from the first to the last aligned word, the first one to within the
     words an edit may have put before it.
     """
+    out = _found(docs, benchmark, threshold, seed)
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start_byte"), "end_byte")).alias("b"))
+    return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("start_byte"), "b.end_byte")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """What ``contaminated`` gives, a row for each row of ``docs`` and item, with the hash of the row's text."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, score double, start_byte long, end_byte long"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, _hash long, item_id long, score double, start_byte long, end_byte long"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("_hash"), F.col("text").cast("string").alias("text"))
     out = None
     for ids, items_text in _blocks(benchmark):
         items = Items(ids, items_text, seed)
@@ -289,26 +296,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         def scan(batches, chosen=chosen):
             for big in batches:
                 for batch in sub_batches(big, "text"):
-                    doc, items = batch.column("doc_id"), chosen.value
+                    doc, of, items = batch.column("doc_id"), batch.column("_hash"), chosen.value
                     found = find(items, batch.column("text"), threshold)
                     columns = list(zip(*found, strict=True)) or [()] * 5
                     yield pa.RecordBatch.from_arrays(
                         [
-                            doc.take(pa.array(columns[0], pa.int64())), pa.array(items.ids[np.array(columns[1], np.int64)], pa.int64()),
+                            doc.take(pa.array(columns[0], pa.int64())), of.take(pa.array(columns[0], pa.int64())), pa.array(items.ids[np.array(columns[1], np.int64)], pa.int64()),
                             pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()),
                         ],
-                        names=["doc_id", "item_id", "score", "start_byte", "end_byte"],
+                        names=["doc_id", "_hash", "item_id", "score", "start_byte", "end_byte"],
                     )
 
         part = texts.mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start_byte"), "end_byte")).alias("b"))
-    return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("start_byte"), "b.end_byte")
+    return spark.createDataFrame([], schema) if out is None else out
+
 
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents in which no test item was found, with all their columns."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, null_ids: bool = False) -> DataFrame:
+    """The documents in which no test item was found, with all their columns. Rows are judged each on its own, by id
+    and text; those of null id stay whatever they hold unless ``null_ids`` has them judged like all others.
+    """
+    bad = _found(docs, benchmark, threshold, SEED).select(F.col("doc_id").alias("_bad"), F.col("_hash").alias("_of")).distinct()
+    doc_id = F.col("doc_id").cast("long")
+    same = doc_id.eqNullSafe(F.col("_bad")) if null_ids else doc_id == F.col("_bad")
+    return docs.join(bad, same & (_text_hash() == F.col("_of")), "left_anti")

@@ -267,6 +267,17 @@ def test_copies_and_edited_copies_are_found_and_clean_ones_left(spark):
     assert sorted(str(r.doc_id) for r in decontaminate.clean(table, benchmark).collect()) == ["2", "3", "4", "5", "None"]
 
 
+def test_leaking_rows_go_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(24)
+    item, other = prose(rng, 30), prose(rng, 60)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, item), (None, other), (None, None), (1, item), (1, other), (2, other)], "doc_id long, text string")
+    kept = cp.without_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, other), (None, None), (1, other), (2, other)]))
+
+
 def test_an_item_copied_everywhere_is_found(spark):
     rng = random.Random(7)
     item = prose(rng, 30)

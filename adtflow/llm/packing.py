@@ -40,13 +40,16 @@ _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]")
 
 
 @lru_cache(maxsize=2)
-def _encoders(path: str, ranks_path: str | None):
+def _encoders(path: str, ranks_path: str | None, added: bool):
+    """The tokenizer file's encoder, the fast one and a pattern of the added tokens that the file finds in texts."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not added
+    contents = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()] if added else []
+    own = re.compile("|".join(contents)) if contents else None
     if ranks_path is None:
-        return whole, None
+        return whole, None, own
     import base64
 
     import public_tokenizers
@@ -54,16 +57,17 @@ def _encoders(path: str, ranks_path: str | None):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return whole, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return whole, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), own
 
 
-def encode(text: str | None, path: str, ranks_path: str | None = None) -> np.ndarray:
+def encode(text: str | None, path: str, ranks_path: str | None = None, added: bool = False) -> np.ndarray:
     """The ids of ``text`` by the tokenizer file at ``path`` as uint32; ``ranks_path`` names the same vocabulary's
-    ranks, used where both give the same ids (plain texts), as they are several times as fast."""
+    ranks, used where both give the same ids (plain texts), as they are several times as fast. ``added`` leaves the
+    file as it is: added tokens within a text have their own ids, else they are spelled like other text."""
     if not text:
         return np.zeros(0, np.uint32)
-    whole, fast = _encoders(path, ranks_path)
-    if fast is not None and not _PLAIN.search(text):
+    whole, fast, own = _encoders(path, ranks_path, added)
+    if fast is not None and not _PLAIN.search(text) and not (own and own.search(text)):
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
     return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -81,7 +85,7 @@ def pieces(docs: DataFrame, path: str, ranks_path: str | None = None, capacity:
             for batch in sub_batches(big, "text"):
                 out = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = np.append(encode(text, path, ranks_path), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(encode(text, path, ranks_path, added=True), np.uint32(end_id)).astype("<u4")
                     first = len(ids) % capacity or capacity
                     edges = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -79,6 +79,21 @@ def test_fast_ids_are_the_tokenizer_files(texts):
         assert packing.encode(t, BPE, RANKS).tolist() == want and packing.encode(t, BPE).tolist() == want
 
 
+def test_packed_ids_are_the_unmodified_tokenizers(spark, texts):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(BPE)
+    rows = list(enumerate([*texts, "end <|endoftext|> start", "<|endoftext|>", "a\u2003<|endoftext|>é", "<|endoftext|"]))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for ranks in (RANKS, None):
+        got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(table, BPE, ranks, 1 << 20).collect()}
+        for i, t in rows:
+            ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+            assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing_is_whole_gapless_and_exact(docs, texts):
     rows = packing.pack(docs, BPE, RANKS, 256).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)

@@ -39,13 +39,21 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor
-    costs no recomputation of what lies above. The folder goes when the driver's Python ends."""
+    costs no recomputation of what lies above. The folder goes by ``discard``, or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/adtflow-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these; only once everything made of them is itself written."""
+    for df in frames:
+        _delete(df.sparkSession, df.stored_at)
 
 
 # --------------------------------------------------------------------------------------------------------

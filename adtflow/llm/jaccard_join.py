@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adtflow.llm.common import materialize, mix, shingles, signed, sub_batches, text_bytes, word_hashes, words
+from adtflow.llm.common import discard, materialize, mix, shingles, signed, sub_batches, text_bytes, word_hashes, words
 
 WORDS = 3
 PERCENT = 90
@@ -650,7 +650,9 @@ def _rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     of_set = joined.join(top, "root").select("k1", "k2", "component_id", "root")
     some = made.where("n > 0").select("doc_id", "_hash", "n", "k1", "k2").join(of_set, ["k1", "k2"]).select("doc_id", "_hash", F.col("n").alias("n_shingles"), "component_id", "root")
     none = made.where("n = 0").select("doc_id", "_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
-    return some.unionByName(none)
+    out = materialize(some.unionByName(none), "rows")
+    discard(made, one, pairs, whole, counts, solved)
+    return out
 
 
 def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -5,7 +5,7 @@ A suffix array of a whole corpus would need many times the corpus; what repeats
 1. Windows are dealt by content. Each window of LENGTH bytes has an anchor: the rightmost of its ``GRAM``-byte
    substrings of least hash. Equal windows have equal anchors at equal places. Windows of one anchor are neighbours
    and make up a region, a short piece of text.
-2. Regions are counted by (anchor, content). A region found twice is repeated as a whole. Where an anchor has
+2. Anchors found once are dropped, the regions of the others counted by (anchor, content). A region found twice is repeated as a whole. Where an anchor has
    regions of more than one content, one text of each goes to the anchor's shard.
 3. In each shard, regions of an anchor that have a core of the text around it in common are sorted by a suffix
    array built by induced sorting: suffixes are classified as smaller or larger than the next,
@@ -18,10 +18,16 @@ A suffix array of a whole corpus would need many times the corpus; what repeats
    that are single within a piece are then counted by hash over all pieces, so none is missed.
 5. Marks go back to every occurrence, and documents are cut.
 
+6. A region that a large part of all documents hold (one key) gets its marks by a broadcast instead of a shuffle: those
+   are regions with more than one in 65536 of all rows, so there are at most 65536 of them.
+
 Strings are judged on the input. Matches never cross documents. Documents are known by id and a hash of their
-text, so repeated ids and rows are told apart or count as the copies they are.
+text, so repeated ids and rows are told apart or count as the copies they are. Two modes: a string may be repeated
+anywhere, in its own document too, or (``across``) has to occur in two documents; each region and window then carries
+the least and the greatest document that holds it, and rows of equal id and text are one document.
 
 Defined results: null text is empty; a document under LENGTH bytes keeps all; an empty table gives an empty result.
+Regions are the same where their 64-bit hashes under one anchor are; within shards bytes are compared.
 Cutting inside a character of several bytes is possible in the digest, as bytes are what is judged; ``cut`` (for
 documents as text) drops the broken characters at the edges of what is left.
 """
@@ -35,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtflow.llm.common import _BYTE_VALUE, materialize, mix, powers, signed, sub_batches, text_bytes
+from adtflow.llm.common import _BYTE_VALUE, discard, materialize, mix, powers, signed, sub_batches, text_bytes
 
 LENGTH = 400
 GRAM = 32
@@ -254,8 +260,12 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return value, before
 
 
-def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, which starts have a string of ``length`` bytes that starts elsewhere in these texts too."""
+def repeated_starts(texts: list[bytes], length: int = LENGTH, owners: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each text, which starts have a string of ``length`` bytes that starts elsewhere in these texts too.
+
+    ``owners``: the least and greatest owner of each text; a string then counts only where all that hold it have more
+    than one owner between them.
+    """
     if not texts:
         return []
     t = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int16) + 1
@@ -268,7 +278,14 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     hit = (common >= length) & (left >= length)
     hit &= left[np.maximum(before, 0)] >= length
     both = hit.copy()
-    both[before[hit]] = True
+    if owners is None:
+        both[before[hit]] = True
+    else:  # in suffix order, equal strings stand together
+        begin = np.flatnonzero(~hit[sa])
+        of = np.repeat(owners, sizes + 1, axis=0)[sa]
+        several = np.minimum.reduceat(of[:, 0], begin) != np.maximum.reduceat(of[:, 1], begin)
+        both[sa] = np.repeat(several, np.diff(np.append(begin, len(sa))))
+        both &= left >= length
     return [both[a : a + max(0, s - length + 1)] for a, s in zip(first, sizes, strict=True)]
 
 
@@ -282,10 +299,10 @@ def _cells(off, size, length: int):
         yield q, step, near, far, near <= far
 
 
-def contested_starts(held: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[np.ndarray]:
+def contested_starts(held: list[tuple[int, int, bytes]], length: int = LENGTH, owners: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
     """Repeated starts of regions (anchor, the anchor's place, text), of different texts for one anchor.
 
-    Windows whose anchor stands about as deep in them share a core of the text around it, so only regions that have
+    ``owners`` has the least and greatest owner of each region; without, each region is an owner of its own. Windows whose anchor stands about as deep in them share a core of the text around it, so only regions that have
     a core in common go into the suffix array, and of those the part around it alone, equal parts once.
     """
     sizes = np.array([len(p) for *_, p in held], np.int64)
@@ -314,21 +331,27 @@ def contested_starts(held: list[tuple[int, int, bytes]], length: int = LENGTH) -
     if not who:
         return flags
     who, lows, highs, keys, parts = map(np.concatenate, (who, lows, highs, keys, parts))
-    _, one, of, times = np.unique(parts, return_index=True, return_inverse=True, return_counts=True)
-    for k in np.flatnonzero(times[of] > 1).tolist():  # the same text in two regions
+    _, one, of = np.unique(parts, return_index=True, return_inverse=True)
+    owned = np.array(owners, np.int64).reshape(-1, 2) if owners is not None else np.repeat(np.arange(len(held)), 2).reshape(-1, 2)
+    owned = owned[who]
+    least, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+    np.minimum.at(least, of, owned[:, 0])
+    np.maximum.at(most, of, owned[:, 1])
+    for k in np.flatnonzero((least != most)[of]).tolist():  # the same text in regions of two owners
         flags[who[k]][lows[k] : highs[k] - length + 1] = True
+    between = np.column_stack([least, most])
     _, group, kinds = np.unique(keys[one], return_inverse=True, return_counts=True)
     order = np.argsort(group, kind="stable")
     order = order[kinds[group[order]] > 1]
-    chosen, starts, texts, taken, size = one[order], {}, [], [], 0
+    chosen, starts, texts, taken, begun, size = one[order], {}, [], [], 0, 0
     for i, k in enumerate(chosen.tolist()):
         texts.append(held[who[k]][2][lows[k] : highs[k]])
         taken.append(int(parts[k]))
         size += len(texts[-1])
         last = i + 1 == len(chosen)
         if last or size >= SHARD and group[order[i]] != group[order[i + 1]]:
-            starts.update(zip(taken, repeated_starts(texts, length), strict=True))
-            texts, taken, size = [], [], 0
+            starts.update(zip(taken, repeated_starts(texts, length, between[order[begun : i + 1]]), strict=True))
+            texts, taken, begun, size = [], [], i + 1, 0
     for k in np.flatnonzero(np.isin(parts, parts[chosen])).tolist():
         flags[who[k]][lows[k] : highs[k] - length + 1] |= starts[int(parts[k])]
     return flags
@@ -403,7 +426,7 @@ def _regions_of(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("__id", "__hash", "__text").mapInArrow(run, "__id long, __hash long, los array<int>, size int, off int, anchor long, content long")
 
 
-_FETCHED = "anchor long, content long, shard int, base int, off int, piece binary"
+_FETCHED = "anchor long, content long, shard int, base int, off int, piece binary, least long, most long"
 
 
 def _fetch(length: int):
@@ -418,23 +441,23 @@ def _fetch(length: int):
                     for a in asked:
                         piece, off = data[a["lo"] : a["lo"] + a["size"]], a["off"]
                         if not a["hot"]:
-                            out.append((a["anchor"], a["content"], 0, 0, off, piece))
+                            out.append((a["anchor"], a["content"], 0, 0, off, piece, a["least"], a["most"]))
                             continue
                         for q, step, near, far, there in _cells(off, a["size"], length):
                             if there:
                                 core = piece[off - q * step : off - q * step - step + 1 + length]
                                 shard = int.from_bytes(hashlib.blake2b(core, digest_size=3, salt=bytes((q,))).digest(), "little") + 1
                                 low = int(off - far)
-                                out.append((a["anchor"], a["content"], shard, low, int(far), piece[low : off - int(near) + length]))
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                                out.append((a["anchor"], a["content"], shard, low, int(far), piece[low : off - int(near) + length], a["least"], a["most"]))
+                columns = list(zip(*out, strict=True)) or [()] * 8
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
                 names = [c.split()[0] for c in _FETCHED.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
-_MARKS = "anchor long, content long, a int, b int, window long"
+_MARKS = "anchor long, content long, a int, b int, window long, least long, most long"
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -447,25 +470,20 @@ def _sort_shards(length: int):
     very large one."""
 
     def solve(held, in_pieces: bool):
-        """Marks [a, b) of repeated bytes within a region; of a group in pieces also each single window's hash."""
-        flags = contested_starts([(r[0], r[4], r[5]) for r in held], length)
+        """Marks [a, b) of repeated bytes within a region; of a group in pieces also each window's hash and owners, as
+        a window may have its equal in another piece."""
+        flags = contested_starts([(r[0], r[4], r[5]) for r in held], length, [(r[6], r[7]) for r in held])
         out = []
-        for (anchor, content, _, base, _, piece), f in zip(held, flags, strict=True):
-            out += [(anchor, content, base + a, base + b + length - 1, None) for a, b in _runs(f)]
-            if in_pieces:
-                for s in np.flatnonzero(~f).tolist():
-                    digest = hashlib.blake2b(piece[s : s + length], digest_size=8).digest()
-                    out.append((anchor, content, base + s, base + s + length, int.from_bytes(digest, "little", signed=True)))
-                # what is repeated within a piece may be single in another
-                out += [
-                    (anchor, content, base + s, base + s + length, int.from_bytes(hashlib.blake2b(piece[s : s + length], digest_size=8).digest(), "little", signed=True))
-                    for s in np.flatnonzero(f).tolist()
-                ]
+        for (anchor, content, _, base, _, piece, least, most), f in zip(held, flags, strict=True):
+            out += [(anchor, content, base + a, base + b + length - 1, None, None, None) for a, b in _runs(f)]
+            for s in range(len(f)) if in_pieces else ():
+                digest = hashlib.blake2b(piece[s : s + length], digest_size=8).digest()
+                out.append((anchor, content, base + s, base + s + length, int.from_bytes(digest, "little", signed=True), least, most))
         return out
 
     def emit(out):
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = [c.split()[0] for c in _MARKS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -497,19 +515,27 @@ def _sort_shards(length: int):
     return run
 
 
-def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def marks(docs: DataFrame, length: int = LENGTH, across: bool = False) -> DataFrame:
     """(__id, __hash, __spans): for each document with any, the [start, end) of repeated bytes, overlapping.
 
-    ``docs`` has __id, __hash and __text. Only regions (about 1 in 190 bytes, 40 bytes each), the texts of contested
-    ones and the spans move; the regions are written once to the shared folder.
+    ``docs`` has __id, __hash and __text. Only regions (2 for each ``length`` - GRAM bytes, 40 bytes each), the texts
+    of contested ones and the spans move; the regions are written once to the shared folder, and go as soon as the
+    result is written.
     """
     made = materialize(_regions_of(docs, length), "regions")
-    kinds = made.groupBy("anchor", "content").agg(
-        F.sum(F.size("los")).alias("n"), F.min(F.struct("__id", "__hash", F.element_at("los", 1).alias("lo"), "size", "off")).alias("at")
+    owner = F.xxhash64("__id", "__hash") if across else F.col("content")  # without ``across`` each region counts
+    per = made.groupBy("anchor").agg(F.sum(F.size("los")).alias("total"), F.min(owner).alias("first"), F.max(owner).alias("final"))
+    live = made.join(per.where("first <> final" if across else "total > 1"), "anchor", "left_semi")
+    live = materialize(live, "live")  # of most anchors there is one region in all the corpus
+    discard(made)
+    kinds = live.groupBy("anchor", "content").agg(
+        F.sum(F.size("los")).alias("n"), F.count("*").alias("rows"), F.min(owner).alias("least"), F.max(owner).alias("most"),
+        F.min(F.struct("__id", "__hash", F.element_at("los", 1).alias("lo"), "size", "off")).alias("at"),
+    )
+    kinds = materialize(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "kinds")
+    asked = kinds.where("kinds > 1").select(
+        "at.__id", "at.__hash", F.struct("anchor", "content", (F.col("kinds") > HOT).alias("hot"), "at.lo", "at.size", "at.off", "least", "most").alias("q")
     )
-    per = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    kinds = materialize(kinds.join(per, "anchor"), "kinds")
-    asked = kinds.where("kinds > 1").select("at.__id", "at.__hash", F.struct("anchor", "content", (F.col("kinds") > HOT).alias("hot"), "at.lo", "at.size", "at.off").alias("q"))
     asked = asked.groupBy("__id", "__hash").agg(F.collect_list("q").alias("asked"))
     pieces = docs.join(asked, ["__id", "__hash"]).select("__text", "asked").mapInArrow(_fetch(length), _FETCHED)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -517,13 +543,19 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = materialize(dealt.mapInArrow(_sort_shards(length), _MARKS), "marks")
     sure = found.where("window is null").select("anchor", "content", "a", "b")
     single = found.where("window is not null")  # of groups solved in pieces: equal windows in different pieces
-    again = single.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    across = single.join(again, ["anchor", "window"]).select("anchor", "content", "a", "b")
-    whole = kinds.where("n > 1").select("anchor", "content", F.lit(0).alias("a"), F.col("at.size").alias("b"))
-    spans = sure.unionByName(across).unionByName(whole).groupBy("anchor", "content").agg(F.collect_set(F.struct("a", "b")).alias("ab"))
+    again = single.groupBy("anchor", "window").agg(F.min("least").alias("first"), F.max("most").alias("final")).where("first <> final").select("anchor", "window")
+    pieced = single.join(again, ["anchor", "window"]).select("anchor", "content", "a", "b")
+    whole = kinds.where("least <> most" if across else "n > 1").select("anchor", "content", F.lit(0).alias("a"), F.col("at.size").alias("b"))
+    spans = sure.unionByName(pieced).unionByName(whole).groupBy("anchor", "content").agg(F.collect_set(F.struct("a", "b")).alias("ab"))
+    often = kinds.where(F.col("rows") > max(256, live.count() >> 16)).select("anchor", "content", F.lit(True).alias("often"))  # at most 65536
+    spans = materialize(spans.join(F.broadcast(often), ["anchor", "content"], "left"), "spans")
     placed = F.flatten(F.transform("los", lambda lo: F.transform("ab", lambda s: F.struct((lo + s["a"]).alias("a"), (lo + s["b"]).alias("b")))))
-    back = made.join(spans, ["anchor", "content"]).select("__id", "__hash", placed.alias("s"))
-    return back.groupBy("__id", "__hash").agg(F.flatten(F.collect_list("s")).alias("__spans"))
+    apart = live.join(F.broadcast(often), ["anchor", "content"], "left_anti").join(spans.where("often is null"), ["anchor", "content"])
+    hot = live.join(F.broadcast(spans.where("often")), ["anchor", "content"])
+    back = apart.unionByName(hot).select("__id", "__hash", placed.alias("s"))
+    out = materialize(back.groupBy("__id", "__hash").agg(F.flatten(F.collect_set("s")).alias("__spans")), "repeats")
+    discard(live, kinds, found, spans)
+    return out
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -543,14 +575,14 @@ def with_identity(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__hash": F.xxhash64(text), "__text": text})
 
 
-def judged(docs: DataFrame, columns: list[str], length: int = LENGTH) -> DataFrame:
+def judged(docs: DataFrame, columns: list[str], length: int = LENGTH, across: bool = False) -> DataFrame:
     """``columns`` of ``docs`` with __text and spans (null where nothing repeats)."""
     own = with_identity(docs)
-    found = marks(own.select("__id", "__hash", "__text"), length)
+    found = marks(own.select("__id", "__hash", "__text"), length, across)
     return own.select(*[F.col(f"`{c}`") for c in columns], "__id", "__hash", "__text").join(found, ["__id", "__hash"], "left").drop("__id", "__hash")
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, across: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
     def run(batches):
@@ -571,14 +603,28 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    whole = judged(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], length)
+    whole = judged(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], length, across)
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _whole_words(data: bytes, a: int, b: int) -> tuple[int, int, int]:
+    """The part of data[a:b] from its first to its last whole word, and how many there are; words stand between ASCII
+    white space."""
+    part = data[a:b]
+    words = part.split()
+    if words and a and not data[a - 1 : a].isspace() and not part[:1].isspace():
+        part, a, words = part[len(words[0]) :], a + len(words[0]), words[1:]
+    if words and b < len(data) and not data[b : b + 1].isspace() and not part[-1:].isspace():
+        part, words = part[: len(part) - len(words[-1])], words[:-1]
+    a += len(part) - len(part.lstrip())
+    return a, a + len(part.strip()), len(words)
+
+
+def cut(docs: DataFrame, length: int = LENGTH, across: bool = False, least_words: int = 0) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``; a document of which nothing is left goes.
 
-    One that was empty before stays. ``n_chars``, where there, is counted anew. Other columns are kept.
+    With ``least_words`` a maximal run of repeated bytes goes only if it has so many whole words, and those words alone
+    go. A document that was empty before stays. ``n_chars``, where there, is counted anew. Other columns are kept.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -590,9 +636,11 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for batch in sub_batches(big, "__text"):
                 texts, keep = [], []
                 for i, (text, spans) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
-                    runs = merged(spans)
+                    runs, data = merged(spans), text.encode() if spans else b""
+                    if least_words:
+                        runs = [(a, b) for a, b, many in (_whole_words(data, *r) for r in runs) if many >= least_words]
                     if runs:
-                        data, parts, at = text.encode(), [], 0
+                        parts, at = [], 0
                         for a, b in runs:
                             parts.append(data[at:a].decode(errors="ignore"))
                             at = b
@@ -608,4 +656,4 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     columns["n_chars"] = pa.array([len(x) for x in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    return judged(docs, docs.columns, length).mapInArrow(run, schema)
+    return judged(docs, docs.columns, length, across).mapInArrow(run, schema)

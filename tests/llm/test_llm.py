@@ -162,31 +162,42 @@ def test_suffix_arrays_and_common_prefixes():
             assert common_length[b] == m and before[b] == a
 
 
-def removed(texts, length):
+def covered(texts, length, across=False):
+    """Each text's bytes, and which of them a repeated string covers."""
     data = [(t or "").encode() for t in texts]
-    counts = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
-    out = []
+    counts, holders = collections.Counter(), collections.defaultdict(set)
+    for k, b in enumerate(data):
+        for i in range(len(b) - length + 1):
+            counts[b[i : i + length]] += 1
+            holders[b[i : i + length]].add(k)
     for b in data:
         f = np.zeros(len(b), bool)
         for i in range(len(b) - length + 1):
-            if counts[b[i : i + length]] > 1:
+            if (len(holders[b[i : i + length]]) if across else counts[b[i : i + length]]) > 1:
                 f[i : i + length] = True
+        yield b, f
+
+
+def removed(texts, length, across=False):
+    out = []
+    for b, f in covered(texts, length, across):
         kept = bytes(np.frombuffer(b, np.uint8)[~f])
         runs = int((np.diff(np.concatenate(([0], f.astype(np.int8)))) == 1).sum())
         out.append((len(b), int(f.sum()), runs, hashlib.sha256(kept).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize(("hot", "piece"), [(2048, 8192), (2, 8192), (2, 3)])
-def test_removed_bytes_are_exactly_the_repeated_ones(docs, texts, monkeypatch, hot, piece):
+@pytest.mark.parametrize("across", [False, True])
+@pytest.mark.parametrize(("hot", "piece", "length"), [(2048, 8192, 400), (2, 8192, 400), (2, 3, 400), (2048, 8192, 150), (2, 3, 150)])
+def test_removed_bytes_are_exactly_the_repeated_ones(docs, texts, monkeypatch, hot, piece, length, across):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     cloudpickle.register_pickle_by_value(suffix_dedup)  # so that workers see the limits
     try:
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs).collect()}
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, length, across).collect()}
     finally:
         cloudpickle.unregister_pickle_by_value(suffix_dedup)
-    want = removed(texts, 400)
+    want = removed(texts, length, across)
     assert [got[i] for i in range(len(texts))] == want and sum(w[1] for w in want) > 0
 
 
@@ -201,6 +212,41 @@ def test_cut_texts(docs, texts):
     assert suffix_dedup.cut(docs).columns == docs.columns and got[0].spans == "clash"
 
 
+def test_passages_across_documents_go_and_all_else_stays(spark):
+    rng = random.Random(31)
+    passage, short, own = prose(rng, 55), prose(rng, 40), prose(rng, 60)
+    rows = [(i, f"{prose(rng, 30)} {chr(0x4E00 + i)} {passage} {chr(0x6E00 + i)} {prose(rng, 20 + i)}", "x") for i in range(40)]
+    rows += [(100 + i, f"{prose(rng, 30)} {short}\n{prose(rng, 20)}", "x") for i in range(5)]
+    rows += [(200, f"{own}. {own}\n{own}", "x"), (201, passage, "x"), (202, None, "x"), (203, "", "x"), (204, prose(rng, 30_000) + " 漢 " + passage, "x")]
+    kept = {r.doc_id: r.text for r in suffix_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string, spans string"), 150, across=True, least_words=50).collect()}
+    for i, text, _ in rows:
+        if i == 201:
+            assert i not in kept
+        elif text and passage in text:
+            a, b = text.split(passage)
+            assert kept[i] == a + b
+        else:
+            assert kept[i] == (text or "")
+
+
+def test_words_of_a_run_are_whole_ones():
+    data = b"aa bbb cc dd"
+    assert suffix_dedup._whole_words(data, 0, 12) == (0, 12, 4)
+    assert suffix_dedup._whole_words(data, 1, 11) == (3, 9, 2)
+    assert suffix_dedup._whole_words(data, 1, 10) == (3, 9, 2)
+    assert suffix_dedup._whole_words(data, 2, 9) == (3, 9, 2)
+    assert suffix_dedup._whole_words(data, 4, 6)[2] == 0 == suffix_dedup._whole_words(b"abcd", 1, 3)[2]
+    assert suffix_dedup._whole_words(data, 3, 6) == (3, 6, 1)
+
+
+def test_one_region_in_very_many_rows(spark):
+    rng = random.Random(32)
+    line = prose(rng, 100)
+    rows = [(i, f"{line} {i} {line if i % 3 else word(rng)}") for i in range(700)] + [(None, line)] * 300
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(x[:2] for x in removed([t for _, t in rows], 400))
+
+
 def test_repeated_ids_and_rows(spark, texts):
     rows = [(1, texts[1] + texts[2] * 2), (1, texts[1] + texts[2] * 2), (1, texts[3]), (None, texts[2] * 2), (None, None)]
     got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -672,8 +718,19 @@ def test_pipeline_by_stages(spark):
             want = linked([texts[i] for i in ids], 5, 80)
             assert {r.doc_id for r in docs.collect()} == {ids[k] for k, (_, c) in enumerate(want) if c == k}
         if name == "suffix-array dedup":
-            old = [r.text for r in before.orderBy("doc_id").collect()]
-            assert sum(len(r.text.encode()) for r in docs.collect()) == sum(n - gone for n, gone, _, _ in removed(old, 400))
+            rows, kept = before.orderBy("doc_id").collect(), {r.doc_id: r.text for r in docs.collect()}
+            for r, (b, f) in zip(rows, covered([r.text for r in rows], cp.PASSAGE_BYTES, across=True), strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], f.astype(np.int8), [0]))))
+                runs = [suffix_dedup._whole_words(b, x, y) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+                gone = sum(y - x for x, y, n in runs if n >= 50)
+                assert len(kept.get(r.doc_id, "").encode()) == len(b) - gone or r.doc_id not in kept
+                assert r.doc_id in kept or gone
+            shared = collections.defaultdict(set)
+            for i, text in kept.items():
+                w = text.split()
+                for k in range(len(w) - 50):
+                    shared[tuple(w[k : k + 51])].add(i)
+            assert not [k for k, v in shared.items() if len(v) > 1]
         before = docs
     last = cp.STAGES[-1][1](spark, docs, sf)
     assert last.agg(F.sum("length")).first()[0] == sum(len(packing.encode(r.text, BPE)) + 1 for r in docs.collect())

@@ -24,9 +24,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.one_each(docs, n=5, percent=80)
 
 
+#: A passage is a run of so many whole words, taken to be of four bytes each (three letters and a space) at least.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the bytes that repeated strings of 400 bytes cover, and without documents of nothing else."""
-    return suffix_dedup.cut(docs)
+    """Without the passages of 50 words or more that stand in two documents, and without documents of nothing else. What
+    a document repeats within itself stays."""
+    return suffix_dedup.cut(docs, PASSAGE_BYTES, across=True, least_words=PASSAGE_WORDS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

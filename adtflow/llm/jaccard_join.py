@@ -7,11 +7,12 @@ asked for are the classes of documents that links connect.
 2. Shingles are put into one global order, frequent ones last (their counts cover all documents; the order steers
    cost alone). Two sets that link share a shingle among the first n - ceil(PERCENT n / 100) + 1 of either, so
    only those are indexed.
-3. An index list is sorted by set size. For each entry the block of sizes too large to link is skipped, entries are
-   skipped by the position of the shingle in both sets (what follows it is too little), and by a lower bound of
-   the difference from a histogram of 16 counters. Pairs that are left are held against finer profiles, of a size that
+3. An index list is sorted by set size. Size and position of an entry (what follows its shingle bounds what it can
+   share) say where the sets become too large to link: the rest of the list is skipped as a block. Then entries are
+   skipped by their own position, and by a lower bound of the difference from a histogram of 16 counters. Pairs that are left are held against finer profiles, of a size that
    grows with the set. Long lists make no pairs: their entries gather around leaders, by those profiles and the triangle
-   inequality. What is left connects sets into families, loosely: no link leaves a family.
+   inequality. Very frequent shingles do so within each task, and only leaders are dealt by shingle, so no task gets a
+   list that grows with the corpus. What is left connects sets into families, loosely: no link leaves a family.
 4. A family is solved by differences. Every set is kept as its symmetric difference to a centre (what most of the
    family holds), so a set's answers follow from those of the centre: sets near it link for certain by two
    numbers, and others only if they share enough differing shingles, which a second index of rare ones finds.
@@ -25,7 +26,8 @@ A family's sets move as shingle hashes, and are held as differences only. No pai
 
 Defined results: null, empty and blank texts have no set, 0 shingles, and link with nothing; a text of fewer words
 than a shingle is one shingle; repeated rows and repeated ids are linked like any equal texts; an empty table
-gives an empty result. A null id is the least long in ``component_id`` comparisons and stays null in its row.
+gives an empty result. A null id stays null in its row and is never the least of a class; a class of null ids alone
+has a null ``component_id``.
 """
 
 from __future__ import annotations
@@ -46,6 +48,10 @@ LONG = 64
 #: the REMEMBERED commonest of them. Neither changes a result.
 FREQUENT, REMEMBERED, CHUNK = 4, 1 << 20, 1 << 21
 
+#: Prefix shingles of this frequency class (counted 1024 times or more) gather their sets within each task before any
+#: shuffle (step 3); memory for that, in bytes.
+HOT_CLASS, LED_BYTES = 11, 64 << 20
+
 #: Sets of a family that one task solves; of a larger one, cells of CELL sets and CELL others, and a sample for its centre.
 BIG, CELL, SAMPLE = 1024, 512, 256
 
@@ -88,6 +94,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = r["k"]
     top = counted.where(kind >= least).toPandas()
+    discard(counted)
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.minimum(63, 1 + np.log2(np.maximum(1, top["c"].to_numpy(float)))).astype(np.uint64)[order]
@@ -190,27 +197,32 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _near_pairs(token, sid, n, pos, hist, percent: int):
-    """Pairs of places with one token that no bound excludes, in lists of at most LONG entries sorted by size."""
-    a_out, b_out = [], []
-    for d in range(1, LONG):
-        if d >= len(token):
-            break
-        i = np.flatnonzero(token[d:] == token[:-d])
-        if not len(i):
-            break
-        j = i + d
-        ok = 100 * n[i] >= percent * n[j]
-        i, j = i[ok], j[ok]
-        left = np.minimum(n[i] - pos[i], n[j] - pos[j])
-        ok = left * (100 + percent) >= percent * (n[i] + n[j])
+    """Pairs of places with one token that no bound excludes, in lists of at most LONG entries sorted by size.
+
+    With what follows its shingle, an entry can link to sets of at most (n - pos) (100 + percent) / percent - n
+    shingles: beyond the last of those the rest of the list is skipped as a block.
+    """
+    if not len(token):
+        return np.zeros((0, 2), np.int64)
+    of = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
+    span = int(n.max()) * 100 // percent + 2
+    most = (n - pos) * (100 + percent) // percent - n
+    end = np.searchsorted(of * span + n, of * span + np.clip(most, -1, span - 1), side="right")
+    first = np.arange(1, len(n) + 1)
+    many = np.maximum(0, end - first)
+    total, found, begin = np.cumsum(many), [], 0
+    while begin < len(n):  # some 2**17 pairs at a time
+        base = total[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(total, base + (1 << 17), side="right")))
+        some = many[begin:stop]
+        i = np.repeat(np.arange(begin, stop), some)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(first[begin:stop], some)
+        ok = (n[j] - pos[j]) * (100 + percent) >= percent * (n[i] + n[j])
         i, j = i[ok], j[ok]
         ok = (100 + percent) * _apart(hist[i], hist[j]) <= (100 - percent) * (n[i] + n[j])
-        a_out.append(i[ok])
-        b_out.append(j[ok])
-    if not a_out:
-        return np.zeros((0, 2), np.int64)
-    pairs = np.column_stack([sid[np.concatenate(a_out)], sid[np.concatenate(b_out)]])
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+        found.append(np.unique(np.column_stack([sid[i[ok]], sid[j[ok]]]), axis=0) if ok.any() else np.zeros((0, 2), np.int64))
+        begin = stop
+    return np.unique(np.concatenate(found), axis=0)
 
 
 #: An entry joins a leader nearer than this share of the reach of its links, else it leads.
@@ -226,7 +238,8 @@ class _Leaders:
 
     An entry whose profile is near a leader's joins that leader, any other leads. If x (of leader p) and y (of leader q)
     link, p and q are at most as far apart as x's way to p, y's way to q and the link's own reach; leaders that may be
-    so near are connected. All distances are lower bounds, from profiles and from sizes.
+    so near are connected. All distances are lower bounds, from profiles and from sizes. An entry may itself have led
+    others in a part of the list, up to ``radius`` away.
     """
 
     def __init__(self, percent: int):
@@ -234,6 +247,7 @@ class _Leaders:
         self.sid: list[int] = []
         self.n: list[int] = []
         self.reach: list[float] = []  # of the largest member
+        self.radius: list[float] = []  # to the farthest member
         self.profile: list[np.ndarray] = []
         self.tables: dict[int, list] = {}  # by length of profile: rows in use, places of leaders, matrix
 
@@ -244,19 +258,22 @@ class _Leaders:
             if size > len(v):  # larger sets, which come later
                 continue
             here = np.array(where[:used])
-            keep = n - np.array(self.n)[here] <= limit
+            away = n - np.array(self.n)[here]
+            keep = away <= limit
             if keep.any():
                 places.append(here[keep])
-                far.append(_apart(matrix[:used][keep], _fold(v, size)))
+                far.append(np.maximum(_apart(matrix[:used][keep], _fold(v, size)), away[keep]))
         return (np.concatenate(places), np.concatenate(far)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def add(self, sid: int, n: int, profile: bytes):
+    def add(self, sid: int, n: int, profile: bytes, reach: float = 0.0, radius: float = 0.0):
         """The leader's sid that this entry joins, or None."""
-        v, reach = np.frombuffer(profile, np.uint8), self.factor * n
-        places, far = self._far(v, n, NEAR * reach)
-        if len(far) and far.min() <= NEAR * reach:
-            k = int(places[far.argmin()])
-            self.reach[k] = max(self.reach[k], reach)
+        v, own = np.frombuffer(profile, np.uint8), self.factor * n
+        places, far = self._far(v, n, NEAR * own)
+        if len(far) and far.min() <= NEAR * own:
+            at = far.argmin()
+            k = int(places[at])
+            self.reach[k] = max(self.reach[k], own, reach)
+            self.radius[k] = max(self.radius[k], float(far[at]) + radius)
             return self.sid[k]
         table = self.tables.setdefault(len(v), [0, [], np.zeros((8, len(v)), np.uint8)])
         if table[0] == len(table[2]):
@@ -266,46 +283,90 @@ class _Leaders:
         table[0] += 1
         self.sid.append(sid)
         self.n.append(n)
-        self.reach.append(reach)
+        self.reach.append(max(own, reach))
+        self.radius.append(radius)
         self.profile.append(v)
         return None
 
     def edges(self):
         """Pairs of leaders' sids that members could link across."""
-        reach, n = np.array(self.reach), np.array(self.n)
-        most = reach.max(initial=0)
+        reach, radius, n = np.array(self.reach), np.array(self.radius), np.array(self.n)
+        most, widest = reach.max(initial=0), radius.max(initial=0)
         for k in range(1, len(self.sid)):
-            places, far = self._far(self.profile[k], self.n[k], (1 + 2 * NEAR) * most)
+            places, far = self._far(self.profile[k], self.n[k], most + 2 * widest)
             before = places < k
             places, far = places[before], far[before]
-            limit = NEAR * (reach[k] + reach[places]) + np.minimum(reach[k], reach[places])
-            for j in places[(far <= limit) & (n[k] - n[places] <= limit)].tolist():
+            limit = radius[k] + radius[places] + np.minimum(reach[k], reach[places])
+            for j in places[far <= limit].tolist():
                 yield self.sid[j], self.sid[k]
 
 
+def _forest(forest: Unions) -> np.ndarray:
+    pairs = np.array([(x, forest.find(x)) for x in forest.up], np.int64).reshape(-1, 2)
+    return pairs[pairs[:, 0] != pairs[:, 1]]
+
+
 def _lead(percent: int):
     """Rows arrive sorted by (token, n, sid), of long lists only. Each task gives a forest over what must stay connected."""
 
     def run(batches):
         forest, token, leaders = Unions(), None, None
         for batch in batches:
-            for t, sid, n, profile in zip(*(batch.column(c).to_pylist() for c in ("token", "sid", "n", "profile")), strict=True):
+            for t, *entry in zip(*(batch.column(c).to_pylist() for c in ("token", "sid", "n", "profile", "reach", "radius")), strict=True):
                 if t != token:
                     for a, b in leaders.edges() if leaders else ():
                         forest.join(a, b)
                     token, leaders = t, _Leaders(percent)
-                joined = leaders.add(sid, n, profile)
+                joined = leaders.add(*entry)
                 if joined is not None:
-                    forest.join(joined, sid)
+                    forest.join(joined, entry[0])
         for a, b in leaders.edges() if leaders else ():
             forest.join(a, b)
-        pairs = np.array([(x, forest.find(x)) for x in forest.up], np.int64).reshape(-1, 2)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        pairs = _forest(forest)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
+_LED = "token long, sid long, n long, profile binary, reach double, radius double, joined long"
+
+
+def _lead_here(percent: int):
+    """Sets arrive by ascending size, with their very frequent tokens. For each such token the sets of this task are
+    gathered around leaders; given are the leaders as entries, and what joined which (``joined``, without token)."""
+
+    def run(batches):
+        lists: dict[int, _Leaders] = {}
+        forest, held = Unions(), 0
+
+        def settle():
+            rows = [
+                (t, x.sid[k], x.n[k], x.profile[k].tobytes(), x.reach[k], x.radius[k], None)
+                for t, x in lists.items()
+                for k in range(len(x.sid))
+            ]
+            rows += [(None, a, None, None, None, None, b) for a, b in _forest(forest).tolist()]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64())
+            names = [c.split()[0] for c in _LED.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for batch in batches:
+            for sid, n, profile, tokens in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "profile", "tokens")), strict=True):
+                for t in tokens:
+                    joined = lists.setdefault(t, _Leaders(percent)).add(sid, n, profile)
+                    if joined is None:
+                        held += 8 * len(profile) + 512
+                    else:
+                        forest.join(joined, sid)
+                if held > LED_BYTES:
+                    yield settle()
+                    lists, forest, held = {}, Unions(), 0
+        yield settle()
+
+    return run
+
+
 def _connect(percent: int):
     """Rows arrive sorted by (token, n, sid). Gives pairs of sets, each once a task, still to be held against the finer
     profiles; and the entries of lists too long for pairs, as (token, sid) with ``long`` set."""
@@ -363,27 +424,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Every round each vertex points at the least of its neighbourhood in a hashed order, pointers are followed once,
     and edges between what they point at remain: a constant share of vertices goes each round, so rounds are
-    logarithmic. Nothing reaches the driver but counts.
+    logarithmic; more than ``rounds`` (of 2**60 vertices, say) raise an error. Nothing reaches the driver but counts.
+    All that is joined is written first, so that Spark can split hubs.
     """
     rank = lambda c: F.struct(F.xxhash64(c).alias("r"), F.col(c).alias("v"))
     left = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
     maps: list[DataFrame] = []
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
+        if len(maps) == rounds:
+            raise RuntimeError(f"components are not finished after {rounds} rounds")
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        step = least.select(F.col("a").alias("v"), F.least(F.col("m"), rank("a"))["v"].alias("p"))
+        step = materialize(least.select(F.col("a").alias("v"), F.least(F.col("m"), rank("a"))["v"].alias("p")), "steps")
         jump = step.alias("x").join(step.select(F.col("v").alias("p"), F.col("p").alias("q")).alias("y"), "p").select("v", F.col("q").alias("p"))
         jump = materialize(jump, "pointers")
         maps.append(jump)
         moved = left.join(jump.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(jump.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        left = materialize(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "edges")
+        rest = materialize(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "edges")
+        discard(left, step)
+        left = rest
     if not maps:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).limit(0)
+        return materialize(edges.select(F.col("a").alias("v"), F.col("b").alias("root")).limit(0), "components")
     out = maps[0].withColumnRenamed("p", "root")
     for later in maps[1:]:
         out = out.join(later.select(F.col("v").alias("root"), F.col("p").alias("_p")), "root", "left").select("v", F.coalesce("_p", "root").alias("root"))
+    out = materialize(out, "components")
+    discard(left, *maps)
     return out
 
 
@@ -610,19 +676,25 @@ def _rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     made = materialize(own.mapInArrow(digest, "doc_id long, _hash long, n long, k1 long, k2 long, h1 long, h2 long, profile binary, prefix array<long>"), "sets")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("_hash").alias("hash"))).alias("at")
-    one = made.where("n > 0").groupBy("k1", "k2").agg(least, F.first("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("profile").alias("profile"), F.first("prefix").alias("prefix"))
+    # The least id that is not null stands apart from the row that the set is fetched from.
+    one = made.where("n > 0").groupBy("k1", "k2").agg(least, F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("profile").alias("profile"), F.first("prefix").alias("prefix"))
     one = materialize(one.withColumn("sid", F.monotonically_increasing_id()), "distinct")
 
     shuffle = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    posted = one.select("sid", "n", "h1", "h2", F.posexplode("prefix").alias("pos", "token"))
+    very = lambda t: F.shiftrightunsigned(t, 58) >= HOT_CLASS
+    posted = one.select("sid", "n", "h1", "h2", F.posexplode("prefix").alias("pos", "token")).where(~very(F.col("token")))
     dealt = posted.select("token", "sid", "n", "pos", "h1", "h2").repartition(shuffle, "token").sortWithinPartitions("token", "n", "sid")
     pairs = materialize(dealt.mapInArrow(_connect(percent), "a long, b long, long boolean"), "pairs")
     side = lambda c: one.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("profile").alias(f"p{c}"))
     near = pairs.where(~F.col("long")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_profiled(percent), "a long, b long")
     lists = pairs.where(F.col("long")).select(F.col("a").alias("token"), F.col("b").alias("sid")).join(one.select("sid", "n", "profile"), "sid")
+    led = one.select("sid", "n", "profile", F.filter("prefix", very).alias("tokens")).where(F.size("tokens") > 0).sortWithinPartitions("n", "sid")
+    led = materialize(led.mapInArrow(_lead_here(percent), _LED), "led")
+    lists = lists.withColumns({"reach": F.lit(0.0), "radius": F.lit(0.0)}).unionByName(led.where("token is not null").drop("joined"))
     lists = lists.repartition(shuffle, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(_lead(percent), "a long, b long")
-    family = components(near.unionByName(lists))
+    here = led.where("token is null").select(F.col("sid").alias("a"), F.col("joined").alias("b"))
+    family = components(near.unionByName(lists).unionByName(here))
 
     wanted = one.join(family, one["sid"] == family["v"]).select("sid", F.col("root").alias("family"), F.col("at.id").alias("_id"), F.col("at.hash").alias("_hash"))
     fetched = own.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, ["_id", "_hash"]).select("family", "sid", "_text")
@@ -645,13 +717,14 @@ def _rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
         links = _spread(whole.join(counts, "family", "left_semi"), counts, percent, shuffle)
         solved = solved.unionByName(components(links).withColumnRenamed("v", "sid"))
     solved = materialize(solved, "classes")
-    joined = one.select("sid", "k1", "k2", F.col("at.id").alias("id")).join(solved, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    top = joined.groupBy("root").agg(F.min("id").alias("component_id"))
+    joined = one.select("sid", "k1", "k2", "low").join(solved, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    joined = materialize(joined, "joined")  # this and the next are written so that Spark may split a large class
+    top = materialize(joined.groupBy("root").agg(F.min("low").alias("component_id")), "tops")
     of_set = joined.join(top, "root").select("k1", "k2", "component_id", "root")
     some = made.where("n > 0").select("doc_id", "_hash", "n", "k1", "k2").join(of_set, ["k1", "k2"]).select("doc_id", "_hash", F.col("n").alias("n_shingles"), "component_id", "root")
     none = made.where("n = 0").select("doc_id", "_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     out = materialize(some.unionByName(none), "rows")
-    discard(made, one, pairs, whole, counts, solved)
+    discard(made, one, pairs, led, family, whole, counts, solved, joined, top)
     return out
 
 

@@ -663,6 +663,56 @@ def test_leaders_leave_no_link_apart(percent):
                     assert forest.find(i) == forest.find(j)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_pairs_of_a_list_against_each_pair(percent):
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = np.sort(rng.integers(1, 60, 40))
+        token = np.sort(rng.integers(0, 4, 40))
+        order = np.lexsort((n, token))
+        token, n = token[order], n[order]
+        pos = np.array([rng.integers(0, x - -(-percent * x // 100) + 1) for x in n])
+        hist = rng.integers(0, 3, (40, 16)).astype(np.uint8)
+        got = {tuple(x) for x in jaccard_join._near_pairs(token, np.arange(40), n, pos, hist, percent).tolist()}
+        want = set()
+        for i in range(40):
+            for j in range(i + 1, 40):
+                enough = min(n[i] - pos[i], n[j] - pos[j]) * (100 + percent) >= percent * (n[i] + n[j])
+                near = (100 + percent) * np.abs(hist[i].astype(int) - hist[j]).sum() <= (100 - percent) * (n[i] + n[j])
+                if token[i] == token[j] and enough and near:
+                    want.add((i, j))
+        assert got == want
+
+
+@pytest.mark.parametrize("held", [64 << 20, 1])
+def test_very_frequent_shingles_gather_in_each_task(spark, monkeypatch, held):
+    rng = random.Random(33)
+    line = prose(rng, 40)
+    made = [f"{line} {prose(rng, rng.randint(0, 6))}" for _ in range(120)] + [f"{prose(rng, 90)} {line}" for _ in range(20)]
+    monkeypatch.setattr(jaccard_join, "HOT_CLASS", 3)
+    monkeypatch.setattr(jaccard_join, "LED_BYTES", held)
+    cloudpickle.register_pickle_by_value(jaccard_join)
+    try:
+        out = jaccard_join.classes(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(jaccard_join)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in out}
+    assert [got[i] for i in range(len(made))] == linked(made, 3, 90)
+
+
+def test_null_ids_of_classes(spark):
+    rng = random.Random(34)
+    a, b = prose(rng, 50), prose(rng, 50)
+    rows = [(None, a), (5, a), (3, a), (None, b), (None, b), (None, None), (9, "")]
+    got = sorted(map(str, map(tuple, jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == sorted(map(str, [(None, 48, 3), (5, 48, 3), (3, 48, 3), (None, 48, None), (None, 48, None), (None, 0, None), (9, 0, 9)]))
+
+
+def test_unfinished_components_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        jaccard_join.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), rounds=1)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = {r.v: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -18,8 +18,8 @@ A suffix array of a whole corpus would need many times the corpus; what repeats
    that are single within a piece are then counted by hash over all pieces, so none is missed.
 5. Marks go back to every occurrence, and documents are cut.
 
-6. A region that a large part of all documents hold (one key) gets its marks by a broadcast instead of a shuffle: those
-   are regions with more than one in 65536 of all rows, so there are at most 65536 of them.
+   Anchors, and regions, that a large part of all documents hold meet their rows in joins of two written tables, whose
+   hot keys Spark splits; all that is grouped is grouped in each task first.
 
 Strings are judged on the input. Matches never cross documents. Documents are known by id and a hash of their
 text, so repeated ids and rows are told apart or count as the copies they are. Two modes: a string may be repeated
@@ -45,7 +45,7 @@ from adtflow.llm.common import _BYTE_VALUE, discard, materialize, mix, powers, s
 
 LENGTH = 400
 GRAM = 32
-#: Regions of one anchor that are dealt whole; more are dealt by their cores (step 4).
+#: Rows of one anchor whose regions are dealt whole; more are dealt by their cores (step 4).
 HOT = 2048
 #: Texts of one core that one suffix array takes; more are solved in pieces (step 4).
 PIECE = 8192
@@ -524,18 +524,20 @@ def marks(docs: DataFrame, length: int = LENGTH, across: bool = False) -> DataFr
     """
     made = materialize(_regions_of(docs, length), "regions")
     owner = F.xxhash64("__id", "__hash") if across else F.col("content")  # without ``across`` each region counts
-    per = made.groupBy("anchor").agg(F.sum(F.size("los")).alias("total"), F.min(owner).alias("first"), F.max(owner).alias("final"))
-    live = made.join(per.where("first <> final" if across else "total > 1"), "anchor", "left_semi")
-    live = materialize(live, "live")  # of most anchors there is one region in all the corpus
-    discard(made)
+    per = made.groupBy("anchor").agg(
+        F.sum(F.size("los")).alias("total"), F.count("*").alias("rows"), F.min(owner).alias("first"), F.max(owner).alias("final"),
+        (F.min("content") != F.max("content")).alias("contested"),
+    )
+    per = per.where("first <> final" if across else "total > 1").select("anchor", "contested", (F.col("rows") > HOT).alias("hot"))
+    per = materialize(per, "anchors")
+    live = materialize(made.join(per, "anchor"), "live")  # of most anchors there is one region in all the corpus
+    discard(made, per)
     kinds = live.groupBy("anchor", "content").agg(
-        F.sum(F.size("los")).alias("n"), F.count("*").alias("rows"), F.min(owner).alias("least"), F.max(owner).alias("most"),
+        F.sum(F.size("los")).alias("n"), F.min(owner).alias("least"), F.max(owner).alias("most"), F.max("contested").alias("contested"), F.max("hot").alias("hot"),
         F.min(F.struct("__id", "__hash", F.element_at("los", 1).alias("lo"), "size", "off")).alias("at"),
     )
-    kinds = materialize(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "kinds")
-    asked = kinds.where("kinds > 1").select(
-        "at.__id", "at.__hash", F.struct("anchor", "content", (F.col("kinds") > HOT).alias("hot"), "at.lo", "at.size", "at.off", "least", "most").alias("q")
-    )
+    kinds = materialize(kinds, "kinds")
+    asked = kinds.where("contested").select("at.__id", "at.__hash", F.struct("anchor", "content", "hot", "at.lo", "at.size", "at.off", "least", "most").alias("q"))
     asked = asked.groupBy("__id", "__hash").agg(F.collect_list("q").alias("asked"))
     pieces = docs.join(asked, ["__id", "__hash"]).select("__text", "asked").mapInArrow(_fetch(length), _FETCHED)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -547,12 +549,9 @@ def marks(docs: DataFrame, length: int = LENGTH, across: bool = False) -> DataFr
     pieced = single.join(again, ["anchor", "window"]).select("anchor", "content", "a", "b")
     whole = kinds.where("least <> most" if across else "n > 1").select("anchor", "content", F.lit(0).alias("a"), F.col("at.size").alias("b"))
     spans = sure.unionByName(pieced).unionByName(whole).groupBy("anchor", "content").agg(F.collect_set(F.struct("a", "b")).alias("ab"))
-    often = kinds.where(F.col("rows") > max(256, live.count() >> 16)).select("anchor", "content", F.lit(True).alias("often"))  # at most 65536
-    spans = materialize(spans.join(F.broadcast(often), ["anchor", "content"], "left"), "spans")
+    spans = materialize(spans, "spans")  # so that Spark may split a region of very many rows in the join below
     placed = F.flatten(F.transform("los", lambda lo: F.transform("ab", lambda s: F.struct((lo + s["a"]).alias("a"), (lo + s["b"]).alias("b")))))
-    apart = live.join(F.broadcast(often), ["anchor", "content"], "left_anti").join(spans.where("often is null"), ["anchor", "content"])
-    hot = live.join(F.broadcast(spans.where("often")), ["anchor", "content"])
-    back = apart.unionByName(hot).select("__id", "__hash", placed.alias("s"))
+    back = live.join(spans, ["anchor", "content"]).select("__id", "__hash", placed.alias("s"))
     out = materialize(back.groupBy("__id", "__hash").agg(F.flatten(F.collect_set("s")).alias("__spans")), "repeats")
     discard(live, kinds, found, spans)
     return out

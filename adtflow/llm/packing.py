@@ -3,10 +3,11 @@
 Documents are tokenised once; what is packed are piece lengths, of which there are at most ``capacity`` different
 ones. The plan is therefore made on a histogram of lengths (a bounded table on the driver, whatever the corpus):
 around the largest length left, undominated fillings of the rest of its sequence are enumerated depth first,
-pruned by the waste that a better plan than the incumbent could still afford, and the best filling is applied as
-often as the counts allow. Best-fit decreasing gives the first incumbent; a plan that meets the volume bound ends
-the search. Each application leaves less of one length than the filling holds of it, so a plan has at most
-capacity/1 + capacity/2 + .. + 1 patterns, about 16,000 at 2048, however long the corpus is.
+pruned by the waste that a better plan than the incumbent could still afford, and tried in the order of their waste,
+each applied as often as the counts allow or once. Where no better plan can follow, the last choice is taken back.
+Best-fit decreasing gives the first incumbent; a plan that meets the volume bound ends the search. A bulk application
+leaves less of one length than the filling holds of it, so a dive has at most capacity/1 + capacity/2 + .. + 1
+patterns, about 16,000 at 2048, however long the corpus is; the effort after the first dive is bounded by a parameter.
 
 Documents then find their places without a sort of the corpus: a piece's rank among those of its length is its
 rank within its task plus a prefix sum over tasks, and the plan maps (length, rank) to (sequence, offset).
@@ -130,12 +131,36 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
     return out
 
 
-def fillings(left: list[int], order: list[int], room: int, allowed: int, nodes: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of ``room`` from the counts ``left`` (by length), least waste first.
+def _covers(bins: tuple[int, ...], items: tuple[int, ...], effort: list[int]) -> bool:
+    """Whether ``items`` can be packed into bins of these sizes, so that a filling of the bins' sizes is as good as one
+    of the items. Both descend. An answer that the effort doesn't reach is no."""
+    if sum(items) > sum(bins):
+        return False
+    room = list(bins)
+
+    def put(k: int) -> bool:
+        if k == len(items):
+            return True
+        effort[0] -= 1
+        tried = set()
+        for b in range(len(room)):
+            if room[b] >= items[k] and room[b] not in tried and effort[0] > 0:
+                tried.add(room[b])
+                room[b] -= items[k]
+                if put(k + 1):
+                    return True
+                room[b] += items[k]
+        return False
+
+    return put(0)
+
 
-    Lengths are tried from the largest down; a single length that fills the room exactly dominates everything and
-    ends the search. Branches that must waste more than ``allowed`` are cut, as are those no better than what has
-    been found once the effort ``nodes`` is spent.
+def fillings(left: list[int], order: list[int], room: int, allowed: int, nodes: int) -> tuple[list[tuple[int, tuple[int, ...]]], int]:
+    """(undominated fillings of ``room`` with their waste, least first; the effort spent) from the counts ``left``.
+
+    Lengths are tried from the largest down, maximal sets only; a single length that fills the room exactly dominates
+    everything and ends the search. Branches that must waste more than ``allowed`` are cut. A filling is dominated where
+    its lengths can be packed into those of another. After the effort ``nodes`` the enumeration ends early.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = [nodes]
@@ -143,14 +168,8 @@ def fillings(left: list[int], order: list[int], room: int, allowed: int, nodes:
     for i in range(len(order) - 1, -1, -1):
         tail[i] = tail[i + 1] + order[i] * left[order[i]]
 
-    def visit(start: int, room: int, chosen: list[int]) -> bool:
+    def visit(start: int, room: int, chosen: list[int]) -> None:
         budget[0] -= 1
-        if room == 0:
-            found.append((0, tuple(chosen)))
-            return True
-        if room < len(left) and left[room] - chosen.count(room) > 0 and (not chosen or room <= chosen[-1]):
-            found.append((0, (*chosen, room)))
-            return True
         low, high = start, len(order)
         while low < high:  # the first length that fits
             mid = (low + high) // 2
@@ -158,73 +177,116 @@ def fillings(left: list[int], order: list[int], room: int, allowed: int, nodes:
                 low = mid + 1
             else:
                 high = mid
-        fits = False
         for i in range(low, len(order)):
             n = order[i]
             if left[n] - chosen.count(n) <= 0:
                 continue
-            fits = True
-            if room - tail[i] > min(allowed, found[0][0] if found else allowed):
+            if room - tail[i] > allowed or budget[0] <= 0 and found:
                 break
             chosen.append(n)
-            done = visit(i, room - n, chosen)
+            visit(i, room - n, chosen)
             chosen.pop()
-            if done or budget[0] <= 0 and found:
-                return done
-        if not fits:
+        if room <= allowed and (room < order[-1] or all(n > room or left[n] <= chosen.count(n) for n in order) if order else True):
             found.append((room, tuple(chosen)))
-            found.sort(key=lambda f: (f[0], len(f[1])))
-        return False
 
+    if room < len(left) and left[room]:
+        return [(0, (room,))], 1
     visit(0, room, [])
     found.sort(key=lambda f: (f[0], len(f[1]), [-n for n in f[1]]))
     kept: list[tuple[int, tuple[int, ...]]] = []
+    effort = [4 * nodes]
     for waste, items in found:
-        if not any(len(g) <= len(items) and all(a >= b for a, b in zip(g, items, strict=False)) for _, g in kept):
+        if not any(_covers(g, items, effort) for _, g in kept):
             kept.append((waste, items))
-    return kept[:8]
-
-
-def _complete(counts: dict[int, int], capacity: int, best: int, nodes: int, branch_at: int, choice: int) -> list[tuple[tuple[int, ...], int]] | None:
-    """One dive of the search; at step ``branch_at`` it takes filling ``choice``. None: pruned by the waste bound."""
+    return kept, nodes - budget[0] + 4 * nodes - effort[0]
+
+
+def _half_bound(left: list[int], order: list[int], capacity: int) -> int:
+    """A lower bound of the sequences for what is left: for each threshold, lengths over half the capacity stand alone,
+    and those of at least the threshold fill what the ones that leave so much room leave."""
+    best = 0
+    big = [n for n in order if 2 * n > capacity]
+    for least in {0, *(n for n in order if 2 * n <= capacity)}:
+        alone = sum(left[n] for n in big)
+        room = sum((capacity - n) * left[n] for n in big if n <= capacity - least)
+        fill = sum(n * left[n] for n in order if least <= n and 2 * n <= capacity)
+        best = max(best, alone + max(0, -(-(fill - room) // capacity)))
+    return best
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, effort: int = 400_000) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with their times, by branch and bound.
+
+    At each node the largest length left is completed; the children are its undominated fillings, each applied as often
+    as the counts allow or once, least waste first. A node is left, and the last choice taken back, where the waste
+    so far (or what is left, by its lower bound) rules out fewer sequences than the incumbent has, or where its remainder has
+    failed before. ``effort`` bounds the steps of all enumerations after the first dive, and ``nodes`` those of one; they
+    bound the search, never what is packed. Short lists are solved exactly.
+    """
+    counts = {int(n): int(c) for n, c in counts.items() if c}
+    incumbent = best_fit_decreasing(counts, capacity)
+    best, bound = sum(t for _, t in incumbent), lower_bound(counts, capacity)
+    volume = sum(n * c for n, c in counts.items())
     left = [0] * (capacity + 1)
     for n, c in counts.items():
         left[n] = c
-    affordable = (best - 1) * capacity - sum(n * c for n, c in counts.items())
-    order, out, waste, step = sorted(counts, reverse=True), [], 0, 0
-    while order:
-        top = order[0]
+    used, waste, failed = 0, 0, {}
+    stack: list[tuple[list, list[int], tuple | None]] = []  # open choices, lengths left, key of the remainder
+    path: list[tuple[tuple[int, ...], int, int]] = []
+    steps = [0]
+
+    def opened(order: list[int]) -> tuple[list, list[int], tuple | None]:
+        top, small = order[0], len(order) <= 48
+        key = tuple((n, left[n]) for n in order) if small else None
+        if key is not None and (failed.get(key, used + 1) <= used or used + _half_bound(left, order, capacity) >= best):
+            return [], order, None
         left[top] -= 1
         rest = order if left[top] else order[1:]
-        found = fillings(left, rest, capacity - top, capacity, nodes)
+        spare = (best - 1) * capacity - volume - waste
+        found, spent = fillings(left, rest, capacity - top, spare, nodes) if spare >= 0 else ([], 1)
+        steps[0] += spent + (len(order) ** 2 // 16 if small else 0)
         left[top] += 1
-        pick = found[min(choice, len(found) - 1)] if step == branch_at else found[0]
-        pattern = (top, *pick[1])
-        used = {n: pattern.count(n) for n in set(pattern)}
-        times = min(left[n] // k for n, k in used.items())
-        waste += pick[0] * times
-        for n, k in used.items():
-            left[n] -= k * times
-        order = [n for n in order if left[n]]
-        if waste - (pick[0] if not order else 0) > affordable:  # the last sequence may stay open
-            return None
-        out.append((pattern, times))
-        step += 1
-    return out
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, dives: int = 12) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with their times. ``nodes`` and ``dives`` bound the search's effort, never what is packed."""
-    counts = {int(n): int(c) for n, c in counts.items() if c}
-    incumbent = best_fit_decreasing(counts, capacity)
-    size = lambda p: sum(t for _, t in p)
-    bound = lower_bound(counts, capacity)
-    for d in range(dives):
-        if size(incumbent) <= bound:
-            break
-        found = _complete(counts, capacity, size(incumbent), nodes * (1 + d // 4), d // 2 if d else -1, 1 + d % 2)
-        if found is not None and size(found) < size(incumbent):
-            incumbent = found
+        choices = []
+        for lost, items in found:
+            pattern = (top, *items)
+            most = min(left[n] // pattern.count(n) for n in set(pattern))
+            choices += [(pattern, t, lost) for t in dict.fromkeys((most, 1))]
+        return choices[::-1], order, key
+
+    def apply(pattern: tuple[int, ...], times: int) -> None:
+        for n in pattern:
+            left[n] -= times
+
+    if best > bound:
+        stack.append(opened(sorted(counts, reverse=True)))
+    dive = True  # the first one isn't counted
+    while stack and best > bound and (dive or steps[0] < effort):
+        choices, order, key = stack[-1]
+        if not choices:
+            if dive:
+                dive, steps[0] = False, 0
+            stack.pop()
+            if key is not None and len(failed) < 200_000:
+                failed[key] = min(used, failed.get(key, used))
+            if path:
+                pattern, times, lost = path.pop()
+                apply(pattern, -times)
+                used, waste = used - times, waste - lost * times
+            continue
+        pattern, times, lost = choices.pop()
+        if waste + lost * times > (best - 1) * capacity - volume:
+            continue
+        apply(pattern, times)
+        used, waste = used + times, waste + lost * times
+        path.append((pattern, times, lost))
+        rest = [n for n in order if left[n]]
+        if rest:
+            stack.append(opened(rest))
+            continue
+        best, incumbent = used, [(p, t) for p, t, _ in path]  # all is packed, in fewer sequences than before
+        apply(pattern, -times)
+        path.pop()
+        used, waste = used - times, waste - lost * times
     return incumbent
 
 

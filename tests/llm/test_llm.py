@@ -73,7 +73,7 @@ def test_fast_ids_are_the_tokenizer_files(texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BPE)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = True  # as ``encode`` does unless told to take added tokens
     for t in [*texts, "<|endoftext|> don't  we'll\n\n\n x", "a\u00a0b\u2003c\u200b", "١٢٣ ²³ ½", "e\u0301\u0301", "\x00\x1f\x7f"]:
         want = whole.encode(t or "", add_special_tokens=False).ids
         assert packing.encode(t, BPE, RANKS).tolist() == want and packing.encode(t, BPE).tolist() == want
@@ -130,10 +130,50 @@ def test_plans_reach_the_volume_bound():
         assert sum(t for _, t in made) <= packing.lower_bound(counts, capacity) + 1
 
 
-def test_bin_completion_beats_best_fit():
-    counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 2}
-    assert sum(t for _, t in packing.plan(counts, 10)) == 4 == packing.lower_bound(counts, 10)
-    assert sum(t for _, t in packing.best_fit_decreasing(counts, 10)) >= 4
+def fewest(lengths, capacity):
+    """By dynamic programming over all subsets: (sequences, fill of the last) of each."""
+    best = [(0, capacity)] + [None] * ((1 << len(lengths)) - 1)
+    for s in range(1, 1 << len(lengths)):
+        options = []
+        for i, n in enumerate(lengths):
+            if s >> i & 1:
+                bins, fill = best[s ^ 1 << i]
+                options.append((bins, fill + n) if fill + n <= capacity else (bins + 1, n))
+        best[s] = min(options)
+    return best[-1][0]
+
+
+def test_plans_of_short_lists_are_the_fewest():
+    rng = random.Random(40)
+    better = 0
+    for k in range(1200):
+        capacity = rng.choice([10, 30, 100])
+        lengths = [rng.randint(1, rng.choice([capacity, capacity // 2 + 1])) for _ in range(rng.randint(1, 9))]
+        counts = collections.Counter(lengths)
+        made = packing.plan(counts, capacity)
+        assert sum((collections.Counter({n: t * p.count(n) for n in set(p)}) for p, t in made), collections.Counter()) == counts
+        assert all(sum(p) <= capacity for p, _ in made)
+        assert sum(t for _, t in made) == fewest(lengths, capacity), (lengths, capacity)
+        better += sum(t for _, t in packing.best_fit_decreasing(counts, capacity)) > sum(t for _, t in made)
+    assert better
+    hard = collections.Counter((44, 43, 40, 40, 38, 35, 33, 25, 25, 22, 21, 17, 16))
+    assert sum(t for _, t in packing.best_fit_decreasing(hard, 100)) == 5 and sum(t for _, t in packing.plan(hard, 100)) == 4
+
+
+def test_dominance_is_packing_into_the_others_lengths():
+    covers = lambda bins, items: packing._covers(bins, items, [1000])
+    assert not covers((8, 4), (7, 3, 2)) and covers((8, 5), (7, 3, 2)) and covers((9,), (4, 3, 2)) and not covers((5, 5), (4, 4, 2)) and covers((6, 4), (4, 4, 2))
+    left = [0, 0, 1, 1, 1, 0, 0, 1, 1]
+    kept, spent = packing.fillings(left, [8, 7, 4, 3, 2], 12, 12, 1000)
+    assert spent and (0, (8, 4)) in kept and (0, (7, 3, 2)) in kept
+
+
+def test_plans_of_middling_lengths_are_near_the_bound():
+    rng = random.Random(41)
+    for _ in range(4):
+        counts = collections.Counter(rng.randint(400, 900) for _ in range(300))
+        made = packing.plan(counts, 2048)
+        assert sum(t for _, t in made) <= packing.lower_bound(counts, 2048) + 3
 
 
 def test_packing_nothing(empty):

@@ -29,8 +29,8 @@ from adtflow.llm.common import sub_batches
 SPACE = "▁"
 #: Words of at most so many characters are solved together.
 SHORT = 48
-#: Distinct words remembered by a worker; when full, the memory starts afresh.
-REMEMBERED = 400_000
+#: Characters of distinct words remembered by a worker; when full, the memory starts afresh.
+REMEMBERED = 8_000_000
 
 
 class Counter:
@@ -185,10 +185,12 @@ def from_sentencepiece(path: str) -> Counter:
 
 
 def vocabulary_of(path: str) -> list[tuple[str, float]]:
+    """The pieces that text can hold: control, unknown, byte and unused ones never match it."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not special(i)]
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -203,14 +205,16 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        counter, memory = from_sentencepiece(path), {}
+        counter, memory, held = from_sentencepiece(path), {}, 0
         for big in batches:
             for batch in sub_batches(big, text):
                 split = [words_of(t) for t in batch.column(text).to_pylist()]
                 fresh = list({w for ws in split for w in ws}.difference(memory))
-                if len(memory) + len(fresh) > REMEMBERED:
+                held += sum(map(len, fresh))
+                if held > REMEMBERED:
                     memory.clear()
                     fresh = list({w for ws in split for w in ws})
+                    held = sum(map(len, fresh))
                 memory.update(zip(fresh, counter.many(fresh).tolist(), strict=True))
                 get = memory.__getitem__
                 counts = pa.array([sum(map(get, ws)) for ws in split], pa.int64())

@@ -2,8 +2,9 @@
 
 A host is turned round label by label (``m.example.org`` -> ``org.example.m.``), so all subdomains of a rule's
 host share a prefix and a rule covers one interval of keys. URLs and rules are dealt into the same key ranges,
-sorted, and swept once: a stack holds the rules whose interval is open, innermost last. A rule on the stack fits
-if the URL's path starts with the rule's; of those that fit, the one with the longest text wins.
+sorted, and swept once: a stack holds the hosts whose interval is open, innermost last. A host's paths are intervals
+too: sorted, each linked to the nearest one around it, so that a URL's longest is found by one binary search and the
+links out of there. Of all that fit, the one with the longest text wins.
 
 No side is broadcast. Range bounds are sampled quantiles of the keys (a fixed number of strings); a host that
 fills several ranges repeats as a bound, and its rows are dealt over as many parts by a hash of the row. A rule
@@ -11,7 +12,7 @@ is copied to the ranges that its interval meets, and only there.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and fits no rule; a null or empty
 rule host fits nothing; repeated rules count once, and if two equal rules disagree, block wins. Extra columns of
-the input are kept, those named like results replaced. An empty table gives an empty result; without rules every
+the input are kept under any name, those named like results replaced. An empty table gives an empty result; without rules every
 row gets the default verdict.
 """
 
@@ -48,8 +49,30 @@ def key_of(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+class _Paths:
+    """The path rules of one host, added in ascending order; each knows the nearest one that it lies within."""
+
+    def __init__(self, key: str):
+        self.key, self.paths, self.rules, self.within = key, [], [], []
+
+    def _around(self, k: int, path: str) -> int:
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.within[k]
+        return k
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        self.within.append(self._around(len(self.paths) - 1, path))
+        self.paths.append(path)
+        self.rules.append((rule, verdict))
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        """The longest rule that ``path`` starts with: the last that is not greater, or one that it lies within."""
+        k = self._around(bisect.bisect_right(self.paths, path) - 1, path)
+        return self.rules[k] if k >= 0 else None
+
+
 def _sweep(keep: list[str], default: str, schema: pa.Schema):
-    """Rows arrive sorted by (part, key, rules first). The stack holds (key prefix, [(rule path, rule, verdict)])."""
+    """Rows arrive sorted by (part, key, rules first, rule). The stack holds a ``_Paths`` for each open key."""
 
     def run(batches):
         part, stack = None, []
@@ -61,22 +84,19 @@ def _sweep(keep: list[str], default: str, schema: pa.Schema):
                 if p != part:
                     part, stack, last = p, [], None
                 if rule is not None or key != last:
-                    while stack and not key.startswith(stack[-1][0]):
+                    while stack and not key.startswith(stack[-1].key):
                         stack.pop()
                     last = key
                 if rule is not None:
-                    if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((rpath, rule, rverdict))
+                    if not stack or stack[-1].key != key:
+                        stack.append(_Paths(key))
+                    stack[-1].add(rpath, rule, rverdict)
                     continue
-                best = None
-                for _, rules in stack:
-                    for r in rules:
-                        if path.startswith(r[0]) and (best is None or (len(r[1]), r[2] == "block") > (len(best[1]), best[2] == "block")):
-                            best = r
+                fits = [f for f in (p.longest(path) for p in stack) if f]
+                best = max(fits, key=lambda f: (len(f[0]), f[1] == "block"), default=None)
                 index.append(i)
-                rule_out.append(best[1] if best else None)
-                verdict_out.append(best[2] if best else default)
+                rule_out.append(best[0] if best else None)
+                verdict_out.append(best[1] if best else default)
             taken = batch.take(pa.array(index, pa.int64()))
             columns = [taken.column(k) for k in keep] + [pa.array(rule_out, pa.string()), pa.array(verdict_out, pa.string())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -93,9 +113,10 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow", url:
 
     spark = urls.sparkSession
     ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kept = [c for c in urls.columns if c not in _RESULTS and c != url and not c.startswith("_")]
+    named = [c for c in urls.columns if c.lower() not in _RESULTS and c != url]
+    kept = [f"c{i}" for i in range(len(named))]  # names of our own, so that none clashes
     u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    parsed = urls.select(*[F.col(f"`{c}`") for c in kept], host_of(u).alias("host"), path_of(u).alias("path"))
+    parsed = urls.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(named, kept, strict=True)], host_of(u).alias("host"), path_of(u).alias("path"))
     parsed = parsed.withColumn("_key", key_of(F.col("host")))
     r = rules.where(F.coalesce(F.col("host"), F.lit("")) != "").select(
         F.translate("host", _CAPITALS, _SMALL).alias("_rhost"), F.coalesce("path", F.lit("")).alias("_rpath"), F.col("verdict").alias("_rverdict")
@@ -104,7 +125,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow", url:
     r = r.select(key_of(F.col("_rhost")).alias("_key"), F.concat("_rhost", "_rpath").alias("_rule"), "_rpath", "_rverdict")
 
     bounds = spark.sparkContext.broadcast(_bounds(parsed, ranges))  # at most ranges - 1 strings
-    types = {f.name: f.dataType for f in urls.schema}
+    types = {f.name: f.dataType for f in parsed.schema}
     none = F.lit(None).cast("string")
     rows = parsed.select(
         none.alias("_rule"), none.alias("_rpath"), none.alias("_rverdict"), "_key", F.xxhash64("path", *[F.col(f"`{c}`").cast("string") for c in kept]).alias("_salt"),
@@ -123,7 +144,8 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow", url:
     result = rows.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.lit("").alias("rule"), F.lit("").alias("verdict")).schema
     for f in result:
         f.nullable = True
-    return both.mapInArrow(_sweep([*kept, "host", "path"], default, to_arrow_schema(result)), result)
+    out = both.mapInArrow(_sweep([*kept, "host", "path"], default, to_arrow_schema(result)), result)
+    return out.toDF(*named, *_RESULTS)
 
 
 def _bounds(parsed: DataFrame, ranges: int) -> list[str]:

@@ -166,13 +166,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % HOLD_OUT == 0
+    """Whether a document is held out; one without an id is."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_OUT == 0, F.lit(True))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most ``max_rows`` rows outside the held-out fold: those of smallest id hash.
 
-    Bounded: only their ids are broadcast and only their FEATURES (11 doubles) reach the driver.
+    Bounded: only their ids are broadcast and only their FEATURES (11 doubles) reach the driver, of at most
+    ``max_rows`` rows too where ids repeat.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -182,7 +184,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     )
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t")).join(F.broadcast(chosen), "doc_id")
     stats = statistics(F.col("_t"))
-    got = rows.select("doc_id", "_y", *[stats[f].alias(f) for f in FEATURES]).toPandas()
+    made = rows.select("doc_id", "_y", F.xxhash64("_t").alias("_of"), *[stats[f].alias(f) for f in FEATURES])
+    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "_y", "_of").limit(max_rows).toPandas()
     got = got.sort_values(["doc_id", "_y", *FEATURES], kind="stable")
     return got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["_y"].to_numpy(float)
 

@@ -9,8 +9,9 @@ One turn renders as ``<|role|>name\\ncontent<|end|>\\n`` (``<|assistant|>`` and
 A ``<|`` inside a content or name gets a backslash between its two characters (one more, if some stand there
 already), so tags can't be forged and the content can be restored exactly.
 
-Offsets are prefix sums in two steps: within blocks of 256 turn numbers, and over block totals. A conversation
-that holds a third of all rows is therefore spread over as many tasks as it has blocks.
+Offsets are prefix sums in two steps: within blocks of 256 turn numbers, and over block totals; participants too meet
+turns block by block. A conversation that holds a third of all rows is therefore spread over as many tasks as it has
+blocks; turns without numbers are one block.
 
 Defined results: null text is empty; a null or empty speaker is the participant ``unknown``; rows with a null
 conversation id form one conversation; turns of equal number are ordered by speaker and text, null numbers come
@@ -46,7 +47,8 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
         F.coalesce(F.col(f"`{conv}`").cast("string"), F.lit("")).alias("_key"), F.col(f"`{conv}`").isNull().alias("_none"), F.coalesce(F.floor(F.col(f"`{turn}`") / BLOCK), F.lit(-(2**62))).alias("_block"),
     )
     people = t.where(~F.col("speaker").isin(*system)).select("_key", "_none", F.col("speaker").alias("perspective")).distinct()
-    pairs = t.join(people, ["_key", "_none"])
+    people = t.select("_key", "_none", "_block").distinct().join(people, ["_key", "_none"])  # a few rows of each conversation
+    pairs = t.join(people, ["_key", "_none", "_block"])
     role = F.when(F.col("speaker").isin(*system), "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     pairs = pairs.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", guarded(F.col("speaker"))).otherwise(F.lit("")))
     head = F.concat(F.lit("<|"), "role", F.lit("|>"), "name", F.lit("\n"))

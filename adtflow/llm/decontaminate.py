@@ -316,11 +316,10 @@ def _text_hash():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, null_ids: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents in which no test item was found, with all their columns. Rows are judged each on its own, by id
-    and text; those of null id stay whatever they hold unless ``null_ids`` has them judged like all others.
+    (null ones too) and text.
     """
     bad = _found(docs, benchmark, threshold, SEED).select(F.col("doc_id").alias("_bad"), F.col("_hash").alias("_of")).distinct()
-    doc_id = F.col("doc_id").cast("long")
-    same = doc_id.eqNullSafe(F.col("_bad")) if null_ids else doc_id == F.col("_bad")
-    return docs.join(bad, same & (_text_hash() == F.col("_of")), "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")) & (_text_hash() == F.col("_of"))
+    return docs.join(bad, same, "left_anti")

@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -156,11 +157,11 @@ def _covers(bins: tuple[int, ...], items: tuple[int, ...], effort: list[int]) ->
 
 
 def fillings(left: list[int], order: list[int], room: int, allowed: int, nodes: int) -> tuple[list[tuple[int, tuple[int, ...]]], int]:
-    """(undominated fillings of ``room`` with their waste, least first; the effort spent) from the counts ``left``.
+    """(fillings of ``room`` with their waste, least first; the effort spent) from the counts ``left``.
 
     Lengths are tried from the largest down, maximal sets only; a single length that fills the room exactly dominates
-    everything and ends the search. Branches that must waste more than ``allowed`` are cut. A filling is dominated where
-    its lengths can be packed into those of another. After the effort ``nodes`` the enumeration ends early.
+    everything and ends the search. Branches that must waste more than ``allowed`` are cut. After the effort ``nodes`` the
+    enumeration ends early.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = [nodes]
@@ -193,12 +194,18 @@ def fillings(left: list[int], order: list[int], room: int, allowed: int, nodes:
         return [(0, (room,))], 1
     visit(0, room, [])
     found.sort(key=lambda f: (f[0], len(f[1]), [-n for n in f[1]]))
-    kept: list[tuple[int, tuple[int, ...]]] = []
-    effort = [4 * nodes]
+    return found, nodes - budget[0]
+
+
+def undominated(found: list[tuple[int, tuple[int, ...]]], steps: list[int]):
+    """Those of ``found``, in order, whose lengths can't be packed into those of one before; ``steps`` counts the effort."""
+    kept: list[tuple[int, ...]] = []
     for waste, items in found:
-        if not any(_covers(g, items, effort) for _, g in kept):
-            kept.append((waste, items))
-    return kept, nodes - budget[0] + 4 * nodes - effort[0]
+        effort = [200]
+        if not any(_covers(g, items, effort) for g in kept):
+            kept.append(items)
+            yield waste, items
+        steps[0] += len(kept) + 200 - effort[0]
 
 
 def _half_bound(left: list[int], order: list[int], capacity: int) -> int:
@@ -231,27 +238,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, eff
     for n, c in counts.items():
         left[n] = c
     used, waste, failed = 0, 0, {}
-    stack: list[tuple[list, list[int], tuple | None]] = []  # open choices, lengths left, key of the remainder
+    stack: list[tuple[Iterator, list[int], tuple | None]] = []  # open choices, lengths left, key of the remainder
     path: list[tuple[tuple[int, ...], int, int]] = []
     steps = [0]
 
-    def opened(order: list[int]) -> tuple[list, list[int], tuple | None]:
+    def choices(top: int, found: list) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        for lost, items in undominated(found, steps):
+            pattern = (top, *items)
+            most = min(left[n] // pattern.count(n) for n in set(pattern))
+            for times in dict.fromkeys((most, 1)):
+                yield pattern, times, lost
+
+    def opened(order: list[int]) -> tuple[Iterator, list[int], tuple | None]:
         top, small = order[0], len(order) <= 48
         key = tuple((n, left[n]) for n in order) if small else None
         if key is not None and (failed.get(key, used + 1) <= used or used + _half_bound(left, order, capacity) >= best):
-            return [], order, None
+            return iter(()), order, None
         left[top] -= 1
         rest = order if left[top] else order[1:]
         spare = (best - 1) * capacity - volume - waste
         found, spent = fillings(left, rest, capacity - top, spare, nodes) if spare >= 0 else ([], 1)
         steps[0] += spent + (len(order) ** 2 // 16 if small else 0)
         left[top] += 1
-        choices = []
-        for lost, items in found:
-            pattern = (top, *items)
-            most = min(left[n] // pattern.count(n) for n in set(pattern))
-            choices += [(pattern, t, lost) for t in dict.fromkeys((most, 1))]
-        return choices[::-1], order, key
+        return choices(top, found), order, key
 
     def apply(pattern: tuple[int, ...], times: int) -> None:
         for n in pattern:
@@ -261,8 +270,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, eff
         stack.append(opened(sorted(counts, reverse=True)))
     dive = True  # the first one isn't counted
     while stack and best > bound and (dive or steps[0] < effort):
-        choices, order, key = stack[-1]
-        if not choices:
+        open_choices, order, key = stack[-1]
+        choice = next(open_choices, None)
+        if choice is None:
             if dive:
                 dive, steps[0] = False, 0
             stack.pop()
@@ -273,7 +283,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, eff
                 apply(pattern, -times)
                 used, waste = used - times, waste - lost * times
             continue
-        pattern, times, lost = choices.pop()
+        pattern, times, lost = choice
         if waste + lost * times > (best - 1) * capacity - volume:
             continue
         apply(pattern, times)

@@ -178,7 +178,7 @@ def render(source: str, **options) -> tuple[str | None, list]:
 
 # -- markdown ----------------------------------------------------------------------------------------------
 
-FENCE = r"(?im)^(`{3,})typediagram[^\n`]*\n([\s\S]*?)^\1[ \t]*$"
+FENCE = r"(?im)^(`{3,})adtflow[^\n`]*\n([\s\S]*?)^\1[ \t]*$"
 
 
 def fences(markdown: str) -> list[tuple[int, int, str]]:

@@ -16,6 +16,9 @@ from adtflow.plans.lang import Decl, Ref
 from adtflow.plans.model import Model
 
 # The word of the manifest for each scalar type.
+# Fixed value: the first line of a manifest, which published hashes cover.
+MANIFEST_HEAD = "tdbin-layout v1 major={major}"
+
 SCALARS = {"Bool": "bit", "Int": "i64", "Float": "f64", "DateTime": "ts", "Uuid": "uuid", "Decimal": "dec"}
 TEXTS = {"String": "str", "Bytes": "byt"}
 
@@ -278,7 +281,7 @@ class Layouts:
         keys = self.order(root)
         number = {k: i for i, k in enumerate(keys)}
         in_groups = self.grouped(keys) if self.major == 2 else set()
-        lines = [f"tdbin-layout v1 major={self.major}"]
+        lines = [MANIFEST_HEAD.format(major=self.major)]
         for k in keys:
             p = self.plan(k)
             if p.decl.kind == "record":

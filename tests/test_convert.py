@@ -4,7 +4,7 @@ from adtflow.functions import convert, render
 from adtflow.plans.model import build
 from adtflow.plans.text import print_source
 
-SOURCE = """typeDiagram
+SOURCE = """adtflow
 type User { id: Int, name: String, tags: List<String>, home: Option<Address>, meta: Map<String, Int>, when: DateTime }
 type Address { street: String, zip: Int }
 type Box<T> { item: T, more: List<T> }
@@ -70,6 +70,6 @@ def test_boxes_and_svg():
 
 
 def test_markdown():
-    good, bad = "```typeDiagram\ntype A { x: Int }\n```", "````typediagram\ntype {\n````"
+    good, bad = "```adtflow\ntype A { x: Int }\n```", "````adtflow\ntype {\n````"
     out, problems = render.render_markdown(f"# t\n{good}\n\n{bad}\n```sql\nx\n```\n")
     assert "<svg" in out and "<!-- " in out and "```sql" in out and problems

@@ -4,7 +4,7 @@ import pytest
 
 from adtflow.plans import edits, lang, model, text
 
-SOURCE = """typeDiagram
+SOURCE = """adtflow
 type User<T> { id: Uuid, tags: List<Tag>, extra: Option<T> }
 @targets(rust, go)
 untagged union Tag {
@@ -51,7 +51,7 @@ def test_errors_are_rows_and_reading_goes_on(source, message):
 
 
 def test_null_and_empty_sources():
-    assert lang.parse(None).decls == [] and lang.parse("").ok and lang.parse("typeDiagram\n").ok
+    assert lang.parse(None).decls == [] and lang.parse("").ok and lang.parse("adtflow\n").ok
 
 
 def test_model_resolution_edges_externals():

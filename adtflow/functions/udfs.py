@@ -36,8 +36,11 @@ def encoder(source: str, root: str, major: int = 2, mode: str = "bare"):
     return adt_encode
 
 
-def decoder(source: str, root: str, major: int = 2, check_hash: bool = True):
-    """A function of a binary column giving struct<value: .., error: string>: bad bytes are rows, not failures."""
+def decoder(source: str, root: str, major: int = 2, check_hash: bool = True, expected_hash: int | None = None):
+    """A function of a binary column giving struct<value: .., error: string>: bad bytes are rows, not failures.
+
+    ``check_hash`` holds a frame's hash against the layout's own; ``expected_hash`` has to be in every frame.
+    """
     layouts = Layouts(build(source), major)
     ref, schema_hash = layouts.ref(root), layouts.hash(root) if check_hash else None
     value_type = _open(spark_type(layouts, ref))
@@ -49,7 +52,7 @@ def decoder(source: str, root: str, major: int = 2, check_hash: bool = True):
         turn, decoder = to_spark(layouts, ref), codec.Decoder(layouts)
 
         def one(data: bytes):
-            return turn(decoder.message(root, wire.body_of(data, schema_hash)))
+            return turn(decoder.message(root, wire.body_of(data, schema_hash, expected_hash)))
 
         out = [(None, None) if data is None else wire.code_of(one, data) for data in rows.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([v for v, _ in out], arrow.field("value").type), pa.array([e for _, e in out], pa.string())], names=["value", "error"])

@@ -31,15 +31,24 @@ def block_bytes(count: Column, width: Column) -> Column:
     return (F.lit(21) + F.ceil((count - 1) * width / 8.0)).cast("long")
 
 
+def wrapped_minus(a: Column, b: Column) -> Column:
+    """a - b modulo 2**64, as the format's deltas wrap; never an overflow error."""
+    mask = F.lit(0xFFFFFFFF).cast("long")
+    low = a.bitwiseAND(mask) - b.bitwiseAND(mask)
+    high = F.shiftright(a, 32) - F.shiftright(b, 32) - F.when(low < 0, 1).otherwise(0)
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.bitwiseAND(mask))
+
+
 def int_block(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """keys, n, first, floor, width, block_bytes of each group's delta block."""
+    """keys, n, first, floor, width, block_bytes of each group's delta block. Deltas and their range are unsigned words."""
     w = W.partitionBy(*keys).orderBy(*order)
     v = F.col(value).cast("long")
-    rows = df.select(*keys, v.alias("_v"), (v - F.lag(v).over(w)).alias("_d"), F.row_number().over(w).alias("_k"))
-    z = zigzag(F.col("_d"))
+    rows = df.select(*keys, v.alias("_v"), wrapped_minus(v, F.lag(v).over(w)).alias("_d"), F.row_number().over(w).alias("_k"))
+    top = F.lit(-(2**63)).cast("long")
+    z = zigzag(F.col("_d")).bitwiseXOR(top)  # signed order of this is unsigned order of the word
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.max(F.when(F.col("_k") == 1, F.col("_v"))).alias("first"),
-        F.coalesce(F.min(z), F.lit(0).cast("long")).alias("floor"), F.coalesce(F.max(z) - F.min(z), F.lit(0).cast("long")).alias("_range"),
+        F.coalesce(F.min(z).bitwiseXOR(top), F.lit(0).cast("long")).alias("floor"), F.coalesce(wrapped_minus(F.max(z), F.min(z)), F.lit(0).cast("long")).alias("_range"),
     )
     out = out.withColumn("width", bit_width(F.col("_range")).cast("long")).drop("_range")
     return out.withColumn("block_bytes", block_bytes(F.col("n"), F.col("width")))
@@ -49,8 +58,9 @@ def int_block_restore(df: DataFrame, keys: list[str], order: list[str], value: s
     """keys, value and what the block's first value and deltas give back for it."""
     w = W.partitionBy(*keys).orderBy(*order)
     v = F.col(value).cast("long")
-    step = df.select(*keys, *[c for c in order if c not in keys], v.alias("original"), F.coalesce(v - F.lag(v).over(w), v).alias("_step"))
-    return step.withColumn("restored", F.sum("_step").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_step")
+    wide = v.cast("decimal(20,0)")  # steps between far values leave the range of a long
+    step = df.select(*keys, *[c for c in order if c not in keys], v.alias("original"), F.coalesce(wide - F.lag(wide).over(w), wide).alias("_step"))
+    return step.withColumn("restored", F.sum("_step").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("_step")
 
 
 def var_profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -105,15 +115,15 @@ def nested_counts(parents: DataFrame, children: DataFrame, parent_key: str, chil
     return parents.select(parent_key).join(counts, parent_key, "left").select(parent_key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nested_starts(counts: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+def nested_starts(counts: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Where each parent's children begin in the concatenated column, parents ascending by key.
 
-    Prefix sums in two steps: within ranges of keys, and over the ranges' totals.
+    Prefix sums in two steps: within ranges of keys between quantiles (as many as shuffle partitions), and over the
+    ranges' totals.
     """
-    lo, hi = counts.agg(F.min(key), F.max(key)).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // buckets + 1)
-    part = F.floor((F.col(key) - F.lit(lo or 0)) / width)
-    rows = counts.withColumn("_part", part)
+    buckets = buckets or max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = counts.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)] or [0.5], 50 * buckets).alias("q")).first()["q"]
+    rows = counts.withColumn("_part", F.size(F.filter(F.lit(sorted(set(cuts or [])) or [0]), lambda c: c <= F.col(key))))
     inner = W.partitionBy("_part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     totals = rows.groupBy("_part").agg(F.sum("n").alias("_n"))
     outer = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -184,19 +184,21 @@ def unknown_types(decls: DataFrame, resolved: DataFrame, target: str) -> DataFra
 def reachable(edge_table: DataFrame, roots: DataFrame, materialize=None, rounds: int = 1000) -> DataFrame:
     """(schema_id, root, name, distance): all that each root leads to, itself at 0, by a frontier that only grows.
 
-    One join and one anti join a round, as many rounds as the longest shortest path; ``materialize`` cuts the lineage
-    (checkpoint by default).
+    One join and one anti join a round, as many rounds as the longest shortest path, each round a table of its own;
+    ``materialize`` cuts the lineage (checkpoint by default). More than ``rounds`` are an error.
     """
     cut = materialize or (lambda df: df.checkpoint())
     step = edge_table.select("schema_id", F.col("source").alias("name"), F.col("target").alias("_next")).distinct()
-    found = roots.select("schema_id", F.col("name").alias("root"), "name", F.lit(0).alias("distance"))
-    frontier = found
-    for k in range(1, rounds + 1):
+    step = cut(step)
+    frontier = cut(roots.select("schema_id", F.col("name").alias("root"), "name", F.lit(0).alias("distance")))
+    found, k = frontier, 0
+    while not frontier.isEmpty():
+        k += 1
+        if k > rounds:
+            raise RuntimeError(f"reachability isn't finished after {rounds} rounds")
         new = frontier.join(step, ["schema_id", "name"]).select("schema_id", "root", F.col("_next").alias("name")).distinct()
-        new = cut(new.join(found, ["schema_id", "root", "name"], "left_anti").withColumn("distance", F.lit(k)))
-        if new.isEmpty():
-            break
-        found, frontier = cut(found.unionByName(new)), new
+        frontier = cut(new.join(found, ["schema_id", "root", "name"], "left_anti").withColumn("distance", F.lit(k)))
+        found = found.unionByName(frontier)
     return found
 
 
@@ -235,14 +237,24 @@ def printed(catalog: Catalog) -> DataFrame:
     )
     lines = rows.groupBy("schema_id", "decl_ix").agg(F.array_sort(F.collect_list(F.struct("row_ix", text.alias("t")))).alias("l"))
     alias_of = m.where("kind = 'target'").select("schema_id", "decl_ix", F.col("type_text").alias("target"))
-    d = first_decls(catalog.decls).where("kind <> 'function'").join(lines, ["schema_id", "decl_ix"], "left").join(alias_of, ["schema_id", "decl_ix"], "left")
+    params = m.where("kind = 'parameter'").groupBy("schema_id", "decl_ix", "row_ix").agg(F.array_sort(F.collect_list(F.struct("part_ix", "name", "type_text"))).alias("p"))
+    returns = m.where("kind in ('return', 'async return')").join(params, ["schema_id", "decl_ix", "row_ix"], "left")
+    listed = F.coalesce(F.array_join(F.transform("p", lambda x: F.concat(x["name"], F.lit(": "), x["type_text"])), ", "), F.lit(""))
+    one = F.struct("row_ix", (F.col("kind") == "async return").alias("a"), F.concat(F.lit("("), listed, F.lit(") -> "), "type_text").alias("t"))
+    overloads = returns.groupBy("schema_id", "decl_ix").agg(F.array_sort(F.collect_list(one)).alias("o"))
+    d = first_decls(catalog.decls).join(overloads, ["schema_id", "decl_ix"], "left").join(lines, ["schema_id", "decl_ix"], "left").join(alias_of, ["schema_id", "decl_ix"], "left")
     name = F.concat("name", F.when(F.size("generics") > 0, F.concat(F.lit("<"), F.array_join("generics", ", "), F.lit(">"))).otherwise(F.lit("")))
     block = F.concat(F.lit(" {\n"), F.array_join(F.transform("l", lambda x: F.concat(F.lit("  "), x["t"])), "\n"), F.lit("\n}"))
     marks = F.concat(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"@{w}("), F.array_join(c, ", "), F.lit(")\n"))).otherwise(F.lit("")) for c, w in (("targets", "targets"), ("skip_targets", "skipTargets"))])
+    spoken = lambda x: F.when(x["a"], "async ").otherwise(F.lit(""))
+    bodies = F.array_join(F.transform("o", lambda x: F.concat(F.lit("  "), spoken(x), x["t"])), "\n")
+    function = F.when(F.size("o") == 1, F.concat(spoken(F.col("o")[0]), F.lit("function "), name, F.col("o")[0]["t"])).otherwise(
+        F.concat(F.lit("function "), name, F.lit(" {\n"), F.coalesce(bodies, F.lit("")), F.lit("\n}"))
+    )
     source = (
-        F.when(F.col("kind") == "alias", F.concat(F.lit("alias "), name, F.lit(" = "), "target"))
+        F.when(F.col("kind") == "function", function).when(F.col("kind") == "alias", F.concat(F.lit("alias "), name, F.lit(" = "), "target"))
         .when(F.col("kind") == "record", F.concat(F.lit("type "), name, F.coalesce(block, F.lit(" {\n\n}"))))
         .otherwise(F.concat(F.when(F.col("untagged"), "untagged union ").otherwise(F.lit("union ")), name, F.coalesce(block, F.lit(" {\n\n}"))))
     )
     parts = d.groupBy("schema_id").agg(F.array_sort(F.collect_list(F.struct("decl_ix", F.concat(marks, source).alias("s")))).alias("x"))
-    return parts.select("schema_id", F.concat(F.lit("typeDiagram\n\n"), F.array_join(F.transform("x", lambda x: x["s"]), "\n\n"), F.lit("\n")).alias("source"))
+    return parts.select("schema_id", F.concat(F.lit("adtflow\n\n"), F.array_join(F.transform("x", lambda x: x["s"]), "\n\n"), F.lit("\n")).alias("source"))

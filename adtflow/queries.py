@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adtflow.functions import render, udfs, wire
@@ -160,10 +161,13 @@ def nested_list_flatten(spark, sf_dir):
     return lists.select("o_custkey", F.inline(F.flatten("orders")))
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS most, (SELECT CAST(count(*) AS BIGINT) FROM lineitem) AS rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS most, (SELECT CAST(count(*) AS BIGINT) FROM lineitem) AS rows, TRUE AS fits FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
 def column_total_check(spark, sf_dir):
+    """A length column's total against the rows of the child table that it claims, and against what a count can hold."""
     counts = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return counts.agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.sum("n").alias("rows"))
+    claimed = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    held = read(spark, sf_dir, "lineitem").agg(F.count("*").alias("rows"))  # one row each
+    return claimed.join(F.broadcast(held)).withColumn("fits", (F.col("total") == F.col("rows")) & (F.col("total") < 1 << 32))
 
 
 @query("SELECT event_id, epoch_us(ts) AS micros FROM events")
@@ -264,7 +268,6 @@ SELECT table_name, column_name, CASE WHEN type IN ('String', 'List') THEN 'point
 CAST(count(*) OVER (PARTITION BY table_name, type IN ('String', 'List') ORDER BY row_ix) - 1 AS BIGINT) AS slot FROM c"""
 )
 def layout_slots(spark, sf_dir):
-    from pyspark.sql import Window as W
 
     pointer = F.col("type").isin("String", "List")
     w = W.partitionBy("table_name", pointer).orderBy("row_ix")
@@ -272,7 +275,7 @@ def layout_slots(spark, sf_dir):
     return _columns(spark, sf_dir).select("table_name", "column_name", section.alias("section"), (F.count("*").over(w) - 1).alias("slot"))
 
 
-FIXTURE = """typeDiagram
+FIXTURE = """adtflow
 type User<T> {
   id: Uuid
   name: String
@@ -388,14 +391,20 @@ def _checkpoints(spark: SparkSession) -> None:
 
 
 @query(
-    """SELECT r_name, CAST(count(DISTINCT n_nationkey) AS BIGINT) AS nations, CAST(count(DISTINCT c_custkey) AS BIGINT) AS customers FROM region LEFT JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY r_name"""
+    """SELECT r_name, CAST(1 AS INT) AS distance, CAST(count(DISTINCT n_nationkey) AS BIGINT) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name
+UNION ALL SELECT r_name, CAST(2 AS INT), CAST(count(DISTINCT c_custkey) AS BIGINT) + (SELECT CAST(count(DISTINCT s_suppkey) AS BIGINT) FROM nation n2 JOIN supplier ON n2.n_nationkey = s_nationkey WHERE n2.n_regionkey = any_value(r_regionkey))
+FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY r_name"""
 )
 def geo_reachability(spark, sf_dir):
-    """What each region leads to: region to nation to customer, a closure of bounded depth as two joins."""
-    per_nation = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("k"))
-    n = read(spark, sf_dir, "nation").join(per_nation, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    r = read(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return r.groupBy("r_name").agg(F.count("n_nationkey").alias("nations"), F.coalesce(F.sum("k"), F.lit(0)).alias("customers"))
+    """What each region leads to, by distance: the closure over region to nation to customer and supplier."""
+    _checkpoints(spark)
+    node = lambda kind, key: F.concat(F.lit(f"{kind} "), F.col(key).cast("string"))
+    edge = lambda t, a, b: read(spark, sf_dir, t).select(F.lit("geo").alias("schema_id"), node(*a).alias("source"), node(*b).alias("target"))
+    edges = edge("nation", ("region", "n_regionkey"), ("nation", "n_nationkey"))
+    edges = edges.unionByName(edge("customer", ("nation", "c_nationkey"), ("customer", "c_custkey"))).unionByName(edge("supplier", ("nation", "s_nationkey"), ("supplier", "s_suppkey")))
+    regions = read(spark, sf_dir, "region").select(F.lit("geo").alias("schema_id"), node("region", "r_regionkey").alias("name"), "r_name")
+    found = K.reachable(edges, regions).where("distance > 0").join(regions.select(F.col("name").alias("root"), "r_name"), "root")
+    return found.groupBy("r_name", "distance").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -423,12 +432,13 @@ def rename_rewrite(spark, sf_dir):
 
 
 @query(
-    """SELECT 'typeDiagram' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY k) || chr(10) AS source FROM (VALUES
+    """SELECT 'adtflow' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY k) || chr(10) AS source FROM (VALUES
  (0, 'type A {' || chr(10) || '  x: Int' || chr(10) || '  y: List<B>' || chr(10) || '}'), (1, 'union B {' || chr(10) || '  None' || chr(10) || '  Some(A, Int)' || chr(10) || '  Named = 3 { n: String }' || chr(10) || '}'),
- (2, '@targets(go)' || chr(10) || 'alias C<T> = Map<String, T>')) v(k, t)"""
+ (2, '@targets(go)' || chr(10) || 'alias C<T> = Map<String, T>'), (3, 'async function f<T>(a: T, b: Int) -> Option<T>'),
+ (4, 'function g {' || chr(10) || '  () -> Int' || chr(10) || '  async (x: A) -> B' || chr(10) || '}')) v(k, t)"""
 )
 def canonical_print(spark, sf_dir):
-    source = "type A { x: Int, y: List<B> }\nunion B { None\n Some(A,Int), Named = 3 { n: String } }\n@targets(go) alias C<T> = Map< String, T >"
+    source = "type A { x: Int, y: List<B> }\nunion B { None\n Some(A,Int), Named = 3 { n: String } }\n@targets(go) alias C<T> = Map< String, T >\nasync function f<T>(a: T,b:Int)->Option<T>\nfunction g { () -> Int, async (x: A) -> B }"
     return K.printed(K.Catalog(K.parse(spark.createDataFrame([("s", source)], "schema_id string, source string")))).select("source")
 
 
@@ -437,6 +447,59 @@ def summary_outcomes(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("n_chars") < 500).alias("empty"), F.count_if(F.col("n_chars") >= 500).alias("ok"), F.sum("n_chars").alias("total"))
 
 
+# -- schemas made of table rows ------------------------------------------------------------------------------
+
+
+def order_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema for each customer: a declaration for each order, which names the one before it and a status that isn't
+    declared. Each seventh order is declared twice, and each fifth declaration has an error."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    before = F.coalesce(F.concat(F.lit("O"), F.lag("o_orderkey").over(w).cast("string")), F.lit("Unit"))
+    name, colon = F.concat(F.lit("O"), F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(":")
+    text = F.concat(F.lit("type "), name, F.lit(" { prev"), colon, F.lit(" "), before, F.lit(", status: Option<S"), "o_orderstatus", F.lit("> }\n"))
+    text = F.concat(text, F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("type "), name, F.lit(" { again: Int }\n"))).otherwise(F.lit("")))
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", text.alias("t"))
+    source = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))), lambda x: x["t"]), "")
+    return rows.groupBy(F.col("o_custkey").cast("string").alias("schema_id")).agg(source.alias("source"))
+
+
+def order_catalog(spark: SparkSession, sf_dir: str) -> K.Catalog:
+    return K.Catalog(K.parse(order_schemas(spark, sf_dir)))
+
+
+_ORDERS_SQL = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS schema_id, o_orderkey AS k, o_orderstatus AS s, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders)"
+
+
+@query(f"WITH {_ORDERS_SQL} SELECT schema_id, 'O' || k AS source, 'O' || prev AS target, 'prev' AS label FROM o WHERE prev IS NOT NULL AND k % 5 <> 0")
+def order_schema_edges(spark, sf_dir):
+    c = order_catalog(spark, sf_dir)
+    return K.edges(K.resolve(c.decls, c.refs)).select("schema_id", "source", "target", "label")
+
+
+@query(f"WITH {_ORDERS_SQL} SELECT schema_id, string_agg(DISTINCT n, ',' ORDER BY n) AS externals FROM (SELECT schema_id, unnest(['Option', 'S' || s]) AS n FROM o) GROUP BY schema_id")
+def order_schema_externals(spark, sf_dir):
+    c = order_catalog(spark, sf_dir)
+    return K.externals_sorted(K.resolve(c.decls, c.refs)).select("schema_id", F.array_join("externals", ",").alias("externals"))
+
+
+@query(
+    f"""WITH {_ORDERS_SQL} SELECT schema_id, message, CAST(count(*) AS BIGINT) AS n FROM (
+SELECT schema_id, 'expected '':'', got ' || chr(39) || coalesce('O' || prev, 'Unit') || chr(39) AS message FROM o WHERE k % 5 = 0
+UNION ALL SELECT schema_id, 'duplicate declaration ' || chr(39) || 'O' || k || chr(39) FROM o WHERE k % 7 = 0) GROUP BY ALL"""
+)
+def order_schema_problems(spark, sf_dir):
+    """Reading goes on after each error: none hides another, and the duplicates are still found."""
+    return K.diagnostics(order_catalog(spark, sf_dir)).groupBy("schema_id", "message").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_ORDERS_SQL} SELECT schema_id, 'adtflow' || chr(10) || chr(10) || string_agg('type O' || k || ' {{' || chr(10) ||
+CASE WHEN k % 5 = 0 THEN '' ELSE '  prev: ' || coalesce('O' || prev, 'Unit') || chr(10) END || '  status: Option<S' || s || '>' || chr(10) || '}}', chr(10) || chr(10) ORDER BY k) || chr(10) AS source FROM o GROUP BY schema_id"""
+)
+def order_schema_print(spark, sf_dir):
+    return K.printed(order_catalog(spark, sf_dir))
+
+
 # -- text --------------------------------------------------------------------------------------------------
 
 _WIDE_SQL = "[" + "".join(f"{chr(92)}x{{{a:X}}}-{chr(92)}x{{{b:X}}}" for a, b in render.WIDE_RANGES) + "]"
@@ -467,13 +530,14 @@ def escape_html_attr(spark, sf_dir):
 
 
 @query(
-    """SELECT item_id, CAST(1 AS BIGINT) AS n, 'type T' || item_id || ' { x: Int }' || chr(10) AS first FROM benchmark"""
+    """SELECT doc_id, CAST(1 AS BIGINT) AS n, 'type T' || doc_id || ' { x: Int }' || chr(10) AS first FROM documents"""
 )
 def fence_blocks(spark, sf_dir):
-    fence = F.concat(F.lit("```typeDiagram\ntype T"), F.col("item_id").cast("string"), F.lit(" { x: Int }\n```\n"))
-    text = F.concat("text", F.lit("\n\n```sql\nselect 1\n```\n"), fence, "text")
-    found = F.regexp_extract_all(text, F.lit(r"(?im)^(`{3,})typediagram[^\n`]*\n([\s\S]*?)^\1[ \t]*$"), F.lit(2))
-    return read(spark, sf_dir, "benchmark").select("item_id", F.size(found).cast("long").alias("n"), F.element_at(found, 1).alias("first"))
+    fence = F.concat(F.lit("```adtflow\ntype T"), F.col("doc_id").cast("string"), F.lit(" { x: Int }\n```\n"))
+    body = F.coalesce("text", F.lit(""))
+    text = F.concat(body, F.lit("\n\n```sql\nselect 1\n```\n"), fence, body)
+    found = F.regexp_extract_all(text, F.lit(render.FENCE), F.lit(2))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.element_at(found, 1).alias("first"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -483,7 +547,7 @@ def json_tag(spark, sf_dir):
 
 # -- messages ----------------------------------------------------------------------------------------------
 
-ORDERS_TD = """typeDiagram
+ORDERS_TD = """adtflow
 type Order { key: Int, customer: Int, total: Float, at: DateTime, priority: String, status: Status, note: Option<String>, lines: List<Line> }
 type Line { part: Int, quantity: Float, ship: Option<DateTime>, flags: List<String> }
 union Status { Open, Filled(String), Partial(Reason) }
@@ -541,6 +605,28 @@ def decode_error_rows(spark, sf_dir):
     return codes.groupBy("spoilt", "error").agg(F.count("*").alias("n"))
 
 
+@query("SELECT mode, CASE WHEN mode = 'framed' THEN NULL ELSE 'HashMismatch' END AS error, CAST(count(*) AS BIGINT) AS n FROM orders, (VALUES ('framed'), ('elided'), ('other')) m(mode) GROUP BY 1, 2")
+def expected_hash_rows(spark, sf_dir):
+    """Frames with the expected hash, without any, and with another: an expected hash must be there and equal."""
+    layouts = Layouts(build(ORDERS_TD), 2)
+    values, out = orders_as_values(spark, sf_dir), None
+    for mode in ("framed", "elided", "other"):
+        sent = values.select(udfs.encoder(ORDERS_TD, "Order", 2, "framed" if mode == "other" else mode)("value").alias("m"))
+        expected = layouts.hash("Order") ^ (mode == "other")
+        part = sent.select(F.lit(mode).alias("mode"), udfs.decoder(ORDERS_TD, "Order", 2, check_hash=False, expected_hash=expected)("m.bytes")["error"].alias("error"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("mode", "error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS key, o_orderpriority AS name, CAST(NULL AS VARCHAR) AS extra, CAST(0 AS BIGINT) AS count, CAST(NULL AS VARCHAR) AS error FROM orders")
+def appended_fields(spark, sf_dir):
+    """Messages of an older schema read by one with two fields more: those are absent, or 0."""
+    old, new = "type P { key: Int, name: String }", "type P { key: Int, name: String, extra: Option<String>, count: Int }"
+    value = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("name"))
+    sent = read(spark, sf_dir, "orders").select(udfs.encoder(old, "P", 1, "bare")(value).alias("m"))
+    return sent.select(udfs.decoder(new, "P", 1, check_hash=False)("m.bytes").alias("r")).select("r.value.*", "r.error")
+
+
 @query()
 def verify_mutations(spark, sf_dir):
     """How many bodies, one byte of each changed, verification finds at fault, by code; decoding must never crash."""
@@ -559,7 +645,7 @@ def layout_hashes(spark, sf_dir):
     return spark.createDataFrame(rows, "major int, name string, hash string, manifest string")
 
 
-BATCH_TD = """typeDiagram
+BATCH_TD = """adtflow
 type Batch { rows: List<Row> }
 type Row { order: Int, part: Int, line: Int, quantity: Float, price: Float, flag: String, ship: DateTime, late: Option<Int> }
 """
@@ -658,7 +744,7 @@ def schemas_in_all_languages(spark, sf_dir):
 
 _MARKS = {"{": "LBrace", "}": "RBrace", "(": "LParen", ")": "RParen", "<": "LAngle", "@": "At", ",": "Comma", ":": "Colon", "=": "Equals"}
 _LITERAL = "'" + FIXTURE.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-_KEYWORDS_SQL = "('type', 'union', 'untagged', 'alias', 'function', 'async', 'typeDiagram')"
+_KEYWORDS_SQL = "('type', 'union', 'untagged', 'alias', 'function', 'async', 'adtflow')"
 
 
 @query(
@@ -688,7 +774,7 @@ def model_json(spark, sf_dir):
     return rows.select("d.name", "d.kind", F.size("d.generics").alias("generics"))
 
 
-SAMPLE = """typeDiagram
+SAMPLE = """adtflow
 
 type User {
   id: Int
@@ -753,7 +839,7 @@ SOURCES = {
     "protobuf": 'syntax = "proto3";\nmessage P {\n  int64 x = 1;\n  // @td-type: Option<List<String>>\n  repeated bytes tags = 2;\n}\nmessage S {\n  message On { int64 at = 1; }\n  oneof v {\n    On on = 1;\n    google.protobuf.Empty off = 2;\n  }\n}\n',
     "php": "<?php\nclass P { /** @param Option<List<String>> $tags */ public function __construct(public int $x, public ?array $tags) {} }\ninterface S {}\nclass SOn implements S { public function __construct(public int $at) {} }\nclass SOff implements S { public function __construct() {} }\n",
 }
-_P = "'typeDiagram' || chr(10) || chr(10) || 'type P {' || chr(10) || '  x: Int' || chr(10) || '  tags: Option<List<String>>' || chr(10) || '}' || chr(10) || chr(10) || 'union S {' || chr(10) || '  On { at: Int }' || chr(10) || '  Off' || chr(10) || '}' || chr(10)"
+_P = "'adtflow' || chr(10) || chr(10) || 'type P {' || chr(10) || '  x: Int' || chr(10) || '  tags: Option<List<String>>' || chr(10) || '}' || chr(10) || chr(10) || 'union S {' || chr(10) || '  On { at: Int }' || chr(10) || '  Off' || chr(10) || '}' || chr(10)"
 
 
 @query(f"SELECT language, {_P} AS source FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in SOURCES)}) v(language)")
@@ -778,9 +864,9 @@ def _sql_text(text: str) -> str:
 
 
 _EDITED = {
-    "add": "typeDiagram\n\ntype A {\n  x: B\n}\n\nunion B {\n  N\n}\n\ntype NewType {\n\n}\n", "remove": "typeDiagram\n\nunion B {\n  N\n}\n", "rename": "typeDiagram\n\ntype A {\n  x: C\n}\n\nunion C {\n  N\n}\n",
-    "row": "typeDiagram\n\ntype A {\n  y: List<Int>\n}\n\nunion B {\n  N\n}\n", "connect": "typeDiagram\n\ntype A {\n  x: B\n  b: B\n}\n\nunion B {\n  N\n}\n",
-    "add_row": "typeDiagram\n\ntype A {\n  x: B\n}\n\nunion B {\n  N\n  Variant\n}\n", "remove_row": "typeDiagram\n\ntype A {\n\n}\n\nunion B {\n  N\n}\n",
+    "add": "adtflow\n\ntype A {\n  x: B\n}\n\nunion B {\n  N\n}\n\ntype NewType {\n\n}\n", "remove": "adtflow\n\nunion B {\n  N\n}\n", "rename": "adtflow\n\ntype A {\n  x: C\n}\n\nunion C {\n  N\n}\n",
+    "row": "adtflow\n\ntype A {\n  y: List<Int>\n}\n\nunion B {\n  N\n}\n", "connect": "adtflow\n\ntype A {\n  x: B\n  b: B\n}\n\nunion B {\n  N\n}\n",
+    "add_row": "adtflow\n\ntype A {\n  x: B\n}\n\nunion B {\n  N\n  Variant\n}\n", "remove_row": "adtflow\n\ntype A {\n\n}\n\nunion B {\n  N\n}\n",
 }
 
 

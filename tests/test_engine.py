@@ -183,3 +183,37 @@ union E { A, B }"""), 2)
         back = arrow_groups.decode_rows(layouts, "B", "rows", data)
         assert (len(part) == 0 and not back) or back.to_pylist() == part.to_pylist()
     assert wire.code_of(arrow_groups.decode_rows, layouts, "B", "rows", data[:-8])[1] if len(data) > 16 else True
+
+
+def test_blocks_of_far_values_wrap(spark):
+    from adtflow.operators import columnar
+
+    least, most = -(2**63), 2**63 - 1
+    groups = {1: [least, most, least], 2: [0, most, least, most], 3: [5, 8, 11], 4: [most], 5: [most, least + 1, 7]}
+    df = spark.createDataFrame([(k, i, v) for k, values in groups.items() for i, v in enumerate(values)], "k long, i long, v long")
+    got = {r.k: r for r in columnar.int_block(df, ["k"], ["i"], "v").collect()}
+    for k, values in groups.items():
+        deltas = [(b - a + 2**63) % 2**64 - 2**63 for a, b in zip(values, values[1:])]
+        z = [(d << 1 ^ d >> 63) % 2**64 for d in deltas] or [0]
+        assert (got[k].floor % 2**64, got[k].width, got[k].first) == (min(z), (max(z) - min(z)).bit_length(), values[0])
+    back = columnar.int_block_restore(df, ["k"], ["i"], "v").collect()
+    assert all(r.original == r.restored for r in back)
+
+
+def test_expected_and_pinned_hashes():
+    body, right, other = b"\0" * 16, 7, 8
+    framed, elided = wire.frame_encode(body, False, right), wire.frame_encode(body)
+    assert wire.body_of(framed, right, right) == body == wire.body_of(elided, right) == wire.body_of(framed) == wire.body_of(body, right, other)
+    for data, pinned, expected in ((framed, other, None), (framed, None, other), (elided, None, right), (framed, other, right)):
+        with pytest.raises(Exception) as e:
+            wire.body_of(data, pinned, expected)
+        assert "HashMismatch" in str(e.value)
+
+
+def test_unfinished_reachability_is_an_error(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    edges = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}") for i in range(6)], "schema_id string, source string, target string")
+    roots = spark.createDataFrame([("s", "n0")], "schema_id string, name string")
+    with pytest.raises(RuntimeError):
+        catalog.reachable(edges, roots, rounds=3)
+    assert catalog.reachable(edges, roots).count() == 7

@@ -558,33 +558,87 @@ def test_guarding_is_reversible(spark):
 # -- LM scoring -------------------------------------------------------------------------------------------
 
 
+def tree_log_p(net, token, around):
+    """The definition, node by node."""
+    h = np.tanh(sum(t[w] * c for t, w, c in zip((net.left, net.left, net.right, net.right), around, net.weigh, strict=True)) + net.h0[0])
+    total, a = 0.0, int(net.tree.start[token])
+    for node, side in zip(net.tree.node[a : a + net.tree.length[token]], net.tree.side[a : a + net.tree.length[token]], strict=True):
+        total -= math.log1p(math.exp(-float(side) * float(net.u[node] @ h + net.bias[node, 0])))
+    return total
+
+
 def test_network_learns_both_sides():
     rng = np.random.default_rng(0)
-    counts = np.zeros((pseudo_likelihood.VOCAB**2, pseudo_likelihood.VOCAB))
-    for left in range(20):
-        for right in range(20):
-            counts[left * pseudo_likelihood.VOCAB + right, (left + right) % 20] = 1 + rng.integers(5)
-    net = pseudo_likelihood.Network()
-    losses = net.train(counts)
-    assert losses[-1] < 0.5 * losses[0]
-    p = np.exp(net.table().reshape(-1, pseudo_likelihood.VOCAB)[:: pseudo_likelihood.VOCAB * 3])
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    left, right = rng.integers(0, 12, (2, 40_000))
+    around = np.column_stack([left, rng.integers(0, 12, 40_000), right, rng.integers(0, 12, 40_000)])
+    tokens = (left // 3 + right // 3) % 8
+    net = pseudo_likelihood.Network(np.bincount(tokens, minlength=12).astype(float))
+    everything = np.arange(12)
+    start = -net.log_p(tokens, around).mean()
+    assert np.isclose(np.exp(net.log_p(everything, np.repeat(around[:1], 12, axis=0))).sum(), 1, atol=1e-5)
+    p = np.bincount(tokens, minlength=12) + 0.5
+    assert math.isclose(start, -np.log(p[tokens] / p.sum()).mean(), rel_tol=1e-4)  # untrained, it is the unigram distribution
+    net.train(tokens, around, steps=600)
+    assert -net.log_p(tokens, around).mean() < 0.6 * start
+    for k in range(20):
+        assert np.isclose(np.exp(net.log_p(everything, np.repeat(around[k : k + 1], 12, axis=0))).sum(), 1, atol=1e-4)
+        assert math.isclose(net.log_p(tokens[k : k + 1], around[k : k + 1])[0], tree_log_p(net, tokens[k], around[k]), rel_tol=1e-4, abs_tol=1e-5)
+
+
+def test_tokens_are_words_and_pieces():
+    column = pa.array(["the Abcdefg the", None, "zz", "", "the"])
+    vocab = common.word_hashes(np.frombuffer(b"zzthe", np.uint8), np.array([0, 2]), np.array([2, 5]))
+    ids, row, whole = pseudo_likelihood.encode(column, vocab)
+    assert ids[[0, 4, 5, 6]].tolist() == [1, 1, 0, 1] and (ids[1:4] >= pseudo_likelihood.WORDS).all() and row.tolist() == [0] * 5 + [2, 4] and whole.tolist() == [0, 0, 0, 2, 4]
+    same, _, _ = pseudo_likelihood.encode(pa.array(["ABCDEFG"]), vocab)
+    assert same.tolist() == ids[1:4].tolist()
+    edge = pseudo_likelihood.EDGE
+    assert pseudo_likelihood.windows(np.array([7, 8, 9]), np.array([0, 0, 1])).tolist() == [[edge, edge, 8, edge], [7, edge, edge, edge], [edge] * 4]
 
 
 def test_scores_follow_the_definition(docs, texts):
-    model = pseudo_likelihood.learn(docs)
+    model = pseudo_likelihood.learn(docs, steps=5)
+    vocab, net = model
     got = {r.doc_id: r for r in pseudo_likelihood.score(docs, model).collect()}
-    vocab, table, spell = model
     for i, t in enumerate(texts):
-        ids, row, raw, start, end = pseudo_likelihood.encode(pa.array([t]), vocab)
-        n, total = len((t or "").encode().split()), 0.0
-        for k, w in enumerate(ids):
-            left, right = ids[k - 1] if k else pseudo_likelihood.EDGE, ids[k + 1] if k + 1 < len(ids) else pseudo_likelihood.EDGE
-            total += float(table[(left * pseudo_likelihood.VOCAB + right) * pseudo_likelihood.VOCAB + w])
-            if w >= pseudo_likelihood.COMMON:
-                b = [256, *raw[start[k] : end[k]].tolist(), 256]
-                total += sum(spell[x * 257 + y] for x, y in zip(b, b[1:], strict=False))
-        assert got[i].n_words == n and math.isclose(got[i].log_likelihood, total, rel_tol=1e-6, abs_tol=1e-6)
+        ids, row, _ = pseudo_likelihood.encode(pa.array([t]), vocab)
+        around = pseudo_likelihood.windows(ids, row)
+        assert got[i].n_words == len((t or "").encode().split())
+        total = sum(tree_log_p(net, w, c) for w, c in list(zip(ids, around, strict=True))[:80])
+        assert math.isclose(net.log_p(ids, around)[:80].sum(), total, rel_tol=1e-4, abs_tol=1e-4)
+        assert math.isclose(got[i].log_likelihood, net.log_p(ids, around).sum(), rel_tol=1e-5, abs_tol=1e-4)
+        assert math.isclose(got[i].per_word, got[i].log_likelihood / max(1, got[i].n_words), rel_tol=1e-9)
+
+
+def test_held_out_loss_is_below_unigrams_and_bigrams(spark):
+    rng = random.Random(50)
+    names = [word(rng) + str(k) for k in range(60)]
+
+    def text():
+        out = []
+        for _ in range(60):  # the word between two others follows from both, by neither alone
+            a, b = rng.randrange(60), rng.randrange(60)
+            out += [names[a], f"m{(a % 6 + b % 6) % 6}", names[b]]
+        return " ".join(out)
+
+    train, test = [text() for _ in range(300)], [text() for _ in range(40)]
+    vocab, net = pseudo_likelihood.learn(spark.createDataFrame([(i, t) for i, t in enumerate(train)], "doc_id long, text string").repartition(2), stride=1, steps=250)
+    ids, row, _ = pseudo_likelihood.encode(pa.array(test), vocab)
+    mine = -net.log_p(ids, pseudo_likelihood.windows(ids, row)).mean()
+    seen, pairs = collections.Counter(), collections.Counter()
+    for t in train:
+        w = t.split()
+        seen.update(w)
+        pairs.update(zip(w, w[1:], strict=False))
+    total, unigram, bigram, n = sum(seen.values()), 0.0, 0.0, 0
+    for t in test:
+        w = t.split()
+        for k, x in enumerate(w):
+            p = seen[x] / total
+            unigram -= math.log(p)
+            bigram -= math.log((pairs[w[k - 1], x] + 5 * p) / (seen[w[k - 1]] + 5) if k else p)
+            n += 1
+    assert mine < bigram / n < unigram / n
 
 
 def test_language_model_of_nothing(empty):

@@ -578,6 +578,10 @@ def test_network_learns_both_sides():
     assert np.isclose(np.exp(net.log_p(everything, np.repeat(around[:1], 12, axis=0))).sum(), 1, atol=1e-5)
     p = np.bincount(tokens, minlength=12) + 0.5
     assert math.isclose(start, -np.log(p[tokens] / p.sum()).mean(), rel_tol=1e-4)  # untrained, it is the unigram distribution
+    few = np.argsort(net.tree.length[tokens[:200]], kind="stable")
+    before, state = net.log_p(tokens[:200], around[:200]).mean(), net.train(tokens[:0], around[:0])
+    assert math.isclose(net.step(tokens[few], around[few], state["memory"], state["met"], 0.05), -before, rel_tol=1e-4)
+    assert net.log_p(tokens[:200], around[:200]).mean() > before
     net.train(tokens, around, steps=600)
     assert -net.log_p(tokens, around).mean() < 0.6 * start
     for k in range(20):
@@ -587,21 +591,31 @@ def test_network_learns_both_sides():
 
 def test_tokens_are_words_and_pieces():
     column = pa.array(["the Abcdefg the", None, "zz", "", "the"])
-    vocab = common.word_hashes(np.frombuffer(b"zzthe", np.uint8), np.array([0, 2]), np.array([2, 5]))
-    ids, row, whole = pseudo_likelihood.encode(column, vocab)
+    vocab = common.word_hashes(np.frombuffer(b"zzthe", np.uint8), np.array([0, 2]), np.array([2, 5])) | np.uint64(pseudo_likelihood.PIECES)
+    ranks = pseudo_likelihood.Ranks(vocab)
+    ids, row, whole = pseudo_likelihood.encode(column, ranks)
     assert ids[[0, 4, 5, 6]].tolist() == [1, 1, 0, 1] and (ids[1:4] >= pseudo_likelihood.WORDS).all() and row.tolist() == [0] * 5 + [2, 4] and whole.tolist() == [0, 0, 0, 2, 4]
-    same, _, _ = pseudo_likelihood.encode(pa.array(["ABCDEFG"]), vocab)
+    same, _, _ = pseudo_likelihood.encode(pa.array(["ABCDEFG"]), ranks)
     assert same.tolist() == ids[1:4].tolist()
     edge = pseudo_likelihood.EDGE
     assert pseudo_likelihood.windows(np.array([7, 8, 9]), np.array([0, 0, 1])).tolist() == [[edge, edge, 8, edge], [7, edge, edge, edge], [edge] * 4]
 
 
+def test_ranks_of_words():
+    rng = np.random.default_rng(6)
+    vocab = np.unique(np.concatenate([rng.integers(0, 2**63, 3000).astype(np.uint64), np.arange(40, dtype=np.uint64) << np.uint64(52)]))  # the last share all three slots
+    ranks = pseudo_likelihood.Ranks(vocab)
+    assert len(ranks.rest) and ranks.of(vocab).tolist() == list(range(len(vocab)))
+    assert (ranks.of(vocab + np.uint64(1)) == np.where(np.isin(vocab + np.uint64(1), vocab), 1, -1)).all() or not np.isin(vocab + np.uint64(1), vocab).any()
+    assert (pseudo_likelihood.Ranks(vocab[:0]).of(vocab) == -1).all()
+
+
 def test_scores_follow_the_definition(docs, texts):
     model = pseudo_likelihood.learn(docs, steps=5)
     vocab, net = model
     got = {r.doc_id: r for r in pseudo_likelihood.score(docs, model).collect()}
     for i, t in enumerate(texts):
-        ids, row, _ = pseudo_likelihood.encode(pa.array([t]), vocab)
+        ids, row, _ = pseudo_likelihood.encode(pa.array([t]), pseudo_likelihood.Ranks(vocab))
         around = pseudo_likelihood.windows(ids, row)
         assert got[i].n_words == len((t or "").encode().split())
         total = sum(tree_log_p(net, w, c) for w, c in list(zip(ids, around, strict=True))[:80])
@@ -623,7 +637,7 @@ def test_held_out_loss_is_below_unigrams_and_bigrams(spark):
 
     train, test = [text() for _ in range(300)], [text() for _ in range(40)]
     vocab, net = pseudo_likelihood.learn(spark.createDataFrame([(i, t) for i, t in enumerate(train)], "doc_id long, text string").repartition(2), stride=1, steps=250)
-    ids, row, _ = pseudo_likelihood.encode(pa.array(test), vocab)
+    ids, row, _ = pseudo_likelihood.encode(pa.array(test), pseudo_likelihood.Ranks(vocab))
     mine = -net.log_p(ids, pseudo_likelihood.windows(ids, row)).mean()
     seen, pairs = collections.Counter(), collections.Counter()
     for t in train:

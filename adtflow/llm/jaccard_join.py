@@ -737,8 +737,10 @@ def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     row = F.struct("doc_id", "_hash")
     rows = _rows(docs, n, percent).where("root is not null").groupBy("root", "doc_id", "_hash").agg(F.count("*").alias("times"))
     rows = materialize(rows, "class-rows")
-    judged = rows.join(rows.groupBy("root").agg(F.min(row).alias("top")), "root").withColumn("first", row.eqNullSafe(F.col("top")))
+    tops = materialize(rows.groupBy("root").agg(F.min(row).alias("top")), "class-tops")  # so that Spark may split a large class
+    judged = rows.join(tops, "root").withColumn("first", row.eqNullSafe(F.col("top")))
     judged = materialize(judged.where(~F.col("first") | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "first"), "judged")
+    discard(rows, tops)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_of"))
     alone = docs.join(judged, same, "left_anti")
     repeated = docs.join(judged.where("first"), same).dropDuplicates(["_id", "_of"]).select(docs.columns)

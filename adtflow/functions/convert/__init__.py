@@ -9,14 +9,15 @@ from __future__ import annotations
 from adtflow.functions.convert.emitters import EMITTERS
 from adtflow.functions.convert.readers import READERS
 from adtflow.plans.lang import Diagnostic
-from adtflow.plans.model import Model, resolve, visible_data
+from adtflow.plans.model import Model, resolve, visible, visible_data
 
 LANGUAGES = tuple(EMITTERS)
 
 
 def emit(model: Model, language: str, **options) -> str:
-    """Source text of the data declarations that are visible to ``language``, in their order."""
-    return EMITTERS[language](visible_data(model.decls, language), **options)
+    """Source text of the declarations that are visible to ``language``, in their order; functions in stubs only."""
+    shown = [d for d in model.decls if visible(d, language)] if language == "typeshed" else visible_data(model.decls, language)
+    return EMITTERS[language](shown, **options)
 
 
 def read(text: str | None, language: str) -> Model:

@@ -129,6 +129,12 @@ def typeshed(decls: list[Decl]) -> str:
             return [f"class {name}:", *(_pairs(d.fields, "    {name}: {type}", "typeshed") or ["    ..."])]
         if d.is_enum:
             return [f"class {name}(Enum):", *(f"    {v.name} = ..." for v in d.variants)]
+        if d.kind == "function":
+            lines = []
+            for s in d.signatures:
+                listed = ", ".join(f"{p.name}: {write('typeshed', p.type)}" for p in s.params)
+                lines += ["@overload"] * (len(d.signatures) > 1) + [f"{'async ' * s.is_async}def {name}({listed}) -> {write('typeshed', s.returns)}: ..."]
+            return lines
         out = []
         for v in d.variants:
             out += [f"class {d.name}{v.name}{_generics(d, '[{}]')}:", *(_pairs(v.fields, "    {name}: {type}", "typeshed") or ["    ..."])]

@@ -91,12 +91,17 @@ def _base(n: ast.expr) -> str:
     return n.id if isinstance(n, ast.Name) else n.attr if isinstance(n, ast.Attribute) else _base(n.value) if isinstance(n, ast.Subscript) else ""
 
 
+def _unconditional(body: list[ast.stmt]) -> list[ast.stmt]:
+    """Statements with those of all branches of conditions in their place, however deep: what any version has counts."""
+    return [x for n in body for x in (_unconditional([*n.body, *n.orelse]) if isinstance(n, ast.If) else [n])]
+
+
 def _python(text: str, language: str) -> list[Decl]:
     try:
         tree = ast.parse(text)
     except SyntaxError:
         return []
-    nodes = [x for n in tree.body for x in (n.body if isinstance(n, ast.If) else [n])]
+    nodes = _unconditional(tree.body)
     known = {n.name for n in nodes if isinstance(n, ast.ClassDef)}
     t = lambda n: parse(language, ast.unparse(n) if isinstance(n, ast.AST) else n, known)
     found: dict[str, Decl] = {}
@@ -114,10 +119,11 @@ def _python(text: str, language: str) -> list[Decl]:
             generics = [_base(x) for b in n.bases if isinstance(b, ast.Subscript) and _base(b) in ("Generic", "Protocol") for x in (b.slice.elts if isinstance(b.slice, ast.Tuple) else [b.slice])]
             generics += [p.name for p in getattr(n, "type_params", [])]
             if bases & {"Enum", "IntEnum", "StrEnum", "Flag"}:
-                values = [x.targets[0].id for x in n.body if isinstance(x, ast.Assign) and isinstance(x.targets[0], ast.Name)] + [x.target.id for x in n.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name)]
+                inside = _unconditional(n.body)
+                values = [x.targets[0].id for x in inside if isinstance(x, ast.Assign) and isinstance(x.targets[0], ast.Name)] + [x.target.id for x in inside if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name)]
                 put(Decl("union", n.name, variants=tuple(Variant(v) for v in values)))
             else:
-                rows = [x for x in n.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name)]
+                rows = [x for x in _unconditional(n.body) if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name)]
                 put(Decl("record", n.name, tuple(generics), fields=tuple(Field(x.target.id, t(x.annotation)) for x in rows)))
         elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and language == "typeshed":
             sig = Signature(params(n.args), t(n.returns) if n.returns else Ref("Any"), isinstance(n, ast.AsyncFunctionDef))

@@ -383,11 +383,14 @@ def reachability_closure(spark, sf_dir):
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """The cluster's checkpoint folder, a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine."""
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="adtflow-"))
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="adtflow-"))
 
 
 @query(

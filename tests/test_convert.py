@@ -73,3 +73,32 @@ def test_markdown():
     good, bad = "```adtflow\ntype A { x: Int }\n```", "````adtflow\ntype {\n````"
     out, problems = render.render_markdown(f"# t\n{good}\n\n{bad}\n```sql\nx\n```\n")
     assert "<svg" in out and "<!-- " in out and "```sql" in out and problems
+
+
+def test_stubs_keep_all_branches_and_functions():
+    stub = """
+import sys
+if sys.version_info >= (3, 12):
+    class A:
+        x: int
+    def f(a: int) -> str: ...
+else:
+    class A:
+        y: str
+        if sys.platform == "linux":
+            z: bytes
+        else:
+            w: float
+    if sys.platform == "win32":
+        def g() -> int: ...
+    else:
+        async def g(b: str) -> int: ...
+"""
+    model = convert.read(stub, "typeshed")
+    by_name = {d.name: d for d in model.decls}
+    assert [f.name for f in by_name["A"].fields] == ["x", "y", "z", "w"]
+    assert len(by_name["f"].signatures) == 1 and [s.is_async for s in by_name["g"].signatures] == [False, True]
+    text = convert.emit(model, "typeshed")
+    assert "def f(a: int) -> str: ..." in text and text.count("@overload") == 2 and "async def g(b: str) -> int: ..." in text
+    again = {d.name: d for d in convert.read(text, "typeshed").decls}
+    assert [len(again[n].signatures) for n in ("f", "g")] == [1, 2] and [f.name for f in again["A"].fields] == ["x", "y", "z", "w"]

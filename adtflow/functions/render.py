@@ -192,11 +192,16 @@ def splice(markdown: str, found: list[tuple[int, int, str]], texts: list[str]) -
     return markdown
 
 
+def complaint(problems: list) -> str:
+    """The comment that stands for a schema with errors."""
+    return f"<!-- {'; '.join(d.format() for d in problems).replace('--', '- -')} -->"
+
+
 def render_markdown(markdown: str, **options) -> tuple[str, list]:
     """Fences replaced by SVG; one that has errors becomes a comment that says so, and its diagnostics are returned."""
     found, texts, problems = fences(markdown), [], []
     for _, _, source in found:
         text, diagnostics = render(source, **options)
         problems += diagnostics
-        texts.append(text or f"<!-- {'; '.join(d.format() for d in diagnostics).replace('--', '- -')} -->")
+        texts.append(text or complaint(diagnostics))
     return splice(markdown, found, texts), problems

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adtflow.functions import render, udfs, wire
 from adtflow.operators import columnar as C
 from adtflow.plans import catalog as K
+from adtflow.plans import graph as G
 from adtflow.plans.layout import Layouts
 from adtflow.plans.model import build
 
@@ -503,6 +504,36 @@ def order_schema_print(spark, sf_dir):
     return K.printed(order_catalog(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_ORDERS_SQL} SELECT schema_id, 'O' || k AS node, CAST(CASE WHEN k % 5 = 0 THEN 2 ELSE 3 END AS BIGINT) AS ports,
+CAST(CASE WHEN prev IS NOT NULL AND k % 5 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS links, CAST(CASE WHEN prev IS NOT NULL AND k % 5 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS from_port FROM o"""
+)
+def solver_graph(spark, sf_dir):
+    """The ports of every node and the links that leave it, as a layout solver takes them."""
+    _, ports, links = G.graph(order_schemas(spark, sf_dir))
+    per = ports.groupBy("schema_id", "node").agg(F.count("*").alias("ports"))
+    out = links.groupBy("schema_id", F.col("source").alias("node")).agg(F.count("*").alias("links"), F.max("source_port").cast("long").alias("from_port"))
+    return per.join(out, ["schema_id", "node"], "left").select("schema_id", "node", "ports", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("from_port", F.lit(0)).alias("from_port"))
+
+
+@query(r"SELECT o_orderkey, lower(regexp_replace('orderKey' || o_orderkey || 'StatusOf' || o_orderstatus, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS name FROM orders")
+def snake_case_names(spark, sf_dir):
+    name = F.concat(F.lit("orderKey"), F.col("o_orderkey").cast("string"), F.lit("StatusOf"), "o_orderstatus")
+    return read(spark, sf_dir, "orders").select("o_orderkey", G.snake_case(name).alias("name"))
+
+
+@query("SELECT doc_id, CAST(1 AS BIGINT) AS pictures, CAST(doc_id % 3 = 0 AS BIGINT) AS comments, CAST(doc_id % 3 = 0 AS BIGINT) AS problems, TRUE AS kept FROM documents")
+def drawn_pages(spark, sf_dir):
+    """Every document with a schema, and every third with one that has an error: drawn in place, all else as it was."""
+    good, bad = "```adtflow\ntype A { b: B }\nunion B { C }\n```\n", "````adtflow\ntype {\n````\n"
+    body = F.coalesce("text", F.lit(""))
+    pages = read(spark, sf_dir, "documents").select("doc_id", body.alias("body"), F.concat(F.lit(good), body, F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, bad).otherwise("")).alias("page"))
+    out = G.drawn(pages, "doc_id", "page").join(pages.select("doc_id", "body"), "doc_id")
+    count = lambda t: (F.size(F.split("text", t)) - 1).cast("long")
+    kept = F.substring_index("text", "</svg>", 1).startswith("<svg") & F.col("text").contains(F.concat(F.lit("</svg>\n"), "body", F.lit("\n")))
+    return out.select("doc_id", count("<svg").alias("pictures"), count("<!-- 1:").alias("comments"), F.size("problems").cast("long").alias("problems"), kept.alias("kept"))
+
+
 # -- text --------------------------------------------------------------------------------------------------
 
 _WIDE_SQL = "[" + "".join(f"{chr(92)}x{{{a:X}}}-{chr(92)}x{{{b:X}}}" for a, b in render.WIDE_RANGES) + "]"

@@ -217,3 +217,27 @@ def test_unfinished_reachability_is_an_error(spark, tmp_path):
     with pytest.raises(RuntimeError):
         catalog.reachable(edges, roots, rounds=3)
     assert catalog.reachable(edges, roots).count() == 7
+
+
+def test_solved_places_come_back(spark):
+    from adtflow.plans import graph
+
+    schemas = spark.createDataFrame([("s", "type A { b: B, n: Int }\nunion B { C(A) }\ntype A { again: Int }"), ("none", None)], "schema_id string, source string")
+    boxes, ports, links = graph.graph(schemas)
+    assert {(r.node, r.port, r.side) for r in ports.collect()} == {("A", 0, "left"), ("A", 1, "right"), ("A", 2, "right"), ("B", 0, "left"), ("B", 1, "right")}
+    assert {(r.source, r.source_port, r.target, r.target_port) for r in links.collect()} == {("A", 1, "B", 0), ("B", 1, "A", 0)}
+    solved = spark.createDataFrame([("s", "A", 3.0, None), ("s", "Z", 1.0, 1.0)], "schema_id string, node string, x double, y double")
+    (only,) = graph.placed(boxes, solved).collect()
+    assert (only.node, only.x, only.y, len(only.rows)) == ("A", 3.0, 0.0, 2) and only.height > only.rows[-1].y
+
+
+def test_pages_are_drawn_as_on_the_driver(spark):
+    from adtflow.functions import render
+    from adtflow.plans import graph
+
+    good, bad = "```adtflow\ntype A { x: Int }\n```", "````adtflow\ntype {\n````"
+    pages = [(1, f"a\n{good}\nb\n{bad}\nc"), (2, "plain"), (3, None), (None, good), (5, good + "\n" + good)]
+    got = {r.id: (r.text, r.problems) for r in graph.drawn(spark.createDataFrame(pages, "id long, page string"), "id", "page").collect()}
+    for key, page in pages:
+        text, problems = render.render_markdown(page or "")
+        assert got[key] == (text, [p.format() for p in problems])

@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtflow.functions import render
 from adtflow.plans import catalog as K
-from adtflow.plans.model import build
+from adtflow.plans.lang import Parsed
+from adtflow.plans.model import Model
 
-_BOX = "schema_id string, node string, kind string, header string, width long, height long, rows array<struct<text:string,y:double,height:double>>"
+_BOXES = "boxes array<struct<node:string,kind:string,header:string,width:bigint,height:bigint,rows:array<struct<text:string,y:double,height:double>>>>"
 
 
-def nodes(schemas: DataFrame) -> DataFrame:
-    """One row a declaration of each schema (schema_id, source): its box. Of declarations of one name the first counts."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def _boxes(parsed: list[Parsed], kind: pa.DataType) -> pa.ListArray:
+    """The boxes of each parsed source, column by column; of declarations of one name the first counts."""
+    each = []
+    for p in parsed:
+        first: dict = {}
+        for d in p.decls:
+            first.setdefault(d.name, d)
+        each.append([(b["id"], b["kind"], b["header"], b["width"], b["height"], [tuple(r.values()) for r in b["rows"]]) for b in render.boxes(Model(list(first.values())))])
+    flat = [b for boxes in each for b in boxes]
+    box = kind.value_type
+    columns = [pa.array([b[i] for b in flat], f.type) for i, f in enumerate(box) if f.name != "rows"]
+    columns.append(K.lists([b[-1] for b in flat], box.field("rows").type))
+    ends = list(accumulate(map(len, each), initial=0))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(box)), type=kind)
 
-    arrow = to_arrow_schema(_parse_datatype_string(_BOX))
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for key, source in zip(batch.column("schema_id").to_pylist(), batch.column("source").to_pylist(), strict=True):
-                boxes = {}
-                for b in render.boxes(build(source or "")):
-                    boxes.setdefault(b["id"], {"schema_id": key, "node": b["id"]} | {k: b[k] for k in ("kind", "header", "width", "height", "rows")})
-                out += boxes.values()
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+def parse(schemas: DataFrame) -> DataFrame:
+    """As the catalog's ``parse``, with the box of every declaration."""
+    return K.parse(schemas, _BOXES, _boxes)
+
 
-    return schemas.select(F.col("schema_id").cast("string").alias("schema_id"), "source").mapInArrow(run, _BOX)
+def nodes(schemas: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """One row a declaration of each schema (schema_id, source): its box. Of declarations of one name the first counts."""
+    parsed = parse(schemas) if parsed is None else parsed
+    return parsed.select("schema_id", F.explode("boxes").alias("b")).select("schema_id", "b.*")
 
 
 def ports(boxes: DataFrame) -> DataFrame:
@@ -54,11 +64,14 @@ def placed(boxes: DataFrame, solved: DataFrame) -> DataFrame:
     return boxes.join(at, ["schema_id", "node"])
 
 
-def graph(schemas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, ports, links) of schemas (schema_id, source)."""
-    c = K.Catalog(K.parse(schemas))
-    boxes = nodes(schemas)
-    return boxes, ports(boxes), links(K.edges(K.resolve(c.decls, c.refs)))
+def graph(schemas: DataFrame, stored=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, ports, links) of schemas (schema_id, source). All come from one parse; ``stored`` keeps its table, so that
+    sources aren't read again for each."""
+    parsed = parse(schemas)
+    parsed = stored(parsed) if stored else parsed
+    c = K.Catalog(parsed)
+    boxes = nodes(schemas, parsed)
+    return boxes, ports(boxes), links(K.edges(c.resolved()))
 
 
 def snake_case(name: Column) -> Column:

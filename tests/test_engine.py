@@ -241,3 +241,25 @@ def test_pages_are_drawn_as_on_the_driver(spark):
     for key, page in pages:
         text, problems = render.render_markdown(page or "")
         assert got[key] == (text, [p.format() for p in problems])
+
+
+def test_sources_are_parsed_in_bounded_slices():
+    import pyarrow as pa
+
+    sources = ["x" * (catalog.CHUNK // 2), "y" * (catalog.CHUNK // 3), None, "z" * catalog.CHUNK * 2, "", "w"]
+    batch = pa.record_batch([pa.array([str(i) for i in range(6)]), pa.array(sources)], names=["schema_id", "source"])
+    assert [p.num_rows for p in catalog.chunks(batch)] == [3, 1, 2]
+    assert [s for p in catalog.chunks(batch) for s in p.column("source").to_pylist()] == sources
+
+
+def test_resolved_without_exploding_first(spark):
+    text = "type A<T> { t: T, b: B<A>, x: List<X> }\ntype A { again: Int }\nunion B { C(A<Int>) }\nalias D = A"
+    c = catalog.Catalog(catalog.parse(spark.createDataFrame([("a", text), ("b", "type X { x: X }"), ("none", None)], "schema_id string, source string")))
+    wanted = catalog.resolve(c.decls, c.refs)
+    assert rows(c.resolved().select(*wanted.columns).toPandas()) == rows(wanted.toPandas())
+
+
+@pytest.mark.parametrize("name", ["order_schema_edges"])
+def test_schemas_are_parsed_once(spark, name):
+    """The plan over the catalog's tables begins at what the one parse has stored."""
+    assert "MapInArrow" not in engine.QUERIES[name](spark, SF)._jdf.queryExecution().toString()

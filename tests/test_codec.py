@@ -198,3 +198,35 @@ def test_hash_literals_guards_and_dynamic_fields(rows):
     own = rows.hash("Person")
     assert rows.compatible("Person", None) and rows.compatible("Person", own) and not rows.compatible("Person", 7) and rows.compatible("Person", 7, frozen=(7,)) and not rows.compatible("Person", own, expected=7)
     assert codec.field([("a", 1), ("b", 2)], "b") == 2 and wire.code_of(codec.field, [("a", 1), ("a", 2)], "a")[1] and wire.code_of(codec.field, [], "a")[1]
+
+
+def test_packing_by_whole_bodies_equals_packing_word_by_word():
+    import random
+
+    from adtflow.functions import wire
+
+    def plain(body):
+        out, words, i = b"", [body[k : k + 8] for k in range(0, len(body), 8)], 0
+        while i < len(words):
+            solid, j = bytes(b for b in words[i] if b), i + 1
+            if not solid:
+                while j < len(words) and j - i <= 255 and not any(words[j]):
+                    j += 1
+                out += bytes((0, j - i - 1))
+            elif len(solid) == 8:
+                while j < len(words) and j - i <= 255 and words[j].count(0) <= 1:
+                    j += 1
+                out += b"\xff" + words[i] + bytes((j - i - 1,)) + b"".join(words[i + 1 : j])
+            else:
+                out += bytes((sum(1 << k for k in range(8) if words[i][k]),)) + solid
+            i = j
+        return out
+
+    rng = random.Random(3)
+    for _ in range(300):
+        body = b"".join(rng.choice([bytes(8), b"\7" * 8, bytes(8) * 300, b"\7" * 2400, b"\0" + b"\7" * 7, bytes(rng.choice([0, 9]) for _ in range(8))]) for _ in range(rng.randrange(9)))
+        packed = wire.pack(body)
+        assert packed == plain(body) and wire.unpack(packed) == body
+        if packed:
+            assert wire.code_of(wire.unpack, packed[:-1])[1] == "PackedTruncated" or wire.unpack(packed[:-1]) == body[: len(wire.unpack(packed[:-1]))]
+            assert wire.code_of(wire.unpack, packed, len(body) - 1)[1] == "LimitExceeded"

@@ -263,3 +263,16 @@ def test_resolved_without_exploding_first(spark):
 def test_schemas_are_parsed_once(spark, name):
     """The plan over the catalog's tables begins at what the one parse has stored."""
     assert "MapInArrow" not in engine.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_expected_hashes_are_judged_in_one_pass(spark):
+    plan = engine.QUERIES["expected_hash_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_moments_that_no_calendar_holds_come_back_from_bytes(spark):
+    """Microseconds beyond the year 9999 are values like all others, before bytes and after."""
+    source, late = "type M { at: DateTime, all: List<DateTime> }", 1 << 58
+    sent = spark.range(1).select(F.struct(F.timestamp_micros(F.lit(late)).alias("at"), F.array(F.timestamp_micros(F.lit(-late))).alias("all")).alias("v"))
+    back = sent.select(udfs.encoder(source, "M", 2)("v").alias("m")).select(udfs.decoder(source, "M", 2)("m.bytes").alias("r"))
+    assert tuple(back.select(F.unix_micros("r.value.at"), F.unix_micros(F.col("r.value.all")[0]), "r.error").first()) == (late, -late, None)

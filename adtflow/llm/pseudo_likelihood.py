@@ -13,7 +13,7 @@ have their own.
 
 What is learnt covers all rows. One pass counts all words (the counts give the tree, a Huffman code, and its units their
 starting biases, so that before any training the model is the corpus's unigram distribution). Then every task trains
-a copy of the network on its own rows, with every STRIDE-th token as a target, in minibatches; the copies' changes are averaged
+a copy of the network on its own rows, every token a target (each STRIDE-th, where asked for), in minibatches; the copies' changes are averaged
 row by row, each weighed by how often the task met that row, so rare words keep what few tasks learnt. What is gathered
 grows with the corpus (a count for each distinct word of each part, a set of changes for each task) and is summed by the
 executors; the driver receives the vocabulary and one set of parameters, of a size bounded by WORDS + PIECES.
@@ -40,7 +40,7 @@ WORDS, PIECES, LEAST = 24_576, 8_192, 3
 LEAVES = WORDS + PIECES
 EDGE = LEAVES  # the neighbour beyond a document's end
 WIDTH = 16
-STRIDE, BATCH, RATE = 4, 8192, 0.15
+STRIDE, BATCH, RATE = 1, 8192, 0.15
 #: Tasks with less text go over it again until they have made so many steps.
 STEPS = 60
 #: Words counted, and targets trained on, at a time.

@@ -978,3 +978,13 @@ def test_pipeline_by_stages(spark):
     assert last.agg(F.sum("length")).first()[0] == sum(len(packing.encode(r.text, BPE)) + 1 for r in docs.collect())
     assert last.select("sequence_id").distinct().count() <= packing.volume_bound(last) + 1
     assert cp.run(spark, sf).count() == last.count()
+
+
+def test_every_token_is_a_training_target(spark):
+    """Words that stand at no fourth place are learnt like the others."""
+    lines = ["a b c zebra"] * 400  # only "a" stands at every fourth place
+    docs = spark.createDataFrame([(1, " ".join(lines))], "doc_id long, text string").repartition(1)
+    vocab, net = pseudo_likelihood.learn(docs, steps=40)
+    ids, row, _ = pseudo_likelihood.encode(pa.array([" ".join(lines)]), pseudo_likelihood.Ranks(vocab))
+    each = net.log_p(ids, pseudo_likelihood.windows(ids, row))
+    assert all(each[k::4][1:-1].mean() > -0.5 for k in range(4))

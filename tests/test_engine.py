@@ -259,7 +259,7 @@ def test_resolved_without_exploding_first(spark):
     assert rows(c.resolved().select(*wanted.columns).toPandas()) == rows(wanted.toPandas())
 
 
-@pytest.mark.parametrize("name", ["order_schema_edges", "order_schema_print", "solver_graph"])
+@pytest.mark.parametrize("name", ["order_schema_edges", "order_schema_print", "order_schema_problems", "solver_graph"])
 def test_schemas_are_parsed_once(spark, name):
     """The plan over the catalog's tables begins at what the one parse has stored."""
     assert "MapInArrow" not in engine.QUERIES[name](spark, SF)._jdf.queryExecution().toString()

@@ -10,20 +10,18 @@ from pyspark.sql import functions as F
 
 from adtflow.functions import render
 from adtflow.plans import catalog as K
-from adtflow.plans.lang import Parsed
-from adtflow.plans.model import Model
+from adtflow.plans.lang import Decl
+from adtflow.plans.model import Model, first_of, links_of
 
 _BOXES = "boxes array<struct<node:string,kind:string,header:string,width:bigint,height:bigint,rows:array<struct<text:string,y:double,height:double>>>>"
 
 
-def _boxes(parsed: list[Parsed], kind: pa.DataType) -> pa.ListArray:
-    """The boxes of each parsed source, column by column; of declarations of one name the first counts."""
-    each = []
-    for p in parsed:
-        first: dict = {}
-        for d in p.decls:
-            first.setdefault(d.name, d)
-        each.append([(b["id"], b["kind"], b["header"], b["width"], b["height"], [tuple(r.values()) for r in b["rows"]]) for b in render.boxes(Model(list(first.values())))])
+_EDGES = "edges array<struct<source:string,row_ix:int,variant_field_ix:int,target:string,label:string,kind:string>>"
+
+
+def _boxes(found: list[dict[str, Decl]], kind: pa.DataType) -> pa.ListArray:
+    """The boxes of each source's declarations, column by column."""
+    each = [[(b["id"], b["kind"], b["header"], b["width"], b["height"], [tuple(r.values()) for r in b["rows"]]) for b in render.boxes(Model(list(f.values())))] for f in found]
     flat = [b for boxes in each for b in boxes]
     box = kind.value_type
     columns = [pa.array([b[i] for b in flat], f.type) for i, f in enumerate(box) if f.name != "rows"]
@@ -33,8 +31,13 @@ def _boxes(parsed: list[Parsed], kind: pa.DataType) -> pa.ListArray:
 
 
 def parse(schemas: DataFrame) -> DataFrame:
-    """As the catalog's ``parse``, with the box of every declaration."""
-    return K.parse(schemas, _BOXES, _boxes)
+    """One row a schema with its boxes and edges, nested. Of declarations of one name the first counts."""
+
+    def run(parsed, kinds):
+        found = [first_of(p.decls) for p in parsed]
+        return [_boxes(found, kinds[0]), K.lists([[(e.source, e.row, e.variant_field, e.target, e.label, e.kind) for e in links_of(f)] for f in found], kinds[1])]
+
+    return K.mapped(schemas, f"{_BOXES}, {_EDGES}", run)
 
 
 def nodes(schemas: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
@@ -69,9 +72,9 @@ def graph(schemas: DataFrame, stored=None) -> tuple[DataFrame, DataFrame, DataFr
     sources aren't read again for each."""
     parsed = parse(schemas)
     parsed = stored(parsed) if stored else parsed
-    c = K.Catalog(parsed)
     boxes = nodes(schemas, parsed)
-    return boxes, ports(boxes), links(K.edges(c.resolved()))
+    edges = parsed.select("schema_id", F.explode("edges").alias("e")).select("schema_id", "e.*")
+    return boxes, ports(boxes), links(edges)
 
 
 def snake_case(name: Column) -> Column:

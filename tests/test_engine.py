@@ -296,7 +296,15 @@ def test_texts_and_problems_in_one_pass_are_those_of_the_tables(spark):
     assert rows(catalog.checked(schemas).select(*wanted.columns).toPandas()) == rows(wanted.toPandas())
 
 
-@pytest.mark.parametrize("name", ["order_schema_print", "order_schema_problems"])
+def test_links_in_one_pass_are_those_of_the_tables(spark):
+    from adtflow.plans import graph
+
+    schemas = odd_schemas(spark)
+    wanted = graph.links(catalog.edges(catalog.Catalog(catalog.parse(schemas)).resolved()))
+    assert rows(graph.graph(schemas)[2].select(*wanted.columns).toPandas()) == rows(wanted.toPandas())
+
+
+@pytest.mark.parametrize("name", ["order_schema_print", "order_schema_problems", "solver_graph"])
 def test_what_a_schema_decides_alone_is_not_joined(spark, name):
     """Neither joins nor windows over stored declarations: their memory and time were over the limits on many orders."""
     plan = engine.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

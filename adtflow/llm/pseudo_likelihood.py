@@ -41,6 +41,8 @@ LEAVES = WORDS + PIECES
 EDGE = LEAVES  # the neighbour beyond a document's end
 WIDTH = 16
 STRIDE, BATCH, RATE = 1, 8192, 0.15
+#: Inner nodes next to the root that are read as one matrix (they hold some six tenths of all steps down the tree), and tokens at a time.
+TOP, SLICE = 64, 4096
 #: Tasks with less text go over it again until they have made so many steps.
 STEPS = 60
 #: Words counted, and targets trained on, at a time.
@@ -121,7 +123,7 @@ def encode(column, ranks: Ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def windows(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
     """For each token those one and two places to the left and to the right, EDGE beyond its document."""
-    out = np.full((len(ids), 4), EDGE, np.int64)
+    out = np.full((len(ids), 4), EDGE, np.int32)
     for k, step in enumerate((1, 2)):
         if len(ids) > step:
             same = row[step:] == row[:-step]
@@ -192,7 +194,11 @@ def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """A Huffman code of tokens with these counts: inner nodes of each token's path from the root, and the branch taken."""
+    """A Huffman code of tokens with these counts: inner nodes of each token's path to the root, and the branch taken.
+
+    Inner nodes are numbered by ascending weight, so the TOP heaviest are the last ones and every path ends in them. ``low``
+    and ``high`` have the paths below and in the top, a row a token, as 2 * node + (1 for a positive side); in ``high`` nodes
+    count from ``top``, and what a path leaves free points behind the last."""
 
     def __init__(self, weights: np.ndarray):
         n = len(weights)
@@ -220,6 +226,32 @@ class Tree:
         self.side = turn[grid >= 0].astype(np.float32)
         self.start = np.cumsum(self.length) - self.length
         self.odds = odds.astype(np.float32)
+        self.top = max(0, n - 1 - TOP)
+        self.below = ((grid >= 0) & (grid < self.top)).sum(axis=1).astype(np.uint16)
+        code = np.where(grid >= 0, 2 * grid + (turn > 0), 2 * (n - 1) + 1)
+        depth = int((self.length - self.below).max(initial=1))
+        at = np.minimum(self.below[:, None] + np.arange(depth), grid.shape[1])
+        code = np.column_stack([code, np.full(n, 2 * (n - 1) + 1)])
+        self.high = np.ascontiguousarray(np.take_along_axis(code, at, axis=1) - 2 * self.top, np.int32)
+        self.low = np.ascontiguousarray(code[:, : int(self.below.max(initial=0))], np.min_scalar_type(2 * n))
+        # Tokens by ``below``, and then as they hang in the tree: neighbours share most of their paths.
+        down = np.maximum(self.length[:, None] - 1 - np.arange(grid.shape[1]), -1)
+        hung = np.where(down >= 0, np.take_along_axis(turn, np.maximum(down, 0), axis=1), 0)
+        self.place = np.empty(n, np.min_scalar_type(n))
+        self.place[np.lexsort([*hung.T[::-1], self.below])] = np.arange(n)
+
+    def paths_below(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """(inner nodes, branches) of the paths below the top of tokens that ascend by ``below``, and for all tokens with
+        one length: from which to which they stand, and from which to which their paths do."""
+        many, grid = np.take(self.below, tokens), np.take(self.low, tokens, axis=0)
+        parts, spans, at = [np.zeros(0, grid.dtype)], [], 0
+        for a, b in _runs(many):
+            if size := int(many[a]):
+                parts.append(grid[a:b, :size].ravel())
+                spans.append((a, b, at, at + len(parts[-1])))
+                at += len(parts[-1])
+        code = np.concatenate(parts)
+        return (code >> 1).astype(np.int64), _side(code), spans
 
     def paths(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(inner nodes, branches, the token's place in ``tokens``) of all paths, and where each path begins."""
@@ -245,95 +277,202 @@ class Network:
         self.weigh = np.repeat(np.array([1.0, 0.5, 1.0, 0.5], np.float32)[:, None], WIDTH, axis=1)
         self.h0 = np.zeros((1, WIDTH), np.float32)
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        out = np.take(self.left, around[:, 0], axis=0)
-        out *= self.weigh[0]
-        out += self.h0
-        for k, table in ((1, self.left), (2, self.right), (3, self.right)):
-            near = np.take(table, around[:, k], axis=0)
-            near *= self.weigh[k]
-            out += near
+    def hidden(self, around: np.ndarray, near: list | None = None) -> np.ndarray:
+        """The hidden layer; ``near`` gets the neighbours' rows."""
+        out = np.repeat(self.h0, len(around), axis=0)
+        for k, table in enumerate((self.left, self.left, self.right, self.right)):
+            rows = np.take(table, around[:, k], axis=0)
+            if near is None:
+                rows *= self.weigh[k]
+                out += rows
+            else:
+                near.append(rows)
+                out += rows * self.weigh[k]
         return np.tanh(out, out=out)
 
+    def _top(self) -> np.ndarray:
+        """Vectors of the top, each with its bias, with a last unit that is sure of its branch."""
+        top = self.tree.top
+        sure = np.zeros((1, WIDTH + 1), np.float32)
+        sure[0, -1] = 60
+        return np.concatenate([np.column_stack([self.u[top:], self.bias[top:]]), sure])
+
+    def _low_z(self, h: np.ndarray, taken: np.ndarray, node: np.ndarray, side: np.ndarray, spans: list) -> np.ndarray:
+        z = np.empty(len(node), np.float32)
+        for a, b, c, d in spans:
+            np.einsum("nlk,nk->nl", taken[c:d].reshape(b - a, -1, WIDTH), h[a:b], out=z[c:d].reshape(b - a, -1))
+        z += np.take(self.bias[:, 0], node)
+        z *= side
+        return z
+
     def log_p(self, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
         """The logarithm of each token's probability in its window."""
-        out = np.zeros(len(tokens))
-        for a in range(0, len(tokens), 1024):  # so few that what is gathered stays in a core's cache
-            h = self.hidden(around[a : a + 1024])
-            node, side, of, first = self.tree.paths(tokens[a : a + 1024])
-            z = side * (np.einsum("ij,ij->i", np.take(self.u, node, axis=0), np.take(h, of, axis=0)) + np.take(self.bias[:, 0], node))
-            part = np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
-            out[a : a + len(h)] = np.add.reduceat(part.astype(np.float64), first)
+        out, top = np.zeros(len(tokens)), self._top()
+        for a in range(0, len(tokens), SLICE):  # so few that what is gathered stays in a core's cache
+            some = a + np.argsort(np.take(self.tree.place, tokens[a : a + SLICE]), kind="stable")
+            mine = np.take(tokens, some)
+            h = self.hidden(np.take(around, some, axis=0))
+            code = np.take(self.tree.high, mine, axis=0)
+            z = np.take((_with_one(h) @ top.T).ravel(), _flat(code, len(top))) * _side(code)
+            each = _log_sigma(z).sum(axis=1, dtype=np.float64)
+            node, side, spans = self.tree.paths_below(mine)
+            z = _log_sigma(self._low_z(h, np.take(self.u, node, axis=0), node, side, spans))
+            for b, e, c, d in spans:
+                each[b:e] += z[c:d].reshape(e - b, -1).sum(axis=1, dtype=np.float64)
+            out[some] = each
         return out
 
     def step(self, tokens: np.ndarray, around: np.ndarray, memory: dict[str, np.ndarray], met: dict[str, np.ndarray], rate: float) -> float:
-        """One minibatch of Adagrad, its tokens by ascending length of path; ``memory`` has the squares so far, ``met`` counts the rows' uses. The mean loss."""
-        h = self.hidden(around)
-        node, side, of, first = self.tree.paths(tokens)
-        taken, here = np.take(self.u, node, axis=0), np.take(h, of, axis=0)
-        z = side * (np.einsum("ij,ij->i", taken, here) + np.take(self.bias[:, 0], node))
-        g = -side / (1 + np.exp(np.clip(z, -30, 30)))
-        dh = np.empty_like(h)
-        many = self.tree.length[tokens]
-        edge = np.append(np.flatnonzero(np.diff(many, prepend=0)), len(many)).tolist()
-        for a, b in zip(edge, edge[1:], strict=False):  # paths of one length
-            at, size = int(first[a]), int(many[a])
-            part = slice(at, at + (b - a) * size)
-            dh[a:b] = np.einsum("nl,nlk->nk", g[part].reshape(-1, size), taken[part].reshape(b - a, size, -1))
-        dh *= 1 - h * h
-        n = len(self.bias)
-        grads = {"bias": _sums(node, g[:, None], n), "u": _sums(node, here * g[:, None], n), "h0": dh.sum(axis=0, keepdims=True)}
-        uses = {"bias": np.bincount(node, minlength=n)}
-        uses["u"] = uses["bias"]
-        weigh = np.zeros_like(self.weigh)
+        """One minibatch of Adagrad; ``memory`` has the squares so far, ``met`` counts the rows' uses. The mean loss."""
+        tree, n = self.tree, len(tokens)
+        order = np.argsort(np.take(tree.place, tokens), kind="stable")
+        tokens, around = np.take(tokens, order), np.take(around, order, axis=0)
+        h, loss, top, weigh = np.empty((n, WIDTH), np.float32), 0.0, self._top(), np.zeros_like(self.weigh)
+        change, back = np.zeros(WIDTH, np.float32), {k: np.empty((2 * n, WIDTH), np.float32) for k in ("left", "right")}
+        grad_top, used = np.zeros_like(top), np.zeros(len(top), np.int64)
+        nodes, slopes = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for start in range(0, n, SLICE):
+            some, near = slice(start, min(n, start + SLICE)), []
+            h[some] = mine = self.hidden(around[some], near)
+            # The top: all its units for all tokens, of which each token's own are picked.
+            code, one = np.take(tree.high, tokens[some], axis=0), _with_one(mine)
+            flat, side, z = _flat(code, len(top)), _side(code), one @ top.T
+            g, lost = _slope(np.take(z.ravel(), flat) * side, side)
+            z.fill(0)
+            z.ravel()[flat] = g
+            z[:, -1] = 0
+            dh = z @ np.ascontiguousarray(top[:, :-1])
+            grad_top += z.T @ one
+            used += np.bincount((code >> 1).ravel(), minlength=len(top))
+            # Below, where units are many and each is met by few.
+            node, side, spans = tree.paths_below(tokens[some])
+            taken = np.take(self.u, node, axis=0)
+            g, lost_below = _slope(self._low_z(mine, taken, node, side, spans), side)
+            for a, b, c, d in spans:
+                dh[a:b] += np.einsum("nl,nlk->nk", g[c:d].reshape(b - a, -1), taken[c:d].reshape(b - a, -1, WIDTH))
+            mine *= mine
+            dh *= np.subtract(1, mine, out=mine)
+            change += dh.sum(axis=0)
+            for k, rows in enumerate(near):
+                weigh[k] += np.einsum("ij,ij->j", dh, rows)
+                np.multiply(dh, self.weigh[k], out=back["left" if k < 2 else "right"][some.start + k % 2 * n : some.stop + k % 2 * n])
+            nodes.append(node)
+            slopes.append(g)
+            loss += lost + lost_below
+        node, g = np.concatenate(nodes), np.concatenate(slopes)
+        rows, by, many = _by_row(node, len(self.bias))
+        of = np.repeat(np.arange(n), np.take(tree.below, tokens))
+        here = np.take(h, np.take(of, by), axis=0)
+        met_top = np.flatnonzero(used[:-1])
+        grad_u = np.concatenate([_sums(here, many, np.take(g, by)), grad_top[met_top, :-1]])
+        grad_bias = np.concatenate([np.bincount(node, weights=g, minlength=len(self.bias))[rows], grad_top[met_top, -1]]).astype(np.float32)
+        rows, many = np.concatenate([rows, met_top + tree.top]), np.concatenate([many, used[met_top]])
+        changes = {"u": (rows, many, grad_u), "bias": (rows, many, grad_bias[:, None])}
         for name, places in (("left", (0, 1)), ("right", (2, 3))):
-            table = getattr(self, name)
-            who = np.concatenate([around[:, k] for k in places])
-            grads[name] = _sums(who, np.concatenate([dh * self.weigh[k] for k in places]), len(table))
-            uses[name] = np.bincount(who, minlength=len(table))
-            for k in places:
-                weigh[k] = (dh * np.take(table, around[:, k], axis=0)).sum(axis=0)
-        grads["weigh"] = weigh
-        for name, grad in grads.items():
+            rows, by, many = _by_row(np.concatenate([around[:, k] for k in places]), len(getattr(self, name)))
+            changes[name] = rows, many, _sums(np.take(back[name], by, axis=0), many)
+        for name, (rows, many, grad) in changes.items():
             squares, table = memory[name], getattr(self, name)
-            if name in uses:
-                rows = np.flatnonzero(uses[name])
-                used = np.take(uses[name], rows)
-                part = np.take(grad, rows, axis=1).T / np.sqrt(used, dtype=np.float32)[:, None]
-                total = np.take(squares, rows, axis=0) + part * part
-                squares[rows] = total
-                table[rows] = np.take(table, rows, axis=0) - np.float32(rate) * part / np.sqrt(total)
-                met[name] += uses[name]
-            else:
-                part = grad / np.float32(len(tokens) ** 0.5)
-                squares += part * part
-                table -= np.float32(rate) * part / np.sqrt(squares)
-                met[name] += len(tokens)
-        return float((np.maximum(-z, 0) + np.log1p(np.exp(-np.abs(z)))).sum() / max(1, len(tokens)))
+            grad /= np.sqrt(many, dtype=np.float32)[:, None]
+            total = np.take(squares, rows, axis=0)
+            total += grad * grad
+            _put(squares, rows, total)
+            grad *= np.float32(rate)
+            grad /= np.sqrt(total, out=total)
+            _put(table, rows, np.take(table, rows, axis=0) - grad)
+            met[name][rows] += many
+        for name, grad in (("h0", change[None, :]), ("weigh", weigh)):
+            squares, table = memory[name], getattr(self, name)
+            part = grad / np.float32(n**0.5)
+            squares += part * part
+            table -= np.float32(rate) * part / np.sqrt(squares)
+            met[name] += n
+        return loss / max(1, n)
 
     def train(self, tokens: np.ndarray, around: np.ndarray, state: dict | None = None, steps: int = 0, seed: int = 0, rate: float = RATE) -> dict:
         """Minibatches of all targets in a random order, again and again until ``steps`` of them; returns the state."""
         if state is None:
             state = {"memory": {n: np.full(getattr(self, n).shape, 0.1, np.float32) for n in self.TABLES}, "met": {n: np.zeros(len(getattr(self, n))) for n in self.TABLES}, "losses": []}
-        rng, done = np.random.default_rng(seed), 0
+        rng, done, rows = np.random.default_rng(seed), 0, np.column_stack([around, tokens]).astype(np.int32)
         while len(tokens) and (not done or done < steps):
             order = rng.permutation(len(tokens))
             for a in range(0, len(order), BATCH):
-                some = order[a : a + BATCH]
-                some = some[np.argsort(self.tree.length[tokens[some]], kind="stable")]
-                state["losses"].append(self.step(tokens[some], around[some], state["memory"], state["met"], rate))
+                some = np.take(rows, order[a : a + BATCH], axis=0)
+                state["losses"].append(self.step(some[:, 4], some[:, :4], state["memory"], state["met"], rate))
                 done += 1
         return state
 
 
-def _sums(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
-    """The sums by row, transposed."""
-    out = np.empty((value.shape[1], rows), np.float32)
-    for d in range(value.shape[1]):
-        out[d] = np.bincount(row, weights=value[:, d], minlength=rows)
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """A last column of ones, for biases."""
+    out = np.ones((len(h), WIDTH + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def _flat(code: np.ndarray, units: int) -> np.ndarray:
+    """Places of the nodes of ``high`` in a matrix with a row a token."""
+    return (code >> 1) + np.arange(0, len(code) * units, units, dtype=np.int32)[:, None]
+
+
+def _side(code: np.ndarray) -> np.ndarray:
+    return (code & 1).astype(np.float32) * np.float32(2) - np.float32(1)
+
+
+def _log_sigma(z: np.ndarray) -> np.ndarray:
+    return np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
+
+
+def _slope(z: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, float]:
+    """(the loss's derivatives by what the units give, the loss), where z is that times the side."""
+    low = np.exp(np.minimum(-z, 30))
+    loss = float(np.log1p(low).sum())
+    low /= -1 - low
+    low *= side
+    return low, loss
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Beginnings and ends of runs of one value."""
+    edge = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return list(zip([0, *edge.tolist()], [*edge.tolist(), len(values)], strict=True)) if len(values) else []
+
+
+def _by_row(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the rows met, from the least met to the most; the order that puts their entries together; how many each has)."""
+    count = np.bincount(row, minlength=rows)
+    met = np.flatnonzero(count)
+    met = met[np.argsort(count[met].astype(np.min_scalar_type(len(row))), kind="stable")]
+    rank = np.zeros(rows, np.min_scalar_type(rows))  # numbers of 16 bits are sorted in linear time
+    rank[met] = np.arange(len(met))
+    return met, np.argsort(np.take(rank, row), kind="stable"), count[met]
+
+
+def _sums(value: np.ndarray, many: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """The sums of each ``many`` consecutive rows, weighed if so asked; rows with like counts are added together."""
+    out, at = np.empty((len(many), value.shape[1]), np.float32), 0
+    for a, b in _runs(many):
+        size = int(many[a])
+        end = at + (b - a) * size
+        part = value[at:end].reshape(b - a, size, -1)
+        if weight is not None:
+            np.einsum("nl,nlk->nk", weight[at:end].reshape(b - a, size), part, out=out[a:b])
+        elif size <= 4:
+            out[a:b] = part[:, 0]
+            for k in range(1, size):
+                out[a:b] += part[:, k]
+        else:
+            np.matmul(np.ones(size, np.float32), part, out=out[a:b])
+        at = end
     return out
 
 
+def _put(table: np.ndarray, rows: np.ndarray, value: np.ndarray) -> None:
+    """table[rows] = value, a row in one piece."""
+    whole = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(whole)[rows, 0] = value.view(whole)[:, 0]
+
+
 # -- training and scoring on tables -------------------------------------------------------------------------
 
 _CHANGES = "name string, block int, deal int, changes binary, met binary"

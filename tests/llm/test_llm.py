@@ -988,3 +988,74 @@ def test_every_token_is_a_training_target(spark):
     ids, row, _ = pseudo_likelihood.encode(pa.array([" ".join(lines)]), pseudo_likelihood.Ranks(vocab))
     each = net.log_p(ids, pseudo_likelihood.windows(ids, row))
     assert all(each[k::4][1:-1].mean() > -0.5 for k in range(4))
+
+
+def plain_step(net, tokens, around, memory, rate):
+    """A step of training by its definition: all paths node by node, sums by np.add.at."""
+    near = [t[around[:, k]] for k, t in enumerate((net.left, net.left, net.right, net.right))]
+    h = np.tanh(sum(r * c for r, c in zip(near, net.weigh, strict=True)) + net.h0)
+    grads, dh, loss = {n: np.zeros(getattr(net, n).shape) for n in net.TABLES}, np.zeros(h.shape), 0.0
+    uses = {n: np.zeros(len(getattr(net, n)), int) for n in net.TABLES}
+    for i, token in enumerate(tokens):
+        path = slice(int(net.tree.start[token]), int(net.tree.start[token] + net.tree.length[token]))
+        node, side = net.tree.node[path], net.tree.side[path]
+        z = side * (net.u[node] @ h[i] + net.bias[node, 0])
+        g = -side / (1 + np.exp(z))
+        loss += np.log1p(np.exp(-z)).sum()
+        grads["u"][node] += g[:, None] * h[i]
+        grads["bias"][node, 0] += g
+        uses["u"][node] += 1
+        uses["bias"][node] += 1
+        dh[i] = g @ net.u[node]
+    dh *= 1 - h * h
+    for k, name in enumerate(("left", "left", "right", "right")):
+        np.add.at(grads[name], around[:, k], dh * net.weigh[k])
+        np.add.at(uses[name], around[:, k], 1)
+        grads["weigh"][k] = (dh * near[k]).sum(axis=0)
+    grads["h0"][0] = dh.sum(axis=0)
+    uses["weigh"][:] = uses["h0"][:] = len(tokens)
+    for name, grad in grads.items():
+        part = grad / np.sqrt(np.maximum(uses[name], 1))[:, None]
+        memory[name] += (part * part).astype(np.float32)
+        setattr(net, name, (getattr(net, name) - rate * part / np.sqrt(memory[name])).astype(np.float32))
+    return loss / len(tokens), uses
+
+
+def test_steps_follow_the_definition():
+    """Three steps over paths in the tree's top and below it, in slices, change all tables as the definition does."""
+    rng = np.random.default_rng(8)
+    weights = 20_000 / np.arange(1, 2001) ** 1.1
+    tokens = rng.choice(2000, 9000, p=weights / weights.sum())
+    tokens[:2] = 0, 1999
+    around = rng.choice(2000, (9000, 4), p=weights / weights.sum())
+    around[::50, 1] = 2000
+    mine, plain = pseudo_likelihood.Network(weights), pseudo_likelihood.Network(weights)
+    state, memory = mine.train(tokens[:0], around[:0]), {n: np.full(getattr(plain, n).shape, 0.1, np.float32) for n in plain.TABLES}
+    met = {n: 0 for n in plain.TABLES}
+    for a in (0, 3000, 6000):
+        few = slice(a, a + 3000)
+        loss, uses = plain_step(plain, tokens[few], around[few], memory, 0.1)
+        assert math.isclose(mine.step(tokens[few], around[few], state["memory"], state["met"], 0.1), loss, rel_tol=1e-5)
+        met = {n: met[n] + uses[n] for n in met}
+    for name in plain.TABLES:
+        assert np.allclose(getattr(mine, name), getattr(plain, name), atol=2e-4), name
+        assert np.allclose(state["memory"][name], memory[name], rtol=1e-3, atol=1e-5), name
+        assert (state["met"][name] == met[name]).all(), name
+
+
+def test_heavy_units_are_read_as_one_matrix():
+    """Less than three fifths of the steps down the tree are gathered one by one; nothing of a path is left out."""
+    weights = 1e6 / np.arange(1, 5001)
+    tree = pseudo_likelihood.Network(weights).tree
+    tokens = np.argsort(tree.place)
+    node, side, spans = tree.paths_below(tokens)
+    assert (node < tree.top).all() and len(spans) == len(set(tree.below.tolist()) - {0})
+    assert (weights * tree.below).sum() < 0.6 * (weights * tree.length).sum()
+    got = {}
+    for a, b, c, d in spans:
+        for i, (nodes, sides) in enumerate(zip(node[c:d].reshape(b - a, -1), side[c:d].reshape(b - a, -1), strict=True)):
+            got[int(tokens[a + i])] = list(zip(nodes.tolist(), sides.tolist(), strict=True))
+    for token in range(5000):
+        path = slice(int(tree.start[token]), int(tree.start[token] + tree.length[token]))
+        high = [(c // 2 + tree.top, c % 2 * 2.0 - 1) for c in tree.high[token].tolist() if c // 2 + tree.top < 4999]
+        assert got.get(token, []) + high == list(zip(tree.node[path].tolist(), tree.side[path].tolist(), strict=True))

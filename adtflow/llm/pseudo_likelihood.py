@@ -12,7 +12,8 @@ are tokens like any other, predicted from both sides; pieces are known by one of
 have their own.
 
 What is learnt covers all rows. One pass counts all words (the counts give the tree, a Huffman code, and its units their
-starting biases, so that before any training the model is the corpus's unigram distribution). Then every task trains
+starting biases, so that before any training the model is the corpus's unigram distribution). Texts are then cut into tokens,
+which are stored (16 bits each) for training and for scoring. Every task trains
 a copy of the network on its own rows, every token a target (each STRIDE-th, where asked for), in minibatches; the copies' changes are averaged
 row by row, each weighed by how often the task met that row, so rare words keep what few tasks learnt. What is gathered
 grows with the corpus (a count for each distinct word of each part, a set of changes for each task) and is summed by the
@@ -39,14 +40,15 @@ from adtflow.llm.common import _LOWER, discard, materialize, mix, signed, sub_ba
 WORDS, PIECES, LEAST = 24_576, 8_192, 3
 LEAVES = WORDS + PIECES
 EDGE = LEAVES  # the neighbour beyond a document's end
+ID = np.dtype("<u2")  # what a stored token takes
 WIDTH = 16
 STRIDE, BATCH, RATE = 1, 8192, 0.15
 #: Inner nodes next to the root that are read as one matrix (they hold some six tenths of all steps down the tree), and tokens at a time.
 TOP, SLICE = 64, 4096
 #: Tasks with less text go over it again until they have made so many steps.
 STEPS = 60
-#: Words counted, and targets trained on, at a time.
-CHUNK, TARGETS = 1 << 22, 1 << 19
+#: Words counted, targets trained on, and bytes of text or tokens read, at a time.
+CHUNK, TARGETS, PART = 1 << 22, 1 << 19, 1 << 20
 #: Rows of a parameter table that travel together.
 BLOCK = 1024
 
@@ -121,6 +123,15 @@ def encode(column, ranks: Ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.repeat(row, many), row
 
 
+def stored_ids(column) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, their document rows) of a binary column that ``encoded`` made."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // ID.itemsize if len(column) else np.zeros(1, np.int64)
+    ids = np.frombuffer(data, ID)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, ID)
+    return ids.astype(np.int64), np.repeat(np.arange(len(column)), np.diff(at))
+
+
 def windows(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
     """For each token those one and two places to the left and to the right, EDGE beyond its document."""
     out = np.full((len(ids), 4), EDGE, np.int32)
@@ -147,7 +158,7 @@ def counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([signed(h), used])), pa.array(np.concatenate([n, spelled[used]]))], names=["h", "n"])
 
         for big in batches:
-            for batch in sub_batches(big, "_text"):
+            for batch in sub_batches(big, "_text", PART):
                 raw, at = text_bytes(batch.column("_text"))
                 start, end, _ = words(raw, at)
                 h = word_hashes(raw, start, end) | np.uint64(PIECES)
@@ -482,8 +493,8 @@ def _trained(shared, stride: int, steps: int):
     """Each task's changes to the network, as sums weighed by use, in blocks of rows."""
 
     def run(batches):
-        vocab, network = shared.value
-        ranks, mine = Ranks(vocab), copy.deepcopy(network)
+        network = shared.value
+        mine = copy.deepcopy(network)
         state, held, size = None, [], 0
 
         def flush(state):
@@ -491,8 +502,8 @@ def _trained(shared, stride: int, steps: int):
             return mine.train(tokens, around, state, steps if state is None else 0, seed=1)
 
         for big in batches:
-            for batch in sub_batches(big, "_text"):
-                ids, row, _ = encode(batch.column("_text"), ranks)
+            for batch in sub_batches(big, "_tokens", PART):
+                ids, row = stored_ids(batch.column("_tokens"))
                 targets = np.arange(0, len(ids), stride)
                 held.append((ids[targets], windows(ids, row)[targets]))
                 size += len(targets)
@@ -534,15 +545,45 @@ def _added(batches):
         yield row()
 
 
-def learn(docs: DataFrame, text: str = "text", stride: int = STRIDE, steps: int = STEPS) -> tuple[np.ndarray, Network]:
-    """(the vocabulary, the trained network), from all rows."""
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    vocab, weights = vocabulary(texts)
-    network = Network(weights)
-    shared = spark.sparkContext.broadcast((vocab, network))  # at most WORDS hashes, and LEAVES rows of each table
+_RESULTS = {"n_words": "long", "log_likelihood": "double", "per_word": "double"}
+
+
+def _schemas(docs: DataFrame, kept: list[str], more: dict[str, str]):
+    """Schemas for Spark and Arrow of ``kept`` columns and more."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(t).alias(n) for n, t in more.items()]).schema
+    for f in schema:
+        f.nullable = True
+    return schema, to_arrow_schema(schema)
+
+
+def encoded(docs: DataFrame, vocab: np.ndarray, text: str = "text") -> DataFrame:
+    """``docs`` without its text, with n_words and the tokens of every row (_tokens)."""
+    kept = [c for c in docs.columns if c not in _RESULTS and c != text]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    schema, arrow = _schemas(source, kept, {"n_words": "long", "_tokens": "binary"})
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most WORDS hashes
+
+    def run(batches):
+        ranks = Ranks(shared.value)
+        for big in batches:
+            for batch in sub_batches(big, "_text", PART):
+                ids, row, of_words = encode(batch.column("_text"), ranks)
+                at = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows))) * ID.itemsize
+                tokens = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype(ID))])
+                columns = [*(batch.column(c) for c in kept), pa.array(np.bincount(of_words, minlength=batch.num_rows)), tokens]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return source.mapInArrow(run, schema)
+
+
+def _fitted(stored: DataFrame, weights: np.ndarray, stride: int, steps: int) -> Network:
+    """The network trained on all tokens."""
+    spark, network = stored.sparkSession, Network(weights)
+    shared = spark.sparkContext.broadcast(network)  # LEAVES rows of each table at most
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = texts.mapInArrow(_trained(shared, stride, steps), _CHANGES)
+    made = stored.select("_tokens").mapInArrow(_trained(shared, stride, steps), _CHANGES)
     for keys in (["name", "block", "deal"], ["name", "block"]):
         made = made.withColumn("deal", F.lit(0)) if len(keys) == 2 else made
         made = made.repartition(n, *keys).sortWithinPartitions("name", "block", "deal").mapInArrow(_added, _CHANGES)
@@ -551,32 +592,43 @@ def learn(docs: DataFrame, text: str = "text", stride: int = STRIDE, steps: int
         met = np.frombuffer(r["met"], np.float32)[:, None]
         rows = slice(r["block"] * BLOCK, r["block"] * BLOCK + len(met))
         table[rows] += np.frombuffer(r["changes"], np.float32).reshape(len(met), -1) / np.maximum(met, 1)
-    return vocab, network
-
+    return network
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network], text: str = "text") -> DataFrame:
-    """``docs`` without its text, with n_words, log_likelihood (summed) and per_word (its mean)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    results = {"n_words": "long", "log_likelihood": "double", "per_word": "double"}
-    kept = [c for c in docs.columns if c not in results and c != text]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    schema = source.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(t).alias(n) for n, t in results.items()]).schema
-    for f in schema:
-        f.nullable = True
-    arrow = to_arrow_schema(schema)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see learn
+def _scored(tokens: DataFrame, network: Network) -> DataFrame:
+    kept = [c for c in tokens.columns if c not in (*_RESULTS, "_tokens")]
+    schema, arrow = _schemas(tokens, kept, _RESULTS)
+    shared = tokens.sparkSession.sparkContext.broadcast(network)  # bounded, see _fitted
 
     def run(batches):
-        vocab, network = shared.value
-        ranks = Ranks(vocab)
         for big in batches:
-            for batch in sub_batches(big, "_text"):
-                ids, row, of_words = encode(batch.column("_text"), ranks)
-                each = network.log_p(ids, windows(ids, row))
-                n = np.bincount(of_words, minlength=batch.num_rows)
-                total = np.bincount(row, weights=each, minlength=batch.num_rows)
+            for batch in sub_batches(big, "_tokens", PART):
+                ids, row = stored_ids(batch.column("_tokens"))
+                n = np.asarray(batch.column("n_words"))
+                total = np.bincount(row, weights=shared.value.log_p(ids, windows(ids, row)), minlength=batch.num_rows)
                 columns = [*(batch.column(c) for c in kept), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return tokens.mapInArrow(run, schema)
+
+
+def learn(docs: DataFrame, text: str = "text", stride: int = STRIDE, steps: int = STEPS) -> tuple[np.ndarray, Network]:
+    """(the vocabulary, the trained network), from all rows."""
+    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    vocab, weights = vocabulary(texts)
+    stored = materialize(encoded(texts, vocab, "_text"), "tokens")
+    network = _fitted(stored, weights, stride, steps)
+    discard(stored)
+    return vocab, network
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, Network], text: str = "text") -> DataFrame:
+    """``docs`` without its text, with n_words, log_likelihood (summed) and per_word (its mean)."""
+    return _scored(encoded(docs, model[0], text), model[1])
+
+
+def learn_and_score(docs: DataFrame, text: str = "text", stride: int = STRIDE, steps: int = STEPS) -> DataFrame:
+    """``score`` by what ``learn`` learns from the same rows; texts are cut into tokens once, and these stored for both."""
+    vocab, weights = vocabulary(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")))
+    stored = materialize(encoded(docs, vocab, text), "tokens")
+    return _scored(stored, _fitted(stored, weights, stride, steps))

@@ -1059,3 +1059,22 @@ def test_heavy_units_are_read_as_one_matrix():
         path = slice(int(tree.start[token]), int(tree.start[token] + tree.length[token]))
         high = [(c // 2 + tree.top, c % 2 * 2.0 - 1) for c in tree.high[token].tolist() if c // 2 + tree.top < 4999]
         assert got.get(token, []) + high == list(zip(tree.node[path].tolist(), tree.side[path].tolist(), strict=True))
+
+
+def test_tokens_are_stored_once_for_learning_and_scoring(docs, monkeypatch):
+    """Tokens come back from storage as they were, and scores are those of the two steps apart."""
+    column = pa.array(["the Abcdefg", None, "", "zz the"])
+    ids, row, _ = pseudo_likelihood.encode(column, pseudo_likelihood.Ranks(np.zeros(0, np.uint64)))
+    raw = pa.array([ids[row == k].astype(pseudo_likelihood.ID).tobytes() for k in range(4)])
+    for part, few in ((slice(0, 4), row >= 0), (slice(1, 4), row >= 1), (slice(1, 3), row == 9), (slice(0, 0), row == 9)):
+        got, of = pseudo_likelihood.stored_ids(raw.slice(part.start, part.stop - part.start))
+        assert got.tolist() == ids[few].tolist() and of.tolist() == (row[few] - part.start).tolist()
+    apart = {r.doc_id: r for r in pseudo_likelihood.score(docs, pseudo_likelihood.learn(docs, steps=5)).collect()}
+    cut = []
+    encoded = pseudo_likelihood.encoded
+    monkeypatch.setattr(pseudo_likelihood, "encoded", lambda *a: cut.append(a) or encoded(*a))
+    once = pseudo_likelihood.learn_and_score(docs, steps=5)
+    assert set(once.columns) == {*docs.columns, "n_words", "log_likelihood", "per_word"} - {"text"} and len(cut) == 1
+    for r in once.collect():
+        assert r.n_words == apart[r.doc_id].n_words
+        assert math.isclose(r.log_likelihood, apart[r.doc_id].log_likelihood, rel_tol=1e-3, abs_tol=1e-3)
